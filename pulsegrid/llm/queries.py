@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pulsegrid.llm import decontaminate, lm_scoring
+from pulsegrid.llm.common import id_bucket
+from pulsegrid.llm.hilbert_shards import hilbert_shards
 from pulsegrid.llm.piece_codec import encode_decode
+from pulsegrid.llm.pii_surrogates import replace_entities
 from pulsegrid.llm.simhash import near_duplicates
 from pulsegrid.llm.token_counts import token_counts
 from pulsegrid.session import table
 
-ORACLES: dict[str, str] = {}
+#: Surrogate key of the registered queries; a real corpus needs a secret of its own.
+KEY = "pulsegrid test key"
+ORACLES: dict[str, str] = {"op9_decontaminate": decontaminate.SQL}
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +34,23 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(table(spark, sf_dir, "documents"), KEY).select("doc_id", "text", "n_entities")
+
+
+def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards(table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (id_bucket("doc_id", 10) == 0).alias("held_out"))
+    return lm_scoring.score(docs, lm_scoring.train(docs.filter("not held_out")), more={"held_out": F.col("held_out")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_token_counts, op5_pieces)
+    f.__name__: f for f in (op1_simhash, op2_token_counts, op5_pieces, op7_pii_surrogates, op8_hilbert_shards, op9_decontaminate, op10_lm_scoring)
 }
