@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import decontaminate, lm_scoring
+from pulsegrid.llm import decontaminate, lm_scoring, quality
 from pulsegrid.llm.common import id_bucket
 from pulsegrid.llm.hilbert_shards import hilbert_shards
 from pulsegrid.llm.piece_codec import encode_decode
@@ -30,6 +30,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1"))
+    return judged.withColumnRenamed("id", "doc_id").drop("row")
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
@@ -52,5 +57,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_token_counts, op5_pieces, op7_pii_surrogates, op8_hilbert_shards, op9_decontaminate, op10_lm_scoring)
+    f.__name__: f for f in (op1_simhash, op2_token_counts, op3_quality, op5_pieces, op7_pii_surrogates, op8_hilbert_shards, op9_decontaminate, op10_lm_scoring)
 }
