@@ -15,6 +15,7 @@ from pulsegrid.llm.piece_codec import encode_decode
 from pulsegrid.llm.pii_surrogates import replace_entities
 from pulsegrid.llm.simhash import near_duplicates
 from pulsegrid.llm.token_counts import token_counts
+from pulsegrid.llm.toxicity import score_toxicity
 from pulsegrid.session import table
 
 #: Surrogate key of the registered queries; a real corpus needs a secret of its own.
@@ -35,6 +36,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumnRenamed("id", "doc_id").drop("row")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
@@ -57,5 +62,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_token_counts, op3_quality, op5_pieces, op7_pii_surrogates, op8_hilbert_shards, op9_decontaminate, op10_lm_scoring)
+    f.__name__: f for f in (op1_simhash, op2_token_counts, op3_quality, op4_toxicity, op5_pieces, op7_pii_surrogates, op8_hilbert_shards, op9_decontaminate, op10_lm_scoring)
 }
