@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import decontaminate, lm_scoring, quality
+from pulsegrid.llm import decontaminate, embedding_dedup, lm_scoring, quality
 from pulsegrid.llm.common import id_bucket
 from pulsegrid.llm.hilbert_shards import hilbert_shards
 from pulsegrid.llm.piece_codec import encode_decode
@@ -44,6 +44,10 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_entities(table(spark, sf_dir, "documents"), KEY).select("doc_id", "text", "n_entities")
 
@@ -62,5 +66,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_token_counts, op3_quality, op4_toxicity, op5_pieces, op7_pii_surrogates, op8_hilbert_shards, op9_decontaminate, op10_lm_scoring)
+    f.__name__: f for f in (op1_simhash, op2_token_counts, op3_quality, op4_toxicity, op5_pieces, op6_embeddings, op7_pii_surrogates, op8_hilbert_shards, op9_decontaminate, op10_lm_scoring)
 }
