@@ -1,10 +1,8 @@
-"""Queries over the test tables, each with the SQL that gives the same rows."""
+"""All queries over the test tables, each with the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pulsegrid.plans import trains  # noqa: F401  registers its queries
+from pulsegrid.plans.base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
