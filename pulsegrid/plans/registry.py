@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulsegrid.plans import trains  # noqa: F401  registers its queries
+from pulsegrid.plans import curation, trains  # noqa: F401  register their queries
 from pulsegrid.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
