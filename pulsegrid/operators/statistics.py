@@ -7,9 +7,10 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """Two-sided normal tail of a statistic; null stays null."""
     return z.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2)))
