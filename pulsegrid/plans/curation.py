@@ -9,7 +9,7 @@ from pulsegrid.functions import tiers
 from pulsegrid.operators import lineage, pairs
 from pulsegrid.operators import statistics as st
 from pulsegrid.plans.base import register, rounded
-from pulsegrid.plans.trains import DAY, TRAIN, train
+from pulsegrid.plans.trains import DAY, HOUR, TRAIN, train
 from pulsegrid.session import table
 
 
@@ -29,11 +29,11 @@ def range_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.range_union(_ranges(spark, sf_dir), "unit")
 
 
-@register(f"""WITH {RANGES}, p AS (SELECT unit, t0, t1 FROM ra WHERE unit % 5 <> 0), m AS (SELECT DISTINCT CAST(floor(unit / 3) AS BIGINT) AS merged, unit AS parent FROM tr),
+@register(f"""WITH {RANGES}, p AS (SELECT unit, t0, t1 FROM ra WHERE t1 - t0 > 50400000000), m AS (SELECT DISTINCT CAST(floor(unit / 3) AS BIGINT) AS merged, unit AS parent FROM tr),
 w AS (SELECT merged AS unit, coalesce(t0, 0) AS t0, coalesce(t1, 2592000000000) AS t1 FROM m LEFT JOIN p ON p.unit = m.parent), {UNION.replace('FROM ra', 'FROM w')} SELECT unit AS merged, t0, t1 FROM u""")
 def freeze_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     merges = train(spark, sf_dir).select(F.floor(F.col("unit") / 3).alias("merged"), F.col("unit").alias("parent")).distinct()
-    restrictions = _ranges(spark, sf_dir).filter("unit % 5 <> 0").withColumnRenamed("unit", "parent")
+    restrictions = _ranges(spark, sf_dir).filter(F.col("t1") - F.col("t0") > 14 * HOUR).withColumnRenamed("unit", "parent")
     return lineage.merged_windows(merges, restrictions, (0, 30 * DAY))
 
 
@@ -45,11 +45,12 @@ def clip_and_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.clip_ranges(ranges, parts)
 
 
-@register("""WITH RECURSIVE e AS (SELECT DISTINCT vec_id AS a, CAST(floor(vec_id / 3) * 2 AS BIGINT) AS b FROM embeddings WHERE vec_id % 4 <> 0 AND vec_id < 400), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@register("""WITH RECURSIVE e AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 AND y.label = x.label), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS node, least(a, b) AS root FROM s UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY node""")
 def merge_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").filter("vec_id % 4 <> 0 and vec_id < 400")
-    return lineage.merge_groups(v.select(F.col("vec_id").alias("a"), (F.floor(F.col("vec_id") / 3) * 2).alias("b")))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    following = v.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), "label")
+    return lineage.merge_groups(v.withColumnRenamed("vec_id", "a").join(following, ["a", "label"]).select("a", "b"))
 
 
 @register("""SELECT doc_id, CASE WHEN v IS NOT NULL THEN v WHEN n_chars < 500 THEN 'short' ELSE 'long' END AS label, CASE WHEN v IS NOT NULL THEN 'verdict' ELSE 'automatic' END AS label_source
@@ -60,14 +61,15 @@ def verdict_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.overlay(rows, table(spark, sf_dir, "labels").select("doc_id", verdict.alias("v")), "doc_id", "label", "v")
 
 
-SELECTION = f"""{RANGES}, w AS (SELECT unit, t0, t1 FROM ra WHERE unit % 3 = 0), trials AS (SELECT event_id AS trial, t FROM tr WHERE event_id % 50 = 0), units AS (SELECT DISTINCT unit FROM tr),
+SELECTION = f"""{RANGES}, w AS (SELECT unit, t0, t1 FROM ra WHERE t1 - t0 > 50400000000), trials AS (SELECT DISTINCT CAST(floor(t / 86400000000.0) AS BIGINT) AS trial, CAST(floor(t / 86400000000.0) AS BIGINT) * 86400000000 AS t FROM tr), units AS (SELECT DISTINCT unit FROM tr),
 sel AS (SELECT u.unit, x.trial, max(CASE WHEN w.unit IS NULL THEN true ELSE x.t BETWEEN w.t0 AND w.t1 END) AS selected FROM units u CROSS JOIN trials x LEFT JOIN w ON w.unit = u.unit GROUP BY 1, 2)"""
 
 
 def _selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = train(spark, sf_dir)
-    trials = e.filter("event_id % 50 = 0").select(F.col("event_id").alias("trial"), "t")
-    return lineage.dense_selection(e.select("unit").distinct(), trials, _ranges(spark, sf_dir).filter("unit % 3 = 0"), "unit", "trial", "t")
+    day = F.floor(F.col("t") / DAY)
+    trials = e.select(day.alias("trial"), (day * DAY).alias("t")).distinct()
+    return lineage.dense_selection(e.select("unit").distinct(), trials, _ranges(spark, sf_dir).filter(F.col("t1") - F.col("t0") > 14 * HOUR), "unit", "trial", "t")
 
 
 @register(f"WITH {SELECTION} SELECT unit, trial, selected FROM sel")
@@ -75,9 +77,9 @@ def dense_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _selection(spark, sf_dir)
 
 
-@register(f"WITH {SELECTION}, ev AS (SELECT unit, event_id, CAST(floor(event_id / 50) * 50 AS BIGINT) AS trial FROM tr) SELECT unit, event_id, trial FROM ev WHERE NOT EXISTS (SELECT 1 FROM sel WHERE sel.unit = ev.unit AND sel.trial = ev.trial AND NOT sel.selected)")
+@register(f"WITH {SELECTION}, ev AS (SELECT unit, event_id, CAST(floor(t / 86400000000.0) AS BIGINT) AS trial FROM tr) SELECT unit, event_id, trial FROM ev WHERE NOT EXISTS (SELECT 1 FROM sel WHERE sel.unit = ev.unit AND sel.trial = ev.trial AND NOT sel.selected)")
 def anti_join_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = train(spark, sf_dir).select("unit", "event_id", (F.floor(F.col("event_id") / 50) * 50).alias("trial"))
+    e = train(spark, sf_dir).select("unit", "event_id", F.floor(F.col("t") / DAY).alias("trial"))
     return lineage.without_excluded(e, _selection(spark, sf_dir), ["unit", "trial"])
 
 
@@ -89,9 +91,9 @@ def merge_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'extra' ELSE 'duplicated' END AS problem
-FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) d FULL JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id) l USING (doc_id) WHERE l.doc_id IS NULL OR d.doc_id IS NULL OR n > 1""")
+FROM (SELECT doc_id FROM documents WHERE lang = 'en') d FULL JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id) l USING (doc_id) WHERE l.doc_id IS NULL OR d.doc_id IS NULL OR n > 1""")
 def coverage_assert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.coverage(table(spark, sf_dir, "documents").filter("doc_id % 2 = 0"), table(spark, sf_dir, "labels"), "doc_id")
+    return lineage.coverage(table(spark, sf_dir, "documents").filter("lang = 'en'"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 GRID = "pts AS (SELECT vec_id, embedding, (vec_id % 40) * 20.0 AS x, floor(vec_id / 40) * 25.0 AS y FROM embeddings)"
