@@ -67,9 +67,9 @@ def contained_items(
     hashes = _hashes(words(F.col("text")))
     probes = text.select("id", hashes.alias("w")).select("id", F.explode(F.concat(*[_shingles(F.col("w"), n, True) for n in lengths])).alias("h"))
     found = written(probes.join(sketch, "h").select("id", "item").distinct(), "candidates")
-    pairs = found.select(F.col("id").alias("cid"), "item").join(text, F.col("cid").eqNullSafe(F.col("id"))).select("id", "item", "text").join(exact, "item")
-    own = words(F.col("text"))
-    shingles = F.coalesce(*[F.when(F.col("n") == n, _shingles(own, n, False)) for n in lengths])
+    pairs = found.select(F.col("id").alias("cid"), "item").join(text, F.col("cid").eqNullSafe(F.col("id"))).select("id", "item", words(F.col("text")).alias("w")).join(exact, "item")
+    # the words are a column of their own: a lambda evaluates what it names for every element
+    shingles = F.coalesce(*[F.when(F.col("n") == n, _shingles(F.col("w"), n, False)) for n in lengths])
     pairs = pairs.select("id", "item", F.size("wanted").alias("n_item"), F.size(F.array_intersect("wanted", shingles)).alias("n_shared"))
     best = pairs.groupBy("id", "item").agg(F.first("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
     kept = best.filter(F.col("n_shared") >= F.col("n_item") * F.lit(threshold) - 1e-9)
