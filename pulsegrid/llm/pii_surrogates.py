@@ -24,6 +24,7 @@ SYLLABLES = {"latin": "ba de fi go lu mar nel por ric sten tan vel wes yor zan",
 
 _names = "|".join(n for v in GIVEN.values() for n in v.split())
 _titles = "|".join(t for v in TITLES.values() for t in v.split())
+_name_of_secret = r"(?:password|passwd|token|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?"
 _surname = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 
 #: (type, pattern) in the order in which they are tried at a place.
@@ -35,8 +36,8 @@ PATTERNS = [
     ("phone", r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("key", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
-    ("secret", r"(?<=(?:password|passwd|token|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_.-]{8,256}"),
-    ("person", rf"(?<![\p{{L}}])(?:(?:{_titles})\.? (?:(?:{_names}) )?{_surname}|(?:{_names}) {_surname})(?!\p{{L}})"),
+    ("secret", rf"{_name_of_secret}[A-Za-z0-9+/_.-]{{8,256}}"),
+    ("person", rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_titles})\.? (?:(?:{_names}) )?{_surname}|(?:{_names}) {_surname})(?!\p{{L}})"),
 ]
 #: Between two characters.
 MARKS = "(?!^)(?!$)"
@@ -56,7 +57,7 @@ def luhn_sum(digits: Column) -> Column:
 
 def kind_of(surface: Column) -> Column:
     """The type of a matched text; null for digits that are no card number."""
-    whole = F.coalesce(*[F.when(surface.rlike(f"^(?:{p})$"), t) for t, p in PATTERNS if t != "secret"], F.lit("secret"))
+    whole = F.coalesce(*[F.when(surface.rlike(f"^(?:{p})$"), t) for t, p in PATTERNS])
     return F.when((whole == "card") & (luhn_sum(_digits(surface)) % 10 != 0), None).otherwise(whole)
 
 
@@ -64,6 +65,7 @@ def canonical(kind: Column, surface: Column) -> Column:
     """The form that all spellings of one entity share."""
     return (
         F.when(kind == "email", F.lower(surface)).when(kind.isin("card", "phone", "ssn"), _digits(surface)).when(kind == "iban", F.regexp_replace(surface, " ", ""))
+        .when(kind == "secret", F.regexp_replace(surface, f"^{_name_of_secret}", ""))
         .when(kind == "person", F.regexp_replace(surface, rf"^(?:{_titles})\.? ", "")).otherwise(surface)
     )
 
@@ -128,7 +130,7 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
 
 
 def rendered(kind: Column, surface: Column, replaced: Column) -> Column:
-    """A canonical surrogate in the spelling of the matched text: separators, country code and title stay."""
+    """A canonical surrogate in the spelling of the matched text: separators, country code, title and name of the secret stay."""
     marks = F.split(surface, MARKS)
     country = F.when(kind == "phone", F.length(F.regexp_extract(surface, r"^\+(\d{1,3})[ .(-]", 1))).otherwise(0)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
@@ -140,7 +142,8 @@ def rendered(kind: Column, surface: Column, replaced: Column) -> Column:
 
     spelled = F.aggregate(marks, start, put).out
     title = F.regexp_extract(surface, rf"^((?:{_titles})\.? )?", 1)
-    return F.when(kind.isin("card", "phone", "ssn", "iban"), spelled).when(kind == "person", F.concat(title, replaced)).otherwise(replaced)
+    before = F.when(kind == "person", title).when(kind == "secret", F.regexp_extract(surface, f"^{_name_of_secret}", 0)).otherwise("")
+    return F.when(kind.isin("card", "phone", "ssn", "iban"), spelled).otherwise(F.concat(before, replaced))
 
 
 def _attempted(entities: DataFrame, key: str) -> DataFrame:
@@ -177,7 +180,9 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     aggregation and of a join that adaptive execution splits.
     """
     text = F.col(text_col)
-    hit = F.coalesce(text.rlike(ANY), F.lit(False))
+    # every pattern needs one of these, which are quick to look for
+    possible = text.contains("@") | text.contains("=") | text.contains(":") | text.rlike("[0-9]") | text.rlike(dict(PATTERNS)["person"])
+    hit = F.coalesce(possible & text.rlike(ANY), F.lit(False))
     clean = docs.filter(~hit).withColumn("n_entities", F.lit(0))
     held = written(docs.filter(hit).select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("rid")), "pii-rows")
     matches = held.select("rid", F.posexplode(F.regexp_extract_all(F.col("row")[text_col], F.lit(ANY), F.lit(0))).alias("pos", "surface"))
