@@ -27,6 +27,9 @@ CHUNK = 2_000_000
 BROADCAST_ROWS = 5_000_000
 #: Characters of median text that a document's mean is pulled towards its language's by.
 PULL = 40.0
+#: One trusted document in so many is not counted but sets the thresholds, and languages with fewer such documents
+#: than LEAST_CALIBRATION take the thresholds of all languages together.
+CALIBRATION, LEAST_CALIBRATION = 4, 30
 
 
 def ngrams(texts: list[str]) -> np.ndarray:
@@ -102,7 +105,7 @@ def _score_block(docs: pa.Table, table: pa.Table) -> pa.Table:
             add()
             held = 0
     add()
-    return pa.table({"row": docs.column("row"), "id": docs.column("id"), "lang": docs.column("lang"), "trusted": docs.column("trusted"), "n_chars": pa.array(n_chars, pa.int64()), "logp": pa.array(total, pa.float64())})
+    return pa.table({"row": docs.column("row"), "id": docs.column("id"), "lang": docs.column("lang"), "trusted": docs.column("trusted"), "calibration": docs.column("calibration"), "n_chars": pa.array(n_chars, pa.int64()), "logp": pa.array(total, pa.float64())})
 
 
 def _low(key: Column, order: int) -> Column:
@@ -144,9 +147,10 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``(row, id, lang, trusted, n_chars, logp)`` for every row; row is a hash of id and text.
+    """``(row, id, lang, trusted, calibration, n_chars, logp)`` for every row; row is a hash of id and text.
 
-    ``trusted`` holds, under ``id_col``, the ids of trusted documents (nulls are ignored).
+    ``trusted`` holds, under ``id_col``, the ids of trusted documents (nulls are ignored). Those marked for calibration are
+    not counted, so their perplexities are those of unseen text.
     """
     # a split of a file is a block; rows from elsewhere are dealt to 64 blocks
     block = F.when(F.input_file_name() == "", F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(64))).otherwise(F.xxhash64(F.input_file_name(), F.input_file_block_start()))
@@ -155,10 +159,12 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     )
     ids = small(written(trusted.select(F.col(id_col).alias("t")).filter("t is not null").distinct(), "trusted"))
     base = base.join(ids, F.col("id") == F.col("t"), "left").withColumn("trusted", F.col("t").isNotNull()).drop("t")
-    keys = written(base.select("block", "trusted", "text").mapInArrow(_block_ngrams, "block long, key long, n long"), "block-ngrams")
+    fold = F.pmod(F.xxhash64(F.lit("calibration"), "id"), F.lit(CALIBRATION))
+    base = base.withColumn("calibration", F.col("trusted") & (fold == 0))
+    keys = written(base.select("block", F.expr("trusted and not calibration").alias("trusted"), "text").mapInArrow(_block_ngrams, "block long, key long, n long"), "block-ngrams")
     grams = written(keys.groupBy("key").agg(F.sum("n").alias("c")), "ngrams")
     table = keys.select("block", "key").distinct().join(log_probabilities(grams), "key").select("block", "key", "lp")
-    kinds = f"row long, id {docs.schema[id_col].dataType.simpleString()}, lang string, trusted boolean, n_chars long, logp double"
+    kinds = f"row long, id {docs.schema[id_col].dataType.simpleString()}, lang string, trusted boolean, calibration boolean, n_chars long, logp double"
     return base.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_score_block, kinds)
 
 
@@ -166,24 +172,25 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, id_col
     """``(row, id, lang, trusted, n_chars, perplexity, threshold, accepted)`` for every row.
 
     The perplexity is per character, its logarithm pulled towards the median of the language by PULL characters so
-    that short texts are not rejected by chance. A language's threshold lies as far above the quantile of its trusted
-    documents as that lies above their median. Null and empty texts have the median's perplexity; a language without
-    trusted documents takes the thresholds of all; without any trusted document everything is accepted. Ids may repeat
+    that short texts are not rejected by chance. A language's threshold lies as far above the quantile of its calibration
+    documents as that lies above their median. Null and empty texts have the median's perplexity; a language with few
+    calibration documents takes the threshold of all; without any trusted document everything is accepted. Ids may repeat
     or be null; other columns are ignored.
     """
     scored = written(perplexities(docs, trusted, id_col, text_col, lang_col), "perplexities")
     mean = -F.col("logp") / F.greatest("n_chars", F.lit(1))
-    known = scored.filter("trusted and n_chars > 0")
-    medians = lambda df: df.agg(F.percentile_approx(mean, 0.5, 10_000).alias("mid"))
-    mids = written(medians(known.groupBy("lang")), "medians")
-    mid = medians(known).first()[0]
+    known = scored.filter("calibration and n_chars > 0")
+    middle = [F.percentile_approx(mean, 0.5, 10_000).alias("mid"), F.count("*").alias("n")]
+    mids = written(known.groupBy("lang").agg(*middle).filter(F.col("n") >= LEAST_CALIBRATION).drop("n"), "medians")
+    mid = known.agg(*middle).first()[0]
     pulled = (-F.col("logp") + PULL * F.col("mid")) / (F.col("n_chars") + PULL)
-    with_mid = scored.join(mids, "lang", "left").withColumn("mid", F.coalesce("mid", F.lit(mid))).withColumn("x", F.when(F.col("n_chars") > 0, pulled).otherwise(F.col("mid")))
-    trusted_x = with_mid.filter("trusted and n_chars > 0")
+    with_mid = scored.join(mids, "lang", "left").withColumn("own", F.col("mid").isNotNull()).withColumn("mid", F.coalesce("mid", F.lit(mid)))
+    with_mid = with_mid.withColumn("x", F.when(F.col("n_chars") > 0, pulled).otherwise(F.col("mid")))
+    calibration = with_mid.filter("calibration and n_chars > 0")
     quantiles = lambda df: df.agg(F.percentile_approx("x", [0.5, quantile], 10_000).alias("q"))
     fence = lambda q: F.element_at(q, 2) * 2 - F.element_at(q, 1)
-    per_lang = written(quantiles(trusted_x.groupBy("lang")).select("lang", fence(F.col("q")).alias("fence")), "fences")
-    overall = quantiles(trusted_x).select(fence(F.col("q"))).first()[0]
+    per_lang = written(quantiles(calibration.filter("own").groupBy("lang")).select("lang", fence(F.col("q")).alias("fence")), "fences")
+    overall = quantiles(calibration).select(fence(F.col("q"))).first()[0]
     judged = with_mid.join(per_lang, "lang", "left").withColumn("fence", F.coalesce("fence", F.lit(overall)))
     return judged.select(
         "row", "id", "lang", "trusted", "n_chars", F.pow(F.lit(10.0), F.col("x")).alias("perplexity"), F.pow(F.lit(10.0), F.col("fence")).alias("threshold"),
