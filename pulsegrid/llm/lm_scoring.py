@@ -24,7 +24,7 @@ from pulsegrid.llm.kneser_ney import discounts
 
 SEED = 42
 #: Characters handled at once, tokens of a counting block, bytes of text per shard, least side of the grid.
-CHUNK, BLOCK_TOKENS, SHARD_BYTES, LEAST_SIDE = 1 << 22, 3_000_000, 1 << 26, 8
+CHUNK, BLOCK_TOKENS, SHARD_BYTES, LEAST_SIDE = 1 << 21, 1_000_000, 1 << 24, 8
 MEMO = 300_000
 BLOBS = "shard int, blob binary"
 FIELDS = ("c", "n1", "n2", "n3", "pred")
