@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import decontaminate, quality, simhash
+from pulsegrid.llm import decontaminate, near_copies, quality
 from pulsegrid.llm.common import written
 from pulsegrid.llm.pii_surrogates import replace_entities
 from pulsegrid.llm.piece_codec import encode_decode
@@ -31,8 +31,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near copies; of rows that share a doc_id one stays."""
-    groups = written(simhash.near_duplicates(docs).select("doc_id", "component_id"), "groups")
+    """The document with the least doc_id of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles; of
+    rows that share a doc_id one stays."""
+    groups = written(near_copies.near_copies(docs), "groups")
     rest = _without(docs, groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")))
     repeated = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     if repeated.isEmpty():
