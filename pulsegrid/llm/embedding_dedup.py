@@ -3,7 +3,8 @@
 A vector is described by its nearest reference points (pivots). Two vectors that share at least two of their
 nearest pivots meet in the inverted list of the first two they share, and only there; the list's members are
 verified by exact cosine. A list longer than BLOCK is cut into blocks and every pair of blocks is a group of its
-own, so no list, however long, is one task, and no pair of rows is ever written.
+own, so no list, however long, is one task, and no pair of rows is ever written. With NEAREST pivots or fewer, as
+where all vectors lie within a narrow cone, there is one list of all vectors: that is exact, and grows with their square.
 """
 
 from __future__ import annotations
@@ -161,11 +162,12 @@ def _linked(classes: DataFrame, least: float, n_pivots: int) -> DataFrame:
     """(rep, links, root) of the classes of one dimension."""
     picked = classes.orderBy(F.xxhash64("rep"), "rep").limit(PIVOT_SAMPLE).select("vec").collect()
     pivots = _spread(_unit(np.array([r.vec for r in picked], np.float64)), n_pivots)
+    if len(pivots) == 1:
+        # all the sample lies within one cone: twice the same pivot puts every vector into one list, which is verified whole
+        pivots = np.vstack([pivots, pivots])
     kind = classes.schema["vec"].dataType.simpleString()
     described = written(classes.select("rep", "n", "vec").mapInArrow(_describe(pivots), f"rep long, n long, vec {kind}, near array<int>"), "described")
     m = min(NEAREST, len(pivots))
-    if m < 2:
-        return described.select("rep", F.lit(0).cast("long").alias("links"), F.col("rep").alias("root")).limit(0)
     keys = F.array(*[F.get("near", F.lit(i)).cast("long") * len(pivots) + F.get("near", F.lit(j)) for i, j in combinations(range(m), 2)])
     posted = described.withColumn("key", F.explode(keys))
     long_lists = written(posted.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK), "long-lists")

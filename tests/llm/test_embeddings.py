@@ -61,3 +61,15 @@ def test_no_rows_and_no_good_rows(spark):
     assert ed.near_duplicates(df.limit(0)).count() == 0
     one = spark.createDataFrame([(7, [1.0, 2.0], 3)], "vec_id long, embedding array<float>, n int")
     assert [tuple(r) for r in ed.near_duplicates(one).collect()] == [(7, 0, 7, True)]
+
+
+def test_a_narrow_cone(spark, monkeypatch):
+    monkeypatch.setattr(ed, "BLOCK", 25)
+    rng = np.random.default_rng(6)
+    axis = rng.normal(size=16)
+    rows = [(i, [float(x) for x in axis + 0.4 * rng.normal(size=16)]) for i in range(80)]
+    rows += [(100, [1.0, 2.0]), (101, [1.0, 2.1]), (102, [2.0, 4.0])]
+    n, groups = brute(rows)
+    assert sum(n.values()) > 100 and all(n[i] == 2 for i in (100, 101, 102))
+    got = {r.vec_id: r for r in ed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {i: r.n_links for i, r in got.items()} == n and {i: r.component_id for i, r in got.items()} == groups
