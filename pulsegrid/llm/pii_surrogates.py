@@ -39,6 +39,13 @@ PATTERNS = [
     ("secret", rf"{_name_of_secret}[A-Za-z0-9+/_.-]{{8,256}}"),
     ("person", rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_titles})\.? (?:(?:{_names}) )?{_surname}|(?:{_names}) {_surname})(?!\p{{L}})"),
 ]
+#: Where a card number may be in a run of digits: the whole run in any grouping, or the usual groupings and single groups in it.
+#: Each place is looked at, so that a candidate without a valid check digit hides none that has one.
+_issued = r"(?:[3-6]\d{3}|2(?:2[2-9]|[3-6]\d|7[0-2])\d)"
+CARDS = [
+    r"(?<!\d)(?<!\d[ -])(?=((?:\d[ -]?){12,18}\d)(?!\d))",
+    *(rf"(?<!\d)(?=({p})(?!\d))" for p in (rf"{_issued}(?:[ -]\d{{4}}){{3}}[ -]\d{{3}}", rf"{_issued}(?:[ -]\d{{4}}){{3}}", rf"{_issued}[ -]\d{{6}}[ -]\d{{4,5}}", r"\d{13,19}")),
+]
 #: Between two characters.
 MARKS = "(?!^)(?!$)"
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
@@ -61,6 +68,18 @@ def kind_of(surface: Column) -> Column:
     return F.when((whole == "card") & (luhn_sum(_digits(surface)) % 10 != 0), None).otherwise(whole)
 
 
+def pattern_of(text: Column) -> Column:
+    """The combined pattern for one text: card numbers are only those of it that have a valid check digit."""
+    places = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in CARDS]))
+    cards = F.array_distinct(F.filter(places, lambda c: luhn_sum(_digits(c)) % 10 == 0))
+    longest = F.array_sort(cards, lambda a, b: F.length(b) - F.length(a))
+    listed = F.concat(F.lit(r"(?:(?<!\d)(?:"), F.array_join(longest, "|"), F.lit(r")(?!\d))|"))
+    names = [t for t, _ in PATTERNS]
+    before, after = (F.lit("|".join(f"(?:{p})" for _, p in part)) for part in (PATTERNS[: names.index("card")], PATTERNS[names.index("card") + 1 :]))
+    own = F.concat(before, F.lit("|"), F.when(F.size(cards) > 0, listed).otherwise(""), after)
+    return F.when(text.rlike(dict(PATTERNS)["card"]), own).otherwise(F.concat(before, F.lit("|"), after))
+
+
 def canonical(kind: Column, surface: Column) -> Column:
     """The form that all spellings of one entity share."""
     return (
@@ -181,18 +200,18 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     """
     text = F.col(text_col)
     # every pattern needs one of these, which are quick to look for
-    possible = text.contains("@") | text.contains("=") | text.contains(":") | text.rlike("[0-9]") | text.rlike(dict(PATTERNS)["person"])
+    possible = text.contains("AKIA") | text.contains("@") | text.contains("=") | text.contains(":") | text.rlike("[0-9]") | text.rlike(dict(PATTERNS)["person"])
     hit = F.coalesce(possible & text.rlike(ANY), F.lit(False))
     clean = docs.filter(~hit).withColumn("n_entities", F.lit(0))
-    held = written(docs.filter(hit).select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("rid")), "pii-rows")
-    matches = held.select("rid", F.posexplode(F.regexp_extract_all(F.col("row")[text_col], F.lit(ANY), F.lit(0))).alias("pos", "surface"))
+    held = written(docs.filter(hit).select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("rid"), pattern_of(text).alias("pattern")), "pii-rows")
+    matches = held.select("rid", F.posexplode(F.regexp_extract_all(F.col("row")[text_col], F.col("pattern"), F.lit(0))).alias("pos", "surface"))
     found = matches.withColumn("kind", kind_of(F.col("surface"))).withColumn("canon", canonical(F.col("kind"), F.col("surface")))
     found = written(found, "pii-matches")
     table = surrogate_table(found.filter("kind is not null").select("kind", "canon").distinct(), key)
     mapped = found.join(table, ["kind", "canon"], "left").withColumn("put", F.coalesce(rendered(F.col("kind"), F.col("surface"), F.col("surrogate")), F.col("surface")))
     puts = mapped.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("pos", "put"))).alias("puts"), F.count("surrogate").cast("int").alias("n_entities"))
-    gaps = F.split(F.col("row")[text_col], ANY, -1)
+    gaps = F.split(F.col("row")[text_col], F.col("pattern"), -1)
     whole = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("puts"), i)["put"], F.lit("")))), "")
-    done = held.join(puts, "rid").withColumn("whole", whole)
+    done = held.join(puts, "rid", "left").withColumn("whole", whole).withColumn("n_entities", F.coalesce("n_entities", F.lit(0)))
     done = done.select(*[F.col("whole").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c != "n_entities"], "n_entities")
     return union_all([clean.select(*done.columns), done])
