@@ -30,6 +30,10 @@ PULL = 40.0
 #: One trusted document in so many is not counted but sets the thresholds, and languages with fewer such documents
 #: than LEAST_CALIBRATION take the thresholds of all languages together.
 CALIBRATION, LEAST_CALIBRATION = 4, 30
+#: The quantile of a language's calibration documents that is its threshold: so many of unseen trusted text pass.
+QUANTILE = 0.995
+#: Calibration documents from which a quantile is read off; of fewer, a hundredth of unseen text lies beyond the largest.
+RESOLVED = 100
 
 
 def ngrams(texts: list[str]) -> np.ndarray:
@@ -168,12 +172,13 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     return base.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_score_block, kinds)
 
 
-def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``(row, id, lang, trusted, n_chars, perplexity, threshold, accepted)`` for every row.
 
     The perplexity is per character, its logarithm pulled towards the median of the language by PULL characters so
-    that short texts are not rejected by chance. A language's threshold lies as far above the quantile of its calibration
-    documents as that lies above their median. Null and empty texts have the median's perplexity; a language with few
+    that short texts are not rejected by chance. A language's threshold is the quantile of its calibration
+    documents; a language with fewer than RESOLVED takes the quantile of the distances from the median in all languages, and
+    where all have fewer together that lies twice as far out. Null and empty texts have the median's perplexity; a language with few
     calibration documents takes the threshold of all; without any trusted document everything is accepted. Ids may repeat
     or be null; other columns are ignored.
     """
@@ -187,11 +192,13 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, id_col
     with_mid = scored.join(mids, "lang", "left").withColumn("own", F.col("mid").isNotNull()).withColumn("mid", F.coalesce("mid", F.lit(mid)))
     with_mid = with_mid.withColumn("x", F.when(F.col("n_chars") > 0, pulled).otherwise(F.col("mid")))
     calibration = with_mid.filter("calibration and n_chars > 0")
-    quantiles = lambda df: df.agg(F.percentile_approx("x", [0.5, quantile], 10_000).alias("q"))
-    fence = lambda q: F.element_at(q, 2) * 2 - F.element_at(q, 1)
-    per_lang = written(quantiles(calibration.filter("own").groupBy("lang")).select("lang", fence(F.col("q")).alias("fence")), "fences")
-    overall = quantiles(calibration).select(fence(F.col("q"))).first()[0]
-    judged = with_mid.join(per_lang, "lang", "left").withColumn("fence", F.coalesce("fence", F.lit(overall)))
+    at = lambda c: F.percentile_approx(c, quantile, 10_000)
+    n, overall, beyond = calibration.agg(F.count("*"), at("x"), at(F.col("x") - F.col("mid"))).first()
+    if 0 < n < RESOLVED:
+        overall, beyond = 2 * overall - mid, 2 * beyond
+    per_lang = written(calibration.filter("own").groupBy("lang").agg(at("x").alias("fence"), F.count("*").alias("n")).filter(F.col("n") >= RESOLVED).drop("n"), "fences")
+    otherwise = F.when(F.col("own"), F.col("mid") + F.lit(beyond)).otherwise(F.lit(overall))
+    judged = with_mid.join(per_lang, "lang", "left").withColumn("fence", F.coalesce("fence", otherwise))
     return judged.select(
         "row", "id", "lang", "trusted", "n_chars", F.pow(F.lit(10.0), F.col("x")).alias("perplexity"), F.pow(F.lit(10.0), F.col("fence")).alias("threshold"),
         F.coalesce(F.col("x") <= F.col("fence"), F.lit(True)).alias("accepted"),

@@ -110,6 +110,15 @@ def test_quality_tells_the_labelled_apart(spark):
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.2 * len(bad)
 
 
+def test_both_error_rates_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    judged = quality.classify(docs, labels.filter("quality = 1 and doc_id % 2 = 0"))
+    rows = judged.join(labels, F.col("id") == F.col("doc_id")).filter("quality = 0 or doc_id % 2 = 1").select("quality", "accepted").collect()
+    good, bad = [r.accepted for r in rows if r.quality], [r.accepted for r in rows if not r.quality]
+    assert sum(good) >= 0.985 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
 def test_quality_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "en"), (2, "", None), (None, "some text", "en"), (3, "some text", "xx")], "doc_id long, text string, lang string")
     nobody = docs.limit(0)
