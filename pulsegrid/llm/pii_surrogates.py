@@ -46,6 +46,8 @@ CARDS = [
     r"(?<!\d)(?<!\d[ -])(?=((?:\d[ -]?){12,18}\d)(?!\d))",
     *(rf"(?<!\d)(?=({p})(?!\d))" for p in (rf"{_issued}(?:[ -]\d{{4}}){{3}}[ -]\d{{3}}", rf"{_issued}(?:[ -]\d{{4}}){{3}}", rf"{_issued}[ -]\d{{6}}[ -]\d{{4,5}}", r"\d{13,19}")),
 ]
+#: The country code at the start of an international number's digits.
+COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Between two characters.
 MARKS = "(?!^)(?!$)"
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
@@ -83,7 +85,8 @@ def pattern_of(text: Column) -> Column:
 def canonical(kind: Column, surface: Column) -> Column:
     """The form that all spellings of one entity share."""
     return (
-        F.when(kind == "email", F.lower(surface)).when(kind.isin("card", "phone", "ssn"), _digits(surface)).when(kind == "iban", F.regexp_replace(surface, " ", ""))
+        F.when(kind == "email", F.lower(surface)).when(kind.isin("card", "ssn"), _digits(surface))
+        .when(kind == "phone", F.concat(F.when(surface.startswith("+"), "+").otherwise(""), _digits(surface))).when(kind == "iban", F.regexp_replace(surface, " ", ""))
         .when(kind == "secret", F.regexp_replace(surface, f"^{_name_of_secret}", ""))
         .when(kind == "person", F.regexp_replace(surface, rf"^(?:{_titles})\.? ", "")).otherwise(surface)
     )
@@ -139,24 +142,26 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
     body = F.concat(F.substring(canon, 1, 1), F.substring(mapped, F.lit(2), F.length(canon) - 2))
     check = F.pmod(F.lit(10) - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")
     local = _mapped(F.regexp_extract(canon, "^([^@]+)@", 1), stream, F.lit(False))
+    country = F.when(canon.startswith("+"), F.length(F.regexp_extract(F.substring(canon, 2, 3), COUNTRY, 0)) + 1).otherwise(0)
     return (
         F.when(kind == "email", F.concat(local, F.lit("@mail"), F.substring(stream, 33, 6), F.lit(".example.net")))
         .when(kind == "ipv4", F.concat_ws(".", octet(0, 240, 15), octet(8, 1, 254), octet(16, 1, 254), octet(24, 1, 254)))
         .when(kind == "card", F.concat(body, check)).when(kind == "key", F.concat(F.lit("AKIA"), F.substring(mapped, 5, 16)))
         .when(kind == "iban", F.concat(F.substring(canon, 1, 2), F.substring(mapped, F.lit(3), F.length(canon))))
+        .when(kind == "phone", F.concat(F.substring(canon, F.lit(1), country), F.substring(mapped, country + 1, F.length(canon))))
         .when(kind == "person", _person(canon, stream)).otherwise(mapped)
     )
 
 
 def rendered(kind: Column, surface: Column, replaced: Column) -> Column:
-    """A canonical surrogate in the spelling of the matched text: separators, country code, title and name of the secret stay."""
+    """A canonical surrogate in the spelling of the matched text: separators, title and name of the secret stay."""
     marks = F.split(surface, MARKS)
-    country = F.when(kind == "phone", F.length(F.regexp_extract(surface, r"^\+(\d{1,3})[ .(-]", 1))).otherwise(0)
+    characters = F.when(kind == "phone", _digits(replaced)).otherwise(replaced)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
 
     def put(a: Column, c: Column) -> Column:
         own = c.rlike("[A-Z0-9]")
-        shown = F.when(~own | (a.n < country), c).otherwise(F.substring(replaced, a.n + 1, F.lit(1)))
+        shown = F.when(~own, c).otherwise(F.substring(characters, a.n + 1, F.lit(1)))
         return F.struct(F.concat(a.out, shown).alias("out"), (a.n + own.cast("int")).alias("n"))
 
     spelled = F.aggregate(marks, start, put).out
@@ -177,7 +182,7 @@ def _collisions(table: DataFrame) -> DataFrame:
     return twice.unionByName(table.join(real, ["kind", "surrogate"], "left_semi").select("kind", "canon")).distinct()
 
 
-def surrogate_table(entities: DataFrame, key: str, max_attempts: int = 20) -> DataFrame:
+def surrogate_table(entities: DataFrame, key: str, max_attempts: int = 60) -> DataFrame:
     """``(kind, canon, surrogate)`` for distinct ``entities(kind, canon)``, all surrogates of a kind distinct."""
     table = written(_attempted(entities.withColumn("attempt", F.lit(0)), key), "surrogates")
     for _ in range(max_attempts):
@@ -194,7 +199,7 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
 
     Texts without entities, null and empty texts are unchanged with 0 entities. An entity has one surrogate in the
     whole table; two entities never share one, and no surrogate is an entity of the table. Phones keep their country
-    code, cards a valid check digit; e-mail hosts and addresses come from reserved ranges; IBAN check digits are not
+    code, which is part of the entity, so the numbers that are compared are those that are shown; cards keep a valid check digit; e-mail hosts and addresses come from reserved ranges; IBAN check digits are not
     recomputed. Only rows with matches are shuffled; an entity that a third of all rows share is a key of a partial
     aggregation and of a join that adaptive execution splits.
     """

@@ -103,6 +103,16 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(out)) == len(out) == 15 and not set(out) & {r.canon for r in rows}
 
 
+def test_short_phones_of_one_country_stay_distinct(spark):
+    numbers = [f"+49 {i // 100:02d} {i % 100:02d}" for i in range(0, 10_000, 17)]
+    rows = [(i, n) for i, n in enumerate(numbers)] + [(9001, "+490000"), (9002, "+358 10 2030")]
+    got = {r.doc_id: r.text for r in pii_surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    shown = [got[i] for i in range(len(numbers))]
+    assert len(set(shown)) == len(shown) and not set(shown) & set(numbers)
+    assert all(re.fullmatch(r"\+49 \d\d \d\d", s) for s in shown)
+    assert got[9002].startswith("+358 ") and got[9001] == shown[0].replace(" ", "")
+
+
 def test_corpus_surrogates(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
