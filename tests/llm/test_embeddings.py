@@ -73,3 +73,62 @@ def test_a_narrow_cone(spark, monkeypatch):
     assert sum(n.values()) > 100 and all(n[i] == 2 for i in (100, 101, 102))
     got = {r.vec_id: r for r in ed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert {i: r.n_links for i, r in got.items()} == n and {i: r.component_id for i, r in got.items()} == groups
+
+
+def test_a_dense_group_and_two_rows(spark):
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=32)
+    rows = [(i, [float(x) for x in centre + 0.05 * rng.normal(size=32)]) for i in range(40)]
+    got = ed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [r.n_links for r in got] == [39] * 40 and {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+    two = spark.createDataFrame(rows[:2], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, ed.near_duplicates(two).collect())) == [(0, 1, 0, True), (1, 1, 0, False)]
+
+
+@pytest.mark.parametrize("offset", [0.5, 1.0, 1.5])
+def test_recall_of_anisotropic_vectors(spark, offset):
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    a = unit(unit(rng.normal(size=(500, 48)) / np.sqrt(np.arange(1, 49))) + offset * unit(rng.normal(size=(1, 48))))
+    z = rng.normal(size=a.shape)
+    z = unit(z - (z * a).sum(1)[:, None] * a)
+    x = np.vstack([a, 0.91 * a + np.sqrt(1 - 0.91**2) * z])
+    true = int(((x @ x.T) >= 0.9).sum()) - len(x)
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    assert 0.95 * true <= ed.near_duplicates(frame).selectExpr("sum(n_links)").first()[0] <= true
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_registered_table(spark, sf):
+    frame = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = frame.select("vec_id", "embedding").collect()
+    n, groups = brute_matrix([r.vec_id for r in rows], np.array([r.embedding for r in rows], float))
+    got = {r.vec_id: r for r in ed.near_duplicates(frame).collect()}
+    assert len(got) == len(rows) and all(got[i].n_links <= n[i] for i in n)
+    assert sum(r.n_links for r in got.values()) >= 0.97 * sum(n.values())
+    if sum(r.n_links for r in got.values()) == sum(n.values()):
+        assert {i: r.component_id for i, r in got.items()} == groups
+
+
+def brute_matrix(ids, x):
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+    n = np.bincount(a, minlength=len(x)) + np.bincount(b, minlength=len(x))
+    return dict(zip(ids, n.tolist())), brute_components([(ids[i], ids[j]) for i, j in zip(a, b)], ids)
+
+
+def test_no_pair_at_the_threshold_is_rounded(spark):
+    # cosines within 1e-9 of 0.9 on either side, far within the error of the 16-bit copies
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for i in range(30):
+        a = rng.normal(size=24)
+        a /= np.linalg.norm(a)
+        z = rng.normal(size=24)
+        z -= (z @ a) * a
+        z /= np.linalg.norm(z)
+        t = 0.9 + (1e-9 if i % 2 else -1e-9)
+        rows += [(2 * i, [float(v) for v in a]), (2 * i + 1, [float(v) for v in t * a + np.sqrt(1 - t * t) * z])]
+        want[2 * i] = i % 2
+    got = {r.vec_id: r.n_links for r in ed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {i: got[i] for i in want} == want
