@@ -2,7 +2,8 @@
 and what stays is encoded.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again for the next one; all
-but the last return the columns of ``documents``. Rows with a null doc_id pass the filtering stages.
+but the last return the columns of ``documents``. Rows are told apart by id and text, so repeated and null ids are judged like any
+others, and more columns, whatever their names, are carried along.
 """
 
 from __future__ import annotations
@@ -12,44 +13,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import decontaminate, near_copies, quality
-from pulsegrid.llm.common import written
+from pulsegrid.llm.common import fresh, row_key, without, written
 from pulsegrid.llm.pii_surrogates import replace_entities
 from pulsegrid.llm.piece_codec import encode_decode
 from pulsegrid.llm.queries import KEY
 from pulsegrid.session import table
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` whose doc_id is not among ``ids(gone)``; nothing of the texts is shuffled where the ids are few enough."""
-    gone = written(ids.distinct(), "gone")
-    return docs.join(quality.small(gone), F.col("doc_id") == F.col("gone"), "left_anti")
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the model of trusted text is within their language's threshold."""
     return quality.kept_documents(docs, table(spark, sf_dir, "labels").filter("quality = 1"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles; of
-    rows that share a doc_id one stays."""
-    groups = written(near_copies.near_copies(docs), "groups")
-    rest = _without(docs, groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")))
-    repeated = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if repeated.isEmpty():
-        return rest
-    return rest.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.filter("doc_id is null"))
+    """The document with the least doc_id of each group of SimHash near-duplicates, which are linked by a Jaccard similarity of 0.8 or
+    more of five-word shingles; of rows that repeat id and text one stays."""
+    return near_copies.single_documents(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    leaks = decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, leaks.select(F.col("doc_id").alias("gone")))
+    keyed = docs.select(row_key().alias("row"), "text")
+    leaks = decontaminate.contained_items(keyed, table(spark, sf_dir, "benchmark"), id_col="row")
+    return without(docs, leaks.select("row"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data and the length of the new text."""
-    return replace_entities(docs, KEY).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    replaced = replace_entities(docs, KEY, count_col=fresh("n_entities", docs.columns))
+    return replaced.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

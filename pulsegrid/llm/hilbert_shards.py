@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import written
+from pulsegrid.llm.common import fresh, written
 
 #: Rows per run of one curve cell, and the least number of runs a cell is cut into.
 RUN_ROWS, LEAST_RUNS = 250_000, 256
@@ -41,36 +41,46 @@ def hilbert_index(point: tuple[int, ...], bits: int) -> int:
     return out
 
 
-def _rank(df: DataFrame, name: str) -> Column:
-    """A number in the order of the column: itself, or the first 7 bytes of a text."""
-    if isinstance(df.schema[name].dataType, T.NumericType):
-        return F.col(name).cast("double")
-    head = F.substring(F.hex(F.encode(F.col(name).cast("string"), "UTF-8")), 1, 14)
-    return F.conv(F.rpad(head, 14, "0"), 16, 10).cast("long").cast("double")
+def _cuts(base: DataFrame, column: str, levels: int) -> list:
+    """The values at which the rows are cut into levels of about equal numbers, from the counts of whole distinct values.
+
+    The values are range partitioned, and only the rows of a partition and the cuts reach one place.
+    """
+    if isinstance(base.schema[column].dataType, T.NumericType):
+        return base.agg(F.percentile_approx(column, [k / levels for k in range(1, levels)], 10_000)).first()[0] or []
+    counts = base.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    counts = written(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "shard-values")
+    parts = counts.groupBy("part").agg(F.sum("n").alias("part_n")).withColumn("before", F.sum("part_n").over(Window.orderBy("part")) - F.col("part_n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    end = F.sum("n").over(Window.partitionBy("part").orderBy("value")) + F.col("before")
+    ranked = counts.join(F.broadcast(parts), "part").select("value", "n", end.alias("end"))
+    level = F.floor((F.col("end") - F.col("n")) * levels / F.lit(max(total, 1)))
+    return sorted(r[0] for r in ranked.groupBy(level.alias("level")).agg(F.min("value").alias("cut")).filter("level > 0").select("cut").collect())
 
 
 def hilbert_shards(
-    docs: DataFrame, n_shards: int = 16, dims: tuple[str, ...] = ("lang", "source", "size"), bits: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, n_shards: int = 16, dims: tuple[str, ...] = ("lang", "source", "size"), bits: int = 4, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
 ) -> DataFrame:
-    """``(id, size, text_crc32, law, shard, slot, grown_shard, curve)`` for every row.
+    """``(id, size, text_crc32, law, shard, slot, grown_shard, curve)`` for every row; with ``row_col``, also the row as a struct of that name.
 
     ``dims`` are columns of ``docs`` or ``size`` (UTF-8 bytes of the text and 1; a null text has none). Each is
-    quantised to 2^bits levels at approximate quantiles of the whole table (nulls: level 0); a row's cell has a
-    place on the curve. Rows are ordered by (curve, run, crc, id), a run being a hashed part of a cell, so a cell
+    quantised to 2^bits levels at quantiles of the whole table (of numbers approximate ones, of others those of whole values; nulls: level 0); a
+    row's cell has a place on the curve. Rows are ordered by (curve, run, crc, id), a run being a hashed part of a cell, so a cell
     that holds a third of all rows is ranked by many tasks. Ranks come from counts of cells and runs: one task sees
     at most one row per cell, 2^(bits * dims) of them. Shards are equal runs of ranks. Ties keep any order; an
     empty table gives no rows.
     """
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     size = (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1).cast("long")
-    named = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.crc32(text).alias("crc"), *[F.col(d).alias(f"dim{k}") for k, d in enumerate(dims) if d != "size"])
-    named = named.select("id", "size", "crc", *[_rank(named, c).alias(c) for c in named.columns if c.startswith("dim")])
+    carried = [] if row_col is None else [F.struct(*docs.columns).alias("row")]
+    orderly = lambda d: F.col(d).cast("double" if isinstance(docs.schema[d].dataType, T.NumericType) else "string")
+    named = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.crc32(text).alias("crc"), *[orderly(d).alias(f"dim{k}") for k, d in enumerate(dims) if d != "size"], *carried)
     levels = 1 << bits
     columns = ["size" if d == "size" else f"dim{k}" for k, d in enumerate(dims)]
     base = written(named, "shard-rows")
-    at = [k / levels for k in range(1, levels)]
-    total, *cuts = base.agg(F.count("*"), *[F.percentile_approx(c, at, 10_000) for c in columns]).first()
-    level = [sum((F.when(F.col(c) > x, 1).otherwise(0) for x in sorted(set(cut or []))), F.lit(0)) for c, cut in zip(columns, cuts)]
+    total = base.count()
+    cuts = [_cuts(base, c, levels) for c in columns]
+    level = [sum((F.when(F.col(c) >= x if isinstance(x, str) else F.col(c) > x, 1).otherwise(0) for x in sorted(set(cut))), F.lit(0)) for c, cut in zip(columns, cuts)]
     cell = F.lit(0)
     for x in level:
         cell = cell * levels + x
@@ -78,7 +88,7 @@ def hilbert_shards(
     curve = [hilbert_index(tuple(v >> bits * (n - 1 - k) & levels - 1 for k in range(n)), bits) for v in range(levels**n)]
     place = F.expr(f"array({','.join(map(str, curve))})")
     runs = max(LEAST_RUNS, -(-total // RUN_ROWS))
-    rows = base.select("id", "size", "crc", F.element_at(place, cell + 1).alias("curve"), F.pmod(F.xxhash64("id", "crc"), F.lit(runs)).alias("run"))
+    rows = base.select("id", "size", "crc", F.element_at(place, cell + 1).alias("curve"), F.pmod(F.xxhash64("id", "crc"), F.lit(runs)).alias("run"), *(["row"] if carried else []))
     counts = rows.groupBy("curve", "run").agg(F.count("*").alias("n"))
     cells = counts.groupBy("curve").agg(F.sum("n").alias("cell_n"))
     before = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,17 +101,20 @@ def hilbert_shards(
     rank = F.col("start") + F.col("r")
     shard = F.expr(f"(start + r) * {n_shards} div {max(total, 1)}")
     first = F.expr(f"(shard * {total} + {n_shards - 1}) div {n_shards}")
-    out = ranked.select("id", "size", "crc", "curve", rank.alias("rank"), shard.alias("shard"))
+    out = ranked.select("id", "size", "crc", "curve", rank.alias("rank"), shard.alias("shard"), *(["row"] if carried else []))
     return out.select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
-        (F.col("rank") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve",
+        (F.col("rank") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve", *([F.col("row").alias(row_col)] if carried else []),
     )
 
 
-def write_shards(docs: DataFrame, shards: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes ``docs`` into one folder per shard, rows in curve order, so that file statistics prune all dimensions.
+def write_shards(docs: DataFrame, path: str, rows_per_file: int = 1_000_000, shard_col: str = "shard", **more) -> None:
+    """Writes every row of ``docs`` into one folder per shard, in curve order, so that file statistics prune all dimensions.
 
-    Ids must be unique; rows whose id is null are not written.
+    A shard is cut into files of ``rows_per_file`` slots, each a task of its own. Rows with repeated or null ids are written each. The
+    folders are named after ``shard_col``, with underscores after it where ``docs`` has a column of that name; ``more`` goes to ``hilbert_shards``.
     """
-    placed = docs.join(shards.select(id_col, "shard", "slot"), id_col)
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    name = fresh(shard_col, docs.columns)
+    placed = hilbert_shards(docs, row_col="row", **more).select("row", "shard", "slot", F.expr(f"slot div {rows_per_file}").alias("file"))
+    dealt = placed.repartition("shard", "file").sortWithinPartitions("shard", "file", "slot")
+    dealt.select(F.col("shard").alias(name), *[F.col("row")[c].alias(c) for c in docs.columns]).write.partitionBy(name).parquet(path)

@@ -1,9 +1,11 @@
-"""Near copies by exact Jaccard similarity of word shingles, with MinHash bands for the candidates.
+"""SimHash near-duplicates whose links are verified by exact Jaccard similarity of word shingles.
 
-Texts with the same set of shingles are one class. Classes that share a band of MinHash values are candidates, and a
-link is only what has the similarity in full. The members of a list are first compared with its least member alone
-and the groups that this links are not looked into again, so a large group costs no square of its size; what is still
-undecided after some rounds is compared pair by pair.
+Texts with the same set of shingles are one class. Classes with equal or close fingerprints (the pigeonring join of the SimHash operator)
+are compared first, which settles most copies. A similarity of 0.8 lets some 10 of 64 bits differ, more than any pigeonring
+key can hold, so classes that share a band of MinHash values meet as well. In each list of such classes a
+sketch of the values tells which pairs can be similar enough; of these only a spanning forest is compared in full at
+first, and the pairs that this leaves in different groups afterwards, so a large group costs no square of its size. A long list is cut
+into blocks and every pair of blocks is a group of its own.
 """
 
 from __future__ import annotations
@@ -12,22 +14,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import written
+from pulsegrid.llm.common import row_key, small, without, written
 from pulsegrid.llm.components import components
-from pulsegrid.llm.quality import small
-from pulsegrid.llm.simhash import SEED, _word_shingle_hashes
+from pulsegrid.llm.simhash import SEED, majority, shingle_hashes, similar_fingerprints
 
 #: Words of a shingle; least similarity, in fifths.
 WIDTH, FIFTHS = 5, 4
 #: Bands and values of a band: a pair at 0.8 shares none with probability (1 - 0.8**4)**24 < 4e-6.
 BANDS, ROWS = 24, 4
-#: Shingles that are permuted at once.
-BLOCK = 4096
-#: Rounds of comparing with the least member at most, and undecided pairs for each row of a list from which a round is worth it.
-STAR_ROUNDS, WORTH = 6, 2
+#: Equal values of the 96 in a sketch from which a pair is compared: a pair at 0.8 has fewer with probability 2e-4.
+LEAST_EQUAL = 62
+#: Shingles that are permuted at once; rows of a list's block, and of the slices in which a block's sketches are compared.
+SHINGLES, BLOCK, SLICE = 4096, 4096, 256
+#: Differing bits of fingerprints that are compared.
+BITS = 4
 
 _random = np.random.default_rng(SEED)
 _FACTORS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -35,20 +38,25 @@ _SHIFTS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _MIX = _random.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles; a shorter text is one shingle, one without words has none."""
-    return np.unique(np.array(_word_shingle_hashes(text or "", WIDTH), dtype="<u8"))
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The MinHash values of a set of hashes."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), SHINGLES):
+        least = np.minimum(least, (hashes[at : at + SHINGLES, None] * _FACTORS + _SHIFTS).min(axis=0))
+    return least
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
+def band_keys(least: np.ndarray) -> np.ndarray:
     """One key for each band of MinHash values."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), BLOCK):
-        least = np.minimum(least, (hashes[at : at + BLOCK, None] * _FACTORS + _SHIFTS).min(axis=0))
     mixed = (least.reshape(BANDS, ROWS) ^ (least.reshape(BANDS, ROWS) >> np.uint64(31))) * _MIX
     return (mixed ^ (mixed >> np.uint64(29))).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
 
 
+def sketch(least: np.ndarray) -> bytes:
+    """The top byte of each MinHash value, mixed: the minima themselves all begin with zeros."""
+    return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
 def _digest(hashes: np.ndarray) -> int:
     import xxhash
 
@@ -57,24 +65,141 @@ def _digest(hashes: np.ndarray) -> int:
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        reps, sizes, keys = [], [], []
-        for text in batch.column(1).to_pylist():
-            hashes = shingles(text)
-            reps.append(_digest(hashes))
-            sizes.append(len(hashes))
-            keys.append(band_keys(hashes).view(np.int64).tolist() if len(hashes) else [])
-        columns = [batch.column(0), batch.column(2), pa.array(reps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "hash", "rep", "n", "keys"])
+        rows = []
+        for text in batch.column(2):
+            every = np.array(shingle_hashes(text.as_py() or "", WIDTH), dtype="<u8")
+            hashes = np.unique(every)
+            least = minima(hashes)
+            rows.append((_digest(hashes), len(hashes), majority(every), band_keys(least).view(np.int64).tolist() if len(hashes) else [], sketch(least)))
+        kinds = {"rep": pa.int64(), "n": pa.int64(), "fp": pa.int64(), "keys": pa.list_(pa.int64()), "sketch": pa.binary()}
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(v, t) for v, t in zip(zip(*rows), kinds.values())]] if rows else [*batch.columns[:2], *[pa.array([], t) for t in kinds.values()]], names=["id", "row", *kinds])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles(text) for text in batch.column(0).to_pylist()]
+        sets = [np.unique(np.array(shingle_hashes(text or "", WIDTH), dtype="<u8")) for text in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))], names=["rep", "hashes"])
 
 
-def _sizes_allow(a: Column, b: Column) -> Column:
-    return 5 * F.least(a, b) >= FIFTHS * F.greatest(a, b)
+def _possible(sketches: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, equal): pairs of rows of different groups that are similar enough by sketch and size."""
+    out = []
+    columns = np.ascontiguousarray(sketches.T)
+    for at in range(0, len(sketches), SLICE):
+        equal = np.zeros((min(SLICE, len(sketches) - at), len(sketches) - at), np.uint8)
+        for c in columns:
+            equal += c[at : at + SLICE, None] == c[None, at:]
+        a, b = np.nonzero(equal >= LEAST_EQUAL)
+        value = equal[a, b]
+        a, b = a + at, b + at
+        good = (a < b) & (comp[a] != comp[b]) & (5 * np.minimum(n[a], n[b]) >= FIFTHS * np.maximum(n[a], n[b]))
+        if side is not None:
+            good &= side[a] != side[b]
+        out.append((a[good], b[good], value[good]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def spanning_forest(groups: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of pairs (a, b) that connect the groups of all rows as far as the pairs can, the heaviest first."""
+    label = np.unique(groups, return_inverse=True)[1]
+    order = np.argsort(-weight.astype(np.int64), kind="stable")
+    chosen = []
+    for level in np.unique(weight)[::-1]:
+        left = order[weight[order] == level]
+        while len(left):
+            x, y = label[a[left]], label[b[left]]
+            across = x != y
+            left, x, y = left[across], x[across], y[across]
+            if not len(left):
+                break
+            # each group takes its first pair; the order of pairs is the same for all, so these close no circle
+            first = np.unique(np.concatenate([np.unique(x, return_index=True)[1], np.unique(y, return_index=True)[1]]))
+            ends = np.stack([x[first], y[first]])
+            place = np.full(label.max() + 1, len(left), np.int64)
+            np.minimum.at(place, ends[0], first)
+            np.minimum.at(place, ends[1], first)
+            first = np.unique(place[place < len(left)])
+            chosen.append(left[first])
+            root = np.arange(label.max() + 1)
+            while True:
+                new = root.copy()
+                np.minimum.at(new, x[first], root[y[first]])
+                np.minimum.at(new, y[first], root[x[first]])
+                new = new[new]
+                if (new == root).all():
+                    break
+                root = new
+            label = root[label]
+    return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+
+
+def _starts(table: pa.Table) -> np.ndarray:
+    """Where runs of equal (key, bi, bj) begin."""
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for c in ("key", "bi", "bj"):
+        v = table.column(c).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def _meet(forest: bool):
+    """Pairs (a, b) of each list that are to be compared: of all that are possible, or of a spanning forest of them."""
+
+    def pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        rep, n, comp, own = (table.column(c).to_numpy() for c in ("rep", "n", "comp", "own"))
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        cross = table.column("bi")[0].as_py() != table.column("bj")[0].as_py()
+        a, b, equal = _possible(sketches, n, comp, own if cross else None)
+        if forest and len(a) > 1:
+            keep = spanning_forest(comp, a, b, equal)
+            a, b = a[keep], b[keep]
+        return np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])
+
+    def batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+            found, size = [], 0
+            for s, e in zip(starts, ends):
+                if e - s > 1:
+                    found.append(pairs(table.slice(s, e - s)))
+                    size += len(found[-1][0])
+                if size >= 1 << 18:
+                    yield batch(found)
+                    found, size = [], 0
+            if found:
+                yield batch(found)
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                if sum(x.num_rows for x in held) >= BLOCK:
+                    table = pa.Table.from_batches(held)
+                    starts = _starts(table)
+                    yield from done(table, starts[:-1], starts[1:])
+                    held = table.slice(starts[-1]).to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            starts = _starts(table)
+            yield from done(table, starts, np.append(starts[1:], table.num_rows))
+
+    return run
+
+
+def _candidates(lists: DataFrame, forest: bool, across: bool) -> DataFrame:
+    """Distinct pairs of ``lists(key, rep, n, sketch, comp)``; ``across`` also compares the blocks of a long list with each other."""
+    long_lists = small(written(lists.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK), "long-lists"))
+    blocks = F.ceil(F.coalesce("size", F.lit(1)) / BLOCK).cast("int")
+    placed = lists.join(long_lists, "key", "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1) if across else F.array("own")
+    pair = F.explode(F.transform(every, lambda b: F.struct(F.least(b, F.col("own")).alias("bi"), F.greatest(b, F.col("own")).alias("bj"))))
+    grouped = placed.select("key", "rep", "n", "sketch", "comp", "own", pair.alias("pair")).select("key", "pair.bi", "pair.bj", "own", "rep", "n", "comp", "sketch")
+    parts = max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return grouped.repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_meet(forest), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -84,63 +209,64 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").filter((5 + FIFTHS) * shared >= FIFTHS * (F.size("set_a") + F.size("set_b"))).select("a", "b")
 
 
-def _grouped(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """``(key, rep, n, comp)`` of the lists that hold more than one group still."""
-    named = lists.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+def _open(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The lists that hold more than one group still, ``comp`` being the group."""
+    named = lists.drop("comp").join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     open_keys = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
     return named.join(open_keys, "key", "left_semi")
 
 
-def _undecided(grouped: DataFrame) -> int:
-    """How many pairs of different groups the lists hold."""
-    each = grouped.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    return each.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
+def links_of(classes: DataFrame, texts: DataFrame, bits: int = BITS) -> DataFrame:
+    """``(a, b)`` of ``classes(rep, n, fp, keys, sketch, row)`` that are similar enough, as far as they are needed for the groups; ``texts`` are ``(row, text)``."""
+    heads = written(classes.groupBy("fp").agg(F.min("rep").alias("head")), "copy-fingerprints")
+    equal = classes.select("rep", "fp").join(heads, "fp").filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
+    of = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
+    close = similar_fingerprints(heads.select("fp"), bits).join(of("a"), "a").join(of("b"), "b")
+    close = close.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b"))
+    first = written(equal.unionByName(close), "copy-pairs")
+    posted = classes.select("rep", "n", "sketch", F.explode("keys").alias("key"))
+    shared = classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    lists = written(posted.join(shared, "key", "left_semi").withColumn("comp", F.col("rep")), "copy-lists")
+    wanted = first.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(lists.select("rep")).distinct()
+    wanted = small(written(classes.join(wanted, "rep", "left_semi").select("row"), "copy-texts"))
+    sets = texts.join(wanted, "row", "left_semi").select("text").mapInArrow(_sets, "rep long, hashes array<long>")
+    sets = written(sets.groupBy("rep").agg(F.first("hashes").alias("hashes")), "copy-sets")
+    links = written(_verified(first, sets), "copy-links")
+    for forest, across in ((True, False), (True, True), (False, True)):
+        lists = written(_open(lists, links), "copy-groups")
+        pairs = written(_candidates(lists, forest, across), "copy-pairs")
+        links = links.unionByName(written(_verified(pairs, sets), "copy-links"))
+    return links
 
 
-def links_of(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(a, b)`` of ``classes(rep, n, keys)`` that are similar enough, as far as they are needed for the groups."""
-    posted = classes.select("rep", "n", F.explode("keys").alias("key"))
-    shared = posted.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-    lists = written(posted.join(shared, "key", "left_semi"), "copy-lists")
-    wanted = small(written(classes.join(lists.select("rep").distinct(), "rep", "left_semi").select("hash"), "copy-texts"))
-    sets = texts.join(wanted, "hash", "left_semi").select("text").mapInArrow(_sets, "rep long, hashes array<long>")
-    sets = written(sets.groupBy("rep").agg(F.first("hashes").alias("hashes")), "copy-sets")
-    links = written(lists.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0), "copy-links")
-    grouped, rows = lists.withColumn("comp", F.col("rep")), lists.count()
-    tried = links
-    for _ in range(STAR_ROUNDS):
-        if _undecided(grouped) <= WORTH * rows:
-            break
-        hub = grouped.groupBy("key").agg(F.min(F.struct("comp", "rep", "n")).alias("hub"))
-        pairs = grouped.join(hub, "key").filter((F.col("comp") != F.col("hub.comp")) & _sizes_allow(F.col("n"), F.col("hub.n")))
-        pairs = pairs.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "copy-pairs")
-        tried = tried.unionByName(pairs)
-        found = written(_verified(pairs, sets), "copy-links")
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
-        grouped = written(_grouped(lists, links), "copy-groups")
-    left, right = (grouped.select("key", F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("comp").alias(f"comp_{c}")) for c in "ab")
-    pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _sizes_allow(F.col("n_a"), F.col("n_b")))
-    pairs = written(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "copy-pairs")
-    return links.unionByName(_verified(pairs, sets))
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, component_id)`` for every row: the least id that links of 0.8 or more reach; ids are numbers.
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """``(id, component_id, row, kept)`` for every row: the least id that links of 0.8 or more reach, and whether the row stays.
 
     The similarity is the Jaccard similarity of the sets of five-word shingles (ASCII lower case, cut at ASCII white space).
-    Null texts and those without words are copies of each other. A row with a null id belongs to its group but never
-    names it; a group of such rows alone has a null id.
+    Null texts and those without words are copies of each other. ``row`` is the ``row_key`` of id and text. One row of a group is kept, that
+    with the least id (of these, with the least key); rows that repeat it in id and text have its key and are kept like it. A null id comes
+    after all others; a group of such rows alone has a null component. Other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
-    described = written(texts.mapInArrow(_described, f"id {kind}, hash long, rep long, n long, keys array<long>"), "copy-sketches")
-    classes = described.groupBy("rep").agg(F.min("id").alias("least"), F.min("hash").alias("hash"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    classes = written(classes, "copy-classes")
-    groups = components(links_of(classes.filter("n > 0"), texts)).withColumnRenamed("node", "rep")
-    named = classes.select("rep", "least").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    heads = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = written(named.join(heads, "component").select("rep", "component_id"), "copy-names")
-    return described.select("id", "rep").join(named, "rep").select(F.col("id").alias(id_col), "component_id")
+    texts = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    described = texts.mapInArrow(_described, f"id {kind}, row long, rep long, n long, fp long, keys array<long>, sketch binary")
+    described = written(described, "copy-sketches")
+    head = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")).alias("head")
+    classes = described.groupBy("rep").agg(head, *[F.first(c).alias(c) for c in ("n", "fp", "keys", "sketch")])
+    classes = written(classes.withColumn("row", F.col("head.row")), "copy-classes")
+    groups = components(links_of(classes.filter("n > 0"), texts.select("row", "text"), bits)).withColumnRenamed("node", "rep")
+    named = classes.select("rep", "head").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    heads = named.groupBy("component").agg(F.min("head").alias("first"))
+    named = written(named.join(heads, "component").select("rep", "first"), "copy-names")
+    return described.select("id", "row", "rep").join(named, "rep").select(F.col("id").alias(id_col), F.col("first.id").alias("component_id"), "row", (F.col("row") == F.col("first.row")).alias("kept"))
+
+
+def single_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near copies, with all columns of ``docs``."""
+    groups = written(near_copies(docs, id_col, text_col), "groups")
+    rest = without(docs, groups.filter("not kept").select("row"), id_col, text_col)
+    repeated = written(groups.filter("kept").groupBy("row").count().filter("count > 1").select("row"), "repeated")
+    if repeated.isEmpty():
+        return rest
+    once = without(rest, repeated, id_col, text_col, only=True).dropDuplicates([id_col, text_col])
+    return without(rest, repeated, id_col, text_col).unionByName(once)

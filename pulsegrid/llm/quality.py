@@ -1,9 +1,9 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of four characters, trained on trusted text.
 
 The n-grams that occur in a block of documents (a split of an input file) are deduplicated in one pass; Spark sums
-their counts in trusted text, smooths them with joins of hash-partitioned count tables, and sends each block the
-log probabilities of its own n-grams, where the documents of the block add them up. So what is shuffled is each
-text once and the distinct n-grams of each block, not every n-gram occurrence.
+their counts in trusted text and smooths them with joins of hash-partitioned count tables. The log probabilities of a block's own n-grams are
+one file in the shared folder, which the task that reads the block's documents fetches to add them up. So what is
+shuffled is the distinct n-grams of each block, neither texts nor every n-gram occurrence.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import written
+from pulsegrid.llm.common import row_key, small, without, work_dir, written
 from pulsegrid.llm.kneser_ney import discounts
 
 ORDER = 4
@@ -23,10 +25,10 @@ ORDER = 4
 PAD = "\uffff" * (ORDER - 1)
 #: Characters whose n-grams are deduplicated at once.
 CHUNK = 2_000_000
-#: Rows up to which a table of one or two longs is broadcast; larger ones are joined by shuffling.
-BROADCAST_ROWS = 5_000_000
-#: Characters of median text that a document's mean is pulled towards its language's by.
+#: Characters of median text that a document's mean is pulled towards its language's by, so that short ones have wider thresholds.
 PULL = 40.0
+#: Bytes of text of a block, for rows that come from no file.
+BLOCK_BYTES = 1 << 26
 #: One trusted document in so many is not counted but sets the thresholds, and languages with fewer such documents
 #: than LEAST_CALIBRATION take the thresholds of all languages together.
 CALIBRATION, LEAST_CALIBRATION = 4, 30
@@ -79,37 +81,56 @@ def _block_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["block", "key", "n"])
 
 
-def _score_block(docs: pa.Table, table: pa.Table) -> pa.Table:
-    """The summed log probability of each text of a block."""
+def _sums(texts: list[str], keys: np.ndarray, lp: np.ndarray) -> np.ndarray:
+    """The summed log probability of each text."""
+    each = lp[np.searchsorted(keys, ngrams(texts))] if len(keys) else np.zeros(0)
+    lengths = np.array([len(t) for t in texts])
+    # U+FFFF inside a text is no n-gram: such texts are rare and summed alone
+    if len(each) != lengths.sum():
+        return np.array([lp[np.searchsorted(keys, ngrams([t]))].sum() if len(keys) else 0.0 for t in texts])
+    sums = np.concatenate([[0.0], np.cumsum(each)])
+    ends = np.cumsum(lengths)
+    return sums[ends] - sums[ends - lengths]
+
+
+def _fetched(folder: str, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted n-grams of a block and their log probabilities; none where all its texts are empty."""
+    system, path = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pyarrow.fs.LocalFileSystem(), folder)
+    found = system.get_file_info(pyarrow.fs.FileSelector(f"{path}/block={block}", allow_not_found=True))
+    tables = [pyarrow.parquet.read_table(f.path, columns=["key", "lp"], filesystem=system, partitioning=None) for f in found if f.path.endswith(".parquet")]
+    if not tables:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    table = pa.concat_tables(tables)
     keys = table.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    keys, lp = keys[order], table.column("lp").to_numpy().astype(np.float64)[order]
-    n_chars, total, texts = [], [], []
-    column = docs.column("text").to_pylist()
-
-    def add() -> None:
-        if texts:
-            lengths = np.array([len(t) for t in texts])
-            each = lp[np.searchsorted(keys, ngrams(texts))]
-            # U+FFFF inside a text is no n-gram: such texts are rare and summed alone
-            if len(each) == lengths.sum():
-                sums = np.concatenate([[0.0], np.cumsum(each)])
-                ends = np.cumsum(lengths)
-                total.extend(sums[ends] - sums[ends - lengths])
-            else:
-                total.extend(lp[np.searchsorted(keys, ngrams([t]))].sum() for t in texts)
-            n_chars.extend(lengths.tolist())
-            texts.clear()
-
-    held = 0
-    for text in column:
-        texts.append(text or "")
-        held += len(texts[-1])
-        if held >= CHUNK:
-            add()
-            held = 0
-    add()
-    return pa.table({"row": docs.column("row"), "id": docs.column("id"), "lang": docs.column("lang"), "trusted": docs.column("trusted"), "calibration": docs.column("calibration"), "n_chars": pa.array(n_chars, pa.int64()), "logp": pa.array(total, pa.float64())})
+    return keys[order], table.column("lp").to_numpy().astype(np.float64)[order]
+
+
+def _scorer(folder: str):
+    """Adds n_chars and logp to rows (block, text, others...), of which those of a block come together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, keys, lp = None, np.zeros(0, np.uint64), np.zeros(0)
+        for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(blocks)) + 1
+            for s, e in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if e > s and blocks[s] != held:
+                    held = blocks[s]
+                    keys, lp = _fetched(folder, int(held))
+                part, total = batch.slice(s, e - s), []
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                at, size = 0, 0
+                for i, text in enumerate(texts):
+                    size += len(text)
+                    if size >= CHUNK or i + 1 == len(texts):
+                        total.append(_sums(texts[at : i + 1], keys, lp))
+                        at, size = i + 1, 0
+                logp = np.concatenate(total) if total else np.zeros(0)
+                values = [pa.array([len(t) for t in texts], pa.int64()), pa.array(logp, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], *values], names=[*part.schema.names[2:], "n_chars", "logp"])
+
+    return run
 
 
 def _low(key: Column, order: int) -> Column:
@@ -145,21 +166,20 @@ def log_probabilities(grams: DataFrame) -> DataFrame:
     return lower.select("key", F.log10("p").cast("float").alias("lp"))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcasting where its counted rows are few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``(row, id, lang, trusted, calibration, n_chars, logp)`` for every row; row is a hash of id and text.
 
     ``trusted`` holds, under ``id_col``, the ids of trusted documents (nulls are ignored). Those marked for calibration are
     not counted, so their perplexities are those of unseen text.
     """
-    # a split of a file is a block; rows from elsewhere are dealt to 64 blocks
-    block = F.when(F.input_file_name() == "", F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(64))).otherwise(F.xxhash64(F.input_file_name(), F.input_file_block_start()))
+    # a split of a file is a block; rows from elsewhere are dealt to blocks by a hash
+    elsewhere = F.input_file_name() == ""
+    from_files = docs.select(elsewhere.alias("loose")).filter("loose").isEmpty()
+    size = 0 if from_files else docs.filter(elsewhere).agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    row = row_key(id_col, text_col)
+    block = F.when(elsewhere, F.pmod(row, F.lit(1 + size // BLOCK_BYTES))).otherwise(F.xxhash64(F.input_file_name(), F.input_file_block_start()))
     base = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), block.alias("block")
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), row.alias("row"), block.alias("block")
     )
     ids = small(written(trusted.select(F.col(id_col).alias("t")).filter("t is not null").distinct(), "trusted"))
     base = base.join(ids, F.col("id") == F.col("t"), "left").withColumn("trusted", F.col("t").isNotNull()).drop("t")
@@ -168,19 +188,24 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     keys = written(base.select("block", F.expr("trusted and not calibration").alias("trusted"), "text").mapInArrow(_block_ngrams, "block long, key long, n long"), "block-ngrams")
     grams = written(keys.groupBy("key").agg(F.sum("n").alias("c")), "ngrams")
     table = keys.select("block", "key").distinct().join(log_probabilities(grams), "key").select("block", "key", "lp")
+    folder = work_dir(docs.sparkSession, "block-probabilities")
+    table.repartition("block").write.partitionBy("block").parquet(folder)
+    narrow = base.select("block", "text", "row", "id", "lang", "trusted", "calibration")
+    if not from_files:
+        narrow = narrow.repartition("block").sortWithinPartitions("block")
     kinds = f"row long, id {docs.schema[id_col].dataType.simpleString()}, lang string, trusted boolean, calibration boolean, n_chars long, logp double"
-    return base.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_score_block, kinds)
+    return narrow.mapInArrow(_scorer(folder), kinds)
 
 
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``(row, id, lang, trusted, n_chars, perplexity, threshold, accepted)`` for every row.
 
-    The perplexity is per character, its logarithm pulled towards the median of the language by PULL characters so
-    that short texts are not rejected by chance. A language's threshold is the quantile of its calibration
-    documents; a language with fewer than RESOLVED takes the quantile of the distances from the median in all languages, and
-    where all have fewer together that lies twice as far out. Null and empty texts have the median's perplexity; a language with few
-    calibration documents takes the threshold of all; without any trusted document everything is accepted. Ids may repeat
-    or be null; other columns are ignored.
+    The perplexity is per character. A language's threshold is a quantile of its calibration documents; as a short text's mean scatters
+    more, the quantile is taken, and the threshold of a document set, with the logarithm of the perplexity pulled towards the median of the
+    language by PULL characters: the threshold of a long text is the quantile itself. A language with fewer than RESOLVED
+    calibration documents takes the quantile of the distances from the median in all languages, and where all have fewer together that lies
+    twice as far out; one with fewer than LEAST_CALIBRATION takes the threshold of all. Null and empty texts have the median's
+    perplexity; without any trusted document everything is accepted. Ids may repeat or be null; other columns are ignored.
     """
     scored = written(perplexities(docs, trusted, id_col, text_col, lang_col), "perplexities")
     mean = -F.col("logp") / F.greatest("n_chars", F.lit(1))
@@ -199,13 +224,15 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, id
     per_lang = written(calibration.filter("own").groupBy("lang").agg(at("x").alias("fence"), F.count("*").alias("n")).filter(F.col("n") >= RESOLVED).drop("n"), "fences")
     otherwise = F.when(F.col("own"), F.col("mid") + F.lit(beyond)).otherwise(F.lit(overall))
     judged = with_mid.join(per_lang, "lang", "left").withColumn("fence", F.coalesce("fence", otherwise))
+    own = F.when(F.col("n_chars") > 0, mean).otherwise(F.col("mid"))
+    wider = F.col("fence") + F.lit(PULL) * (F.col("fence") - F.col("mid")) / F.greatest("n_chars", F.lit(1))
     return judged.select(
-        "row", "id", "lang", "trusted", "n_chars", F.pow(F.lit(10.0), F.col("x")).alias("perplexity"), F.pow(F.lit(10.0), F.col("fence")).alias("threshold"),
+        "row", "id", "lang", "trusted", "n_chars", F.pow(F.lit(10.0), own).alias("perplexity"), F.pow(F.lit(10.0), wider).alias("threshold"),
         F.coalesce(F.col("x") <= F.col("fence"), F.lit(True)).alias("accepted"),
     )
 
 
 def kept_documents(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """The rows of ``docs`` that are accepted, unchanged."""
-    rejected = written(classify(docs, trusted, id_col=id_col, text_col=text_col, **more).filter("not accepted").select(F.col("row").alias("rejected")).distinct(), "rejected")
-    return docs.join(small(rejected), F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("rejected"), "left_anti")
+    rejected = classify(docs, trusted, id_col=id_col, text_col=text_col, **more).filter("not accepted").select("row")
+    return without(docs, rejected, id_col, text_col)

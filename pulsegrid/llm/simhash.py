@@ -3,8 +3,8 @@
 A fingerprint is cut into consecutive segments on a ring. If two fingerprints differ in at most ``bits``
 places, then from some segment on every run of consecutive segments keeps within its proportional share of
 the differences: after l segments at most floor(l * bits / m). With more segments than bits the first segment
-is equal and the second differs in at most floor(2 * bits / m) places, so both are one join key; longer runs
-prune the joined pairs before the whole fingerprints are compared.
+is equal and the second differs in at most floor(2 * bits / m) places and so on, so such a chain is one join key, whose few changes are divided among the two sides; as the table
+grows, so does the chain. Longer runs prune the joined pairs before the whole fingerprints are compared.
 """
 
 from __future__ import annotations
@@ -23,9 +23,11 @@ from pulsegrid.llm.components import components
 SEED = 42
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 17
+#: Unrelated fingerprints that one may meet on average before keys take another segment.
+MEETINGS = 16
 
 
-def _word_shingle_hashes(text: str, width: int) -> list[int]:
+def shingle_hashes(text: str, width: int) -> list[int]:
     import xxhash
 
     digest = xxhash.xxh64_intdigest
@@ -40,7 +42,11 @@ def _word_shingle_hashes(text: str, width: int) -> list[int]:
 
 def fingerprint(text: str | None, width: int = 4) -> int:
     """The signed 64-bit SimHash of a text; 0 where it has no word."""
-    hashes = np.array(_word_shingle_hashes(text or "", width), dtype="<u8")
+    return majority(np.array(shingle_hashes(text or "", width), dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The signed number whose bits are those that are set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), BLOCK):
         bits = np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -70,26 +76,53 @@ def _segment(c: Column, cut: tuple[int, int]) -> Column:
     return F.shiftrightunsigned(c, cut[0]).bitwiseAND(F.lit((1 << cut[1]) - 1).cast("long"))
 
 
-def similar_fingerprints(fps: DataFrame, bits: int = 4) -> DataFrame:
-    """``(a, b)`` with a < b for all distinct values of ``fps.fp`` that differ in 1 to ``bits`` places.
+def _flips(cuts: list[tuple[int, int]], chain: list[int], budget: list[int], most: int) -> list[int]:
+    """Masks of up to ``most`` changed bits of a chain of segments, within the budget of each of its beginnings."""
+    places = [(at, cuts[k][0] + b) for at, k in enumerate(chain) for b in range(cuts[k][1])]
+    out = []
+    for n in range(most + 1):
+        for pick in combinations(places, n):
+            if all(sum(at <= end for at, _ in pick) <= budget[end] for end in range(len(chain))):
+                out.append(sum(1 << b for _, b in pick))
+    return out
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def chain_length(n: int, bits: int) -> int:
+    """Segments of a key for ``n`` fingerprints: the fewest (two at least) with which unrelated ones seldom meet, at most three."""
+    m = bits + 1
+    cuts, budget = _cuts(m), [length * bits // m for length in range(1, m + 1)]
+    for length in range(2, min(3, m) + 1):
+        width = min(sum(cuts[(k + i) % m][1] for i in range(length)) for k in range(m))
+        variants = [len(_flips(cuts, list(range(length)), budget, half)) for half in (budget[length - 1] // 2, -(-budget[length - 1] // 2))]
+        if m * variants[0] * variants[1] * n / 2**width <= MEETINGS:
+            break
+    return length
+
+
+def similar_fingerprints(fps: DataFrame, bits: int = 4, segments: int | None = None) -> DataFrame:
+    """``(a, b)`` with a < b for all distinct values of ``fps.fp`` that differ in 1 to ``bits`` places (bits >= 1).
 
-    One side gives each segment with its neighbour as it is, the other gives the neighbour with every change that
-    the budget allows; a key is some 26 bits for 4 differing bits, so unrelated fingerprints seldom meet.
+    A key is a chain of ``segments`` segments from some place of the ring on (by default as many as the table's size asks for). Its
+    allowed changes are divided: each side gives the chain with every change of up to half of them.
     """
     m = bits + 1
     cuts = _cuts(m)
     budget = [length * bits // m for length in range(1, m + 1)]
-    key = lambda first, second, k: F.struct(F.lit(k).alias("k"), first.alias("s"), second.alias("n"))
+    segments = segments or chain_length(fps.count(), bits)
     fp, probes, targets = F.col("fp"), [], []
     for k in range(m):
-        follower = cuts[(k + 1) % m]
-        flips = [0] + [sum(1 << b for b in pick) for d in range(1, budget[1] + 1) for pick in combinations(range(follower[1]), d)]
-        first, second = _segment(fp, cuts[k]), _segment(fp, follower)
-        probes.append(key(first, second, k))
-        targets += [key(first, second.bitwiseXOR(F.lit(x).cast("long")), k) for x in flips]
-    probe = fps.select(F.col("fp").alias("p"), F.explode(F.array(*probes)).alias("key"))
-    target = fps.select(F.col("fp").alias("q"), F.explode(F.array(*targets)).alias("key"))
-    flat = lambda df, c: df.select(c, "key.k", "key.s", "key.n")
+        chain = [(k + i) % m for i in range(segments)]
+        mask = sum((1 << cuts[c][1]) - 1 << cuts[c][0] for c in chain)
+        own = fp.bitwiseAND(F.lit(_signed(mask)).cast("long"))
+        half = budget[segments - 1] // 2
+        for out, most in ((probes, half), (targets, budget[segments - 1] - half)):
+            out += [F.struct(F.lit(k).alias("k"), own.bitwiseXOR(F.lit(_signed(x)).cast("long")).alias("v")) for x in _flips(cuts, chain, budget, most)]
+    probe = fps.select(F.col("fp").alias("p"), F.explode(F.array(*probes)).alias("key")).select("p", "key.k", "key.v")
+    target = fps.select(F.col("fp").alias("q"), F.explode(F.array(*targets)).alias("key")).select("q", "key.k", "key.v")
     differs = F.col("p").bitwiseXOR(F.col("q"))
     counts = [F.bit_count(_segment(differs, c)) for c in cuts]
 
@@ -101,8 +134,9 @@ def similar_fingerprints(fps: DataFrame, bits: int = 4) -> DataFrame:
         return out
 
     ring = F.coalesce(*(F.when(F.col("k") == k, on_budget(k)) for k in range(m)))
-    met = flat(probe, "p").join(flat(target, "q"), ["k", "s", "n"]).filter((F.col("p") != F.col("q")) & ring & (F.bit_count(differs) <= bits))
-    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    # either side of a pair finds the other, so one order is enough
+    met = probe.join(target, ["k", "v"]).filter((F.col("p") < F.col("q")) & ring & (F.bit_count(differs) <= bits))
+    return met.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = 4) -> DataFrame:

@@ -16,8 +16,8 @@ SAFE = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters outside the range where all Unicode versions agree on letters, digits and white space.
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
-#: Entries of a worker's memo of pre-token lengths; it starts anew when full.
-MEMO = 400_000
+#: Entries of a worker's memo of pre-token lengths, and their greatest length; it starts anew when full. Longer ones are not kept.
+MEMO, MEMO_LENGTH = 400_000, 64
 
 
 def pieces(text: str, size: int) -> Iterator[str]:
@@ -30,11 +30,11 @@ def pieces(text: str, size: int) -> Iterator[str]:
 
 
 def byte_batches(texts: list[str], size: int) -> Iterator[list[int]]:
-    """Runs of row numbers whose texts hold about ``size`` characters together."""
+    """Runs of row numbers whose texts hold about ``size`` UTF-8 bytes together."""
     run, held = [], 0
     for i, text in enumerate(texts):
         run.append(i)
-        held += len(text)
+        held += len(text) if text.isascii() else len(text.encode())
         if held >= size:
             yield run
             run, held = [], 0
@@ -77,21 +77,23 @@ class Counter:
                 split.append((i, self.splitter.findall(text)))
             else:
                 whole.append(i)
-        new = set().union(*(tokens for _, tokens in split)) - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO:
+        used = set().union(*(tokens for _, tokens in split))
+        if len(self.memo) + len(used - self.memo.keys()) > MEMO:
             self.memo.clear()
-            new = set().union(*(tokens for _, tokens in split))
-        ordered = list(new)
-        self.memo.update(zip(ordered, map(len, self.encoder.encode_batch_fast(ordered, add_special_tokens=False))))
+        new = list(used - self.memo.keys())
+        self.memo.update(zip(new, map(len, self.encoder.encode_batch_fast(new, add_special_tokens=False))))
         for i, tokens in split:
             out[i] = sum(map(self.memo.__getitem__, tokens))
+        for token in new:
+            if len(token) > MEMO_LENGTH:
+                del self.memo[token]
         for i, got in zip(whole, self.encoder.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
             out[i] = len(got)
         return out
 
 
 def token_counts(
-    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, batch_chars: int = 1 << 19, piece_chars: int = 1 << 16
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, batch_bytes: int = 1 << 19, piece_chars: int = 1 << 16
 ) -> DataFrame:
     """``(id, n_bytes, n_tokens, over_limit)`` for every row.
 
@@ -110,7 +112,7 @@ def token_counts(
                     owner.append(i)
                     parts.append(p)
             n_tokens = [0] * len(texts)
-            for rows in byte_batches(parts, batch_chars):
+            for rows in byte_batches(parts, batch_bytes):
                 for i, n in zip(rows, counter.lengths([parts[i] for i in rows])):
                     n_tokens[owner[i]] += n
             n_bytes = [len(t.encode()) for t in texts]

@@ -3,7 +3,8 @@
 Voters are words and word beginnings mined from labelled training text, and patterns of spelling. The label model
 is a class-conditional tree over the voters: each vote depends on the hidden class (accuracy) and on the vote it is
 most correlated with given the class. It is fitted by expectation maximisation on the counts of vote patterns over
-all training documents, and its posterior labels train a logistic regression.
+all training documents, and its posterior labels train a logistic regression. Documents whose votes have the same levels are one weighted row
+of the regression, so it takes all training documents, and nothing is sampled.
 """
 
 from __future__ import annotations
@@ -18,11 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import id_bucket, written
-from pulsegrid.llm.quality import small
+from pulsegrid.llm.common import id_bucket, small, written
 
-#: Rows that terms are mined from and that the classifier is fitted on, at most (about; chosen by a hash of the id).
-SAMPLE = 40_000
+#: Levels of a voter's count: 0, 1, 2 to 3, 4 to 7 and so on, up to this one for all more.
+LEVELS = 5
 #: Mined terms, length of a word beginning, and voters that hold one term each or a share of the rest.
 TERMS, STEM, SINGLE, SHARES = 400, 5, 6, 4
 #: Least share of toxic rows that a term occurs in, and least ratio of its rates in toxic and other rows.
@@ -139,15 +139,17 @@ def _pattern(counts: Column) -> Column:
     return F.aggregate(counts, F.lit(0), lambda a, c: a * 2 + (c > 0).cast("int"))
 
 
-def score_toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, sample: int = SAMPLE
-) -> DataFrame:
+def _level(count: Column) -> Column:
+    return F.least(F.ceil(F.log2(count + 1)), F.lit(LEVELS)).cast("double")
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5) -> DataFrame:
     """``(id, held_out, score, predicted)`` for every row; label, language, source and id are no input of a score.
 
     Rows whose crc32 of the id modulo ``folds`` is 0 are held out: neither their labels nor their votes are learnt
     from. Null and empty texts cast no vote and get the score of no vote. Labels that are null or whose id is null are
     ignored, of several labels of an id the greatest counts. Without any toxic training label all scores are 0.
-    Terms are mined from and the classifier is fitted on at most about ``sample`` rows; vote patterns are counted over all.
+    Labels choose the terms and fix the class of their rows in the label model; the classifier is fitted to the model's posterior alone.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
@@ -155,15 +157,13 @@ def score_toxicity(
     known = labels.select(F.col(id_col).alias("__label_id"), F.col(label_col).cast("int").alias("toxic")).filter("__label_id is not null and toxic is not null")
     known = known.filter(id_bucket("__label_id", folds) != 0).groupBy("__label_id").agg(F.max("toxic").alias("toxic"))
     known = written(known, "toxic-labels")
-    n_known = known.count()
-    share = lambda n: F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 20)) < math.ceil(min(1.0, sample / max(n, 1)) * (1 << 20))
     base = docs.select(id_col, F.col(text_col).alias("text"), (id_bucket(id_col, folds) == 0).alias("held_out"))
     base = base.join(small(known), F.col(id_col) == F.col("__label_id"), "left").drop("__label_id")
-    lexicon = mined_lexicon(base.filter(F.col("toxic").isNotNull() & share(n_known)).select("text", "toxic"))
+    lexicon = mined_lexicon(base.filter(F.col("toxic").isNotNull()).select("text", "toxic"))
     votes = written(vote_counts(base, lexicon, [id_col, "held_out", "toxic"]), "votes").withColumn("pattern", _pattern(F.col("counts")))
     train = votes.filter("not held_out")
     # at most 2^VOTERS rows
-    table = train.groupBy("pattern").agg(F.count_if(F.col("toxic").isNull()), F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1), F.count("*").alias("n")).orderBy("pattern").collect()
+    table = train.groupBy("pattern").agg(F.count_if(F.col("toxic").isNull()), F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).orderBy("pattern").collect()
     if not any(r[3] for r in table):
         return votes.select(id_col, "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     seen = np.array([list(r) for r in table], float)
@@ -171,16 +171,16 @@ def score_toxicity(
     q = posterior(bits, *seen[:, 1:4].T)
     spark = docs.sparkSession
     of_pattern = F.broadcast(spark.createDataFrame([(int(r[0]), float(p)) for r, p in zip(table, q)], "pattern int, q double"))
-    features = array_to_vector(F.concat(F.transform("counts", lambda c: (c > 0).cast("double")), F.transform("counts", lambda c: F.log1p(c).cast("double"))))
-    fitted = train.filter(share(int(seen[:, 4].sum()))).join(of_pattern, "pattern").withColumn("q", F.coalesce(F.col("toxic").cast("double"), F.col("q")))
-    # rows of equal votes count together
-    fitted = fitted.groupBy("counts").agg(F.sum("q").alias("w1"), F.sum(1 - F.col("q")).alias("w0"))
-    both = fitted.select("counts", F.explode(F.array(*[F.struct(F.lit(float(y)).alias("y"), F.col(f"w{y}").alias("w")) for y in (0, 1)])).alias("t")).select(features.alias("x"), "t.y", "t.w").filter("w > 0")
-    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=60, regParam=1e-4).fit(written(both.select("x", "y", "w"), "posterior"))
+    levels = F.transform("counts", _level)
+    alike = train.groupBy("pattern", levels.alias("levels")).agg(F.count("*").alias("n")).join(of_pattern, "pattern")
+    features = array_to_vector(F.concat(F.transform("levels", lambda c: (c > 0).cast("double")), "levels"))
+    both = alike.select(features.alias("x"), F.explode(F.array(*[F.struct(F.lit(float(y)).alias("y"), (F.col("n") * (F.col("q") if y else 1 - F.col("q"))).alias("w")) for y in (0, 1)])).alias("t"))
+    both = both.select("x", "t.y", "t.w").filter("w > 0")
+    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=60, regParam=1e-4).fit(written(both, "posterior"))
     weights = [float(v) for v in model.coefficients]
     raw = F.lit(float(model.intercept))
     for k in range(VOTERS):
         c = F.get("counts", F.lit(k))
-        raw = raw + F.when(c > 0, weights[k] + weights[VOTERS + k] * F.log1p(c)).otherwise(0.0)
+        raw = raw + F.when(c > 0, weights[k] + weights[VOTERS + k] * _level(c)).otherwise(0.0)
     score = 1 / (1 + F.exp(-raw))
     return votes.withColumn("score", score).select(id_col, "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

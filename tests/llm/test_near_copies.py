@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from pulsegrid.llm import near_copies, simhash
 
@@ -43,8 +45,34 @@ def test_the_stage_against_brute_force(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(groups.values()))
 
 
-def test_a_large_group(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "WORTH", 0)
-    docs = family(2, 2, 80, 7)
+def test_large_groups_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 30)
+    docs = family(2, 3, 80, 12)
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in near_copies.near_copies(frame).collect()} == brute(docs)[1]
+
+
+def test_a_forest_connects_what_can_be_connected():
+    rng = np.random.default_rng(3)
+    for n in (2, 5, 30):
+        groups = rng.integers(0, n, n)
+        a, b = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n)))
+        some = (a < b) & (groups[a] != groups[b]) & (rng.random(len(a)) < 0.3)
+        a, b = a[some], b[some]
+        keep = near_copies.spanning_forest(groups, a, b, rng.integers(60, 97, len(a)).astype(np.uint8))
+        every, few = (brute_components([(groups[i], groups[j]) for i, j in zip(x, y)], set(groups)) for x, y in ((a, b), (a[keep], b[keep])))
+        assert every == few and len(keep) == len(set(groups)) - len(set(every.values()))
+
+
+def test_rows_that_share_an_id(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, "y y"), (5, "x x"), (5, "y y"), (None, "only here"), (None, long), (9, long), (9, long), (9, "z z"), (9, "z z"), (None, "only here")]
+    frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, gone int, row_key int")
+    got = near_copies.single_documents(frame)
+    assert got.columns == frame.columns
+    assert sorted(((r.doc_id, r.text[:8]) for r in got.collect()), key=str) == sorted([(3, "y y"), (5, "x x"), (None, "only her"), (9, long[:8]), (9, "z z")], key=str)
+
+
+def test_nothing(spark):
+    frame = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    assert near_copies.single_documents(frame.limit(0)).count() == 0 and near_copies.single_documents(frame).count() == 1

@@ -1,5 +1,6 @@
 import itertools
 
+import pytest
 import xxhash
 
 from pulsegrid.llm import simhash
@@ -44,7 +45,8 @@ def test_whole_table_against_brute_force(spark, sf_dir):
     assert got == {i: (f"{fps[i]:016x}", groups[i]) for i in fps}
 
 
-def test_every_link_within_four_bits_is_found(spark):
+@pytest.mark.parametrize("bits, segments", [(4, 2), (4, 3), (2, 2), (6, 2), (1, 2)])
+def test_every_link_within_the_bits_is_found(spark, bits, segments):
     import random
 
     rng = random.Random(5)
@@ -58,9 +60,9 @@ def test_every_link_within_four_bits_is_found(spark):
             fps.add(x)
     fps = list(fps)
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    got = {frozenset((r.a, r.b)) for r in simhash.similar_fingerprints(spark.createDataFrame(signed, "fp long")).collect()}
-    want = {frozenset((a, b)) for (a,), (b,) in itertools.combinations(signed, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
-    assert got == want and len(want) > 100
+    got = {frozenset((r.a, r.b)) for r in simhash.similar_fingerprints(spark.createDataFrame(signed, "fp long"), bits, segments).collect()}
+    want = {frozenset((a, b)) for (a,), (b,) in itertools.combinations(signed, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= bits}
+    assert got == want and len(want) > 15 * bits
 
 
 def test_odd_rows(spark):
@@ -78,3 +80,7 @@ def test_components_of_a_long_chain_and_a_star(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {i: 0 for i in range(61)} | {1000 + i: 1000 for i in range(80)}
     assert got == want
+
+
+def test_keys_grow_with_the_table():
+    assert simhash.chain_length(250_000, 4) == 2 and simhash.chain_length(10**9, 4) == 3

@@ -214,13 +214,25 @@ def test_shards(spark, sf_dir, tmp_path):
     order = [r.curve for r in sorted(got, key=lambda r: (r.shard, r.slot))]
     assert order == sorted(order)
     assert hilbert_shards.hilbert_shards(docs.limit(0)).count() == 0 and hilbert_shards.hilbert_shards(docs.limit(3)).count() == 3
-    hilbert_shards.write_shards(docs, hilbert_shards.hilbert_shards(docs), str(tmp_path / "s"))
+    odd = docs.unionByName(extra).withColumn("shard", F.lit("own"))
+    hilbert_shards.write_shards(odd, str(tmp_path / "s"), rows_per_file=5)
     back = spark.read.parquet(str(tmp_path / "s"))
-    assert back.count() == docs.count()
+    assert back.columns == [*odd.columns, "shard_"]
+    lines = lambda rows: collections.Counter(tuple(r[c] for c in odd.columns) for r in rows)
+    assert lines(back.collect()) == lines(odd.collect())
+    files = collections.Counter(p.parent.name for p in (tmp_path / "s").rglob("*.parquet"))
+    assert len(files) == 16 and min(files.values()) >= 2
+    back = back.withColumn("shard", F.col("shard_"))
     # a filter on one dimension meets few shards
     assert back.filter("lang = 'de'").select("shard").distinct().count() < 16
 
 
+def test_long_values_with_one_beginning_are_told_apart(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('common_crawl_part_', lpad(id % 40, 3, '0')) AS source", "'x' AS text")
+    got = hilbert_shards.hilbert_shards(docs, dims=("source",)).join(docs, "doc_id").groupBy("source").agg(F.countDistinct("shard").alias("n"), F.countDistinct("curve").alias("c")).collect()
+    assert len(got) == 40 and all(r.n <= 2 and r.c == 1 for r in got)
+
+
 @pytest.mark.parametrize("n, bits", [(2, 3), (3, 3), (4, 2)])
 def test_the_curve_visits_neighbours(n, bits):
     import itertools
