@@ -111,10 +111,10 @@ def hilbert_shards(
 def write_shards(docs: DataFrame, path: str, rows_per_file: int = 1_000_000, shard_col: str = "shard", **more) -> None:
     """Writes every row of ``docs`` into one folder per shard, in curve order, so that file statistics prune all dimensions.
 
-    A shard is cut into files of ``rows_per_file`` slots, each a task of its own. Rows with repeated or null ids are written each. The
+    A shard is cut into files of at most ``rows_per_file`` rows, runs of slots that different tasks write. Rows with repeated or null ids are written each. The
     folders are named after ``shard_col``, with underscores after it where ``docs`` has a column of that name; ``more`` goes to ``hilbert_shards``.
     """
     name = fresh(shard_col, docs.columns)
     placed = hilbert_shards(docs, row_col="row", **more).select("row", "shard", "slot", F.expr(f"slot div {rows_per_file}").alias("file"))
     dealt = placed.repartition("shard", "file").sortWithinPartitions("shard", "file", "slot")
-    dealt.select(F.col("shard").alias(name), *[F.col("row")[c].alias(c) for c in docs.columns]).write.partitionBy(name).parquet(path)
+    dealt.select(F.col("shard").alias(name), *[F.col("row")[c].alias(c) for c in docs.columns]).write.option("maxRecordsPerFile", rows_per_file).partitionBy(name).parquet(path)
