@@ -11,6 +11,7 @@ into blocks and every pair of blocks is a group of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ BANDS, ROWS = 24, 4
 LEAST_EQUAL = 62
 #: Shingles that are permuted at once; rows of a list's block, and of the slices in which a block's sketches are compared.
 SHINGLES, BLOCK, SLICE = 4096, 4096, 256
+#: Lists of up to so many rows are compared together, all their possible pairs, without a forest.
+FEW = 6
 #: Differing bits of fingerprints that are compared.
 BITS = 4
 
@@ -81,6 +84,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))], names=["rep", "hashes"])
 
 
+def _allowed(n: np.ndarray, comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows are of different groups and of sizes that allow the similarity."""
+    return (comp[a] != comp[b]) & (5 * np.minimum(n[a], n[b]) >= FIFTHS * np.maximum(n[a], n[b]))
+
+
 def _possible(sketches: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, equal): pairs of rows of different groups that are similar enough by sketch and size."""
     out = []
@@ -92,13 +100,28 @@ def _possible(sketches: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.nd
         a, b = np.nonzero(equal >= LEAST_EQUAL)
         value = equal[a, b]
         a, b = a + at, b + at
-        good = (a < b) & (comp[a] != comp[b]) & (5 * np.minimum(n[a], n[b]) >= FIFTHS * np.maximum(n[a], n[b]))
+        good = (a < b) & _allowed(n, comp, a, b)
         if side is not None:
             good &= side[a] != side[b]
         out.append((a[good], b[good], value[good]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _of_few(starts: np.ndarray, length: np.ndarray, sketches: np.ndarray, n: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The possible pairs of rows of many short lists."""
+    a, b = [], []
+    for size in np.unique(length):
+        at = starts[length == size]
+        for i, j in combinations(range(size), 2):
+            a.append(at + i)
+            b.append(at + j)
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    good = _allowed(n, comp, a, b)
+    a, b = a[good], b[good]
+    similar = np.concatenate([(sketches[a[k : k + BLOCK]] == sketches[b[k : k + BLOCK]]).sum(axis=1) >= LEAST_EQUAL for k in range(0, len(a), BLOCK)] or [np.zeros(0, bool)])
+    return a[similar], b[similar]
+
+
 def spanning_forest(groups: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Places of pairs (a, b) that connect the groups of all rows as far as the pairs can, the heaviest first."""
     label = np.unique(groups, return_inverse=True)[1]
@@ -146,55 +169,49 @@ def _starts(table: pa.Table) -> np.ndarray:
 def _meet(forest: bool):
     """Pairs (a, b) of each list that are to be compared: of all that are possible, or of a spanning forest of them."""
 
-    def pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        rep, n, comp, own = (table.column(c).to_numpy() for c in ("rep", "n", "comp", "own"))
+    def done(table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        rep, n, comp, own, bi, bj = (table.column(c).to_numpy() for c in ("rep", "n", "comp", "own", "bi", "bj"))
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-        cross = table.column("bi")[0].as_py() != table.column("bj")[0].as_py()
-        a, b, equal = _possible(sketches, n, comp, own if cross else None)
-        if forest and len(a) > 1:
-            keep = spanning_forest(comp, a, b, equal)
-            a, b = a[keep], b[keep]
-        return np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])
-
-    def batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found)], names=["a", "b"])
+        length = ends - starts
+        few = (length <= FEW) & (bi[starts] == bj[starts])
+        found = [_of_few(starts[few], length[few], sketches, n, comp)]
+        for s, e in zip(starts[~few], ends[~few]):
+            a, b, equal = _possible(sketches[s:e], n[s:e], comp[s:e], own[s:e] if bi[s] != bj[s] else None)
+            if forest and len(a) > 1:
+                keep = spanning_forest(comp[s:e], a, b, equal)
+                a, b = a[keep], b[keep]
+            found.append((a + s, b + s))
+        a, b = (np.concatenate(x) for x in zip(*found))
+        pairs = np.unique(np.stack([np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def done(table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-            found, size = [], 0
-            for s, e in zip(starts, ends):
-                if e - s > 1:
-                    found.append(pairs(table.slice(s, e - s)))
-                    size += len(found[-1][0])
-                if size >= 1 << 18:
-                    yield batch(found)
-                    found, size = [], 0
-            if found:
-                yield batch(found)
-
         for b in batches:
             if b.num_rows:
                 held.append(b)
                 if sum(x.num_rows for x in held) >= BLOCK:
                     table = pa.Table.from_batches(held)
                     starts = _starts(table)
-                    yield from done(table, starts[:-1], starts[1:])
+                    if len(starts) > 1:
+                        yield done(table, starts[:-1], starts[1:])
                     held = table.slice(starts[-1]).to_batches()
         if held:
             table = pa.Table.from_batches(held)
             starts = _starts(table)
-            yield from done(table, starts, np.append(starts[1:], table.num_rows))
+            yield done(table, starts, np.append(starts[1:], table.num_rows))
 
     return run
 
 
-def _candidates(lists: DataFrame, forest: bool, across: bool) -> DataFrame:
+def _long(lists: DataFrame) -> DataFrame:
+    return written(lists.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK), "long-lists")
+
+
+def _candidates(lists: DataFrame, long_lists: DataFrame, forest: bool, across: bool) -> DataFrame:
     """Distinct pairs of ``lists(key, rep, n, sketch, comp)``; ``across`` also compares the blocks of a long list with each other."""
-    long_lists = small(written(lists.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK), "long-lists"))
     blocks = F.ceil(F.coalesce("size", F.lit(1)) / BLOCK).cast("int")
-    placed = lists.join(long_lists, "key", "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = lists.join(small(long_lists), "key", "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1) if across else F.array("own")
     pair = F.explode(F.transform(every, lambda b: F.struct(F.least(b, F.col("own")).alias("bi"), F.greatest(b, F.col("own")).alias("bj"))))
     grouped = placed.select("key", "rep", "n", "sketch", "comp", "own", pair.alias("pair")).select("key", "pair.bi", "pair.bj", "own", "rep", "n", "comp", "sketch")
@@ -233,9 +250,13 @@ def links_of(classes: DataFrame, texts: DataFrame, bits: int = BITS) -> DataFram
     sets = written(sets.groupBy("rep").agg(F.first("hashes").alias("hashes")), "copy-sets")
     links = written(_verified(first, sets), "copy-links")
     for forest, across in ((True, False), (True, True), (False, True)):
-        lists = written(_open(lists, links), "copy-groups")
-        pairs = written(_candidates(lists, forest, across), "copy-pairs")
-        links = links.unionByName(written(_verified(pairs, sets), "copy-links"))
+        if not (forest and across) or not long_lists.isEmpty():
+            lists = written(_open(lists, links), "copy-groups")
+            long_lists = _long(lists)
+        # without a long list the first forest has seen all that the second would
+        if not (forest and across and long_lists.isEmpty()):
+            pairs = written(_candidates(lists, long_lists, forest, across), "copy-pairs")
+            links = links.unionByName(written(_verified(pairs, sets), "copy-links"))
     return links
 
 
