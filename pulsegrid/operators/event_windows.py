@@ -11,13 +11,13 @@ from pulsegrid.operators.bands import band_join
 def first_after(markers: DataFrame, events: DataFrame, on: str, t_marker: str, t_event: str, slack: int = 0) -> DataFrame:
     """Each marker with ``found``, the time of the first event of the same key at or after it (less ``slack``); null if none.
 
-    One pass over both tables in time order instead of a range join: a window looks ahead to the nearest event.
+    One pass over both tables in falling order of time instead of a range join: a running window keeps the nearest event.
     """
     a = markers.select("*", (F.col(t_marker) - slack).alias("__t"), F.lit(0).alias("__event"))
     b = events.select(F.col(on), F.col(t_event).alias("__t"), F.lit(1).alias("__event"))
-    ahead = Window.partitionBy(on).orderBy("__t", "__event").rowsBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy(on).orderBy(F.desc("__t"), F.desc("__event")).rowsBetween(Window.unboundedPreceding, -1)
     both = a.unionByName(b, allowMissingColumns=True)
-    found = F.first(F.when(F.col("__event") == 1, F.col("__t")), ignorenulls=True).over(ahead)
+    found = F.last(F.when(F.col("__event") == 1, F.col("__t")), ignorenulls=True).over(ahead)
     return both.withColumn("found", found).filter("__event = 0").drop("__t", "__event")
 
 

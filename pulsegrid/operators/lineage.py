@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Parts of a session up to which their table is broadcast.
+MOST_PARTS = 10_000
+
 
 def range_union(ranges: DataFrame, key: str, t0: str = "t0", t1: str = "t1") -> DataFrame:
     """Closed ranges of each key joined where they overlap or touch: ``(key, t0, t1)``."""
@@ -30,22 +35,27 @@ def clip_ranges(ranges: DataFrame, parts: DataFrame) -> DataFrame:
 
     ``ranges(range_id, t0, t1)``, ``parts(part, start, stop)``: as many parts as a session has files.
     """
-    rows = ranges.join(F.broadcast(parts), (F.col("t1") > F.col("start")) & (F.col("t0") < F.col("stop")))
+    few = F.broadcast(parts) if parts.count() <= MOST_PARTS else parts
+    rows = ranges.join(few, (F.col("t1") > F.col("start")) & (F.col("t0") < F.col("stop")))
     lo, hi = F.greatest("t0", "start"), F.least("t1", "stop")
     return rows.select("range_id", "part", (lo - F.col("start")).alias("t0"), (hi - F.col("start")).alias("t1"))
 
 
+def shared_root(spark: SparkSession) -> None:
+    """Sees to a checkpoint folder: ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on one machine."""
+    sc = spark.sparkContext
+    if not (sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pulsegrid-"))
+
+
 def merge_groups(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``(node, root)`` of the groups linked by ``edges(a, b)``; the root is the least member.
 
     Every round each node takes the least label around it and then its label's label; rounds are checkpointed.
     """
-    spark = edges.sparkSession
-    sc = spark.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pulsegrid-"))
+    shared_root(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a is not null and b is not null").distinct()
     both = both.checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")).checkpoint()

@@ -1,4 +1,4 @@
-"""Matching of two event sets within a tolerance: any, nearest, and one to one under two rules; scores of a match."""
+"""Matching of two event sets within a tolerance: any, nearest, and one to one; scores of a match."""
 
 from __future__ import annotations
 
@@ -32,15 +32,12 @@ def nearest_match(ref: DataFrame, test: DataFrame, on: list[str], t: str, tolera
     return best.select(ref_id, F.col("b.i").alias(test_id), F.col("b.dt").alias("dt"))
 
 
-def one_to_one(ref: DataFrame, test: DataFrame, on: str, t: str, tolerance: int, rule: str = "window") -> DataFrame:
-    """``(on, t_ref, t_test)``: ref events in time order each take the nearest unused test event within the tolerance.
+def one_to_one(ref: DataFrame, test: DataFrame, on: str, t: str, tolerance: int) -> DataFrame:
+    """``(on, t_ref, t_test)``: ref events in time order each take the nearest unused test event within the tolerance; of equally near ones the earlier.
 
-    ``rule`` decides between equally near ones: "window" and "global" both take the earlier; "global" looks at the
-    nearest unused event whatever its distance and drops it beyond the tolerance, which gives the same pairs. Events of both
+    To look at the nearest unused event whatever its distance and drop it beyond the tolerance gives the same pairs. Events of both
     sides are cut into islands further apart than the tolerance, which cannot compete, so a long train is many groups.
     """
-    if rule not in ("window", "global"):
-        raise ValueError(rule)
     both = ref.select(on, t, F.lit(0).alias("side")).unionByName(test.select(on, t, F.lit(1).alias("side")))
     w = Window.partitionBy(on).orderBy(t, "side")
     new = F.coalesce((F.col(t) - F.lag(t).over(w) > tolerance).cast("int"), F.lit(0))

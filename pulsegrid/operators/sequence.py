@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,67 +126,94 @@ def thin(events: DataFrame, key: str, t: str, dead: int, depth: str | None = Non
     return _scan(grouped, [key, "session"], keep, events.schema.simpleString()[7:-1])
 
 
-def log10_poisson_tail(k: int, mean: float) -> float:
-    """log10 P(N >= k) of a Poisson count, at least -300."""
-    if k <= 0:
-        return 0.0
-    if mean <= 0:
-        return -300.0
-    if k < mean:
-        below = sum(math.exp(i * math.log(mean) - mean - math.lgamma(i + 1)) for i in range(k))
-        return max(-300.0, math.log10(max(1.0 - below, 1e-300)))
-    log, total, term, i = k * math.log(mean) - mean - math.lgamma(k + 1), 1.0, 1.0, k
-    while term > 1e-17 * total and i < k + 10_000:
-        i += 1
-        term *= mean / i
-        total += term
-    return max(-300.0, (log + math.log(total)) / math.log(10))
+#: Events that a run grows over.
+REACH = 200
+_LOG_FACTORIAL = np.array([math.lgamma(i + 1) for i in range(2 * REACH)])
+
+
+def surprises(k: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """-log10 P(N >= k) of Poisson counts, at most 300; k is at most REACH + 1, and 0 where the mean is not positive."""
+    k, mean = np.broadcast_arrays(np.asarray(k, np.int64), np.asarray(mean, float))
+    out = np.zeros(k.shape)
+    some = (mean > 0) & (k > 0)
+    k, mean = k[some], mean[some]
+    if not len(k):
+        return out
+    log_mean = np.log(mean)[:, None]
+    terms = np.arange(k.max() + 1)[None]
+    below = np.exp(terms * log_mean - mean[:, None] - _LOG_FACTORIAL[terms])
+    head = np.where(terms < k[:, None], below, 0.0).sum(axis=1)
+    # where k exceeds the mean the terms from k on fall at least like a geometric series
+    steps = np.arange(1, 4 * REACH)[None]
+    ratios = np.where(k[:, None] > mean[:, None], mean[:, None] / (k[:, None] + steps), 0.0)
+    tail = k * log_mean[:, 0] - mean - _LOG_FACTORIAL[k] + np.log1p(np.cumprod(ratios, axis=1).sum(axis=1))
+    log10 = np.where(k > mean, tail / math.log(10), np.log10(np.maximum(1.0 - head, 1e-300)))
+    out[some] = np.minimum(-log10, 300.0)
+    return out
 
 
 def surprise(k: int, rate: float, span: float) -> float:
     """Poisson surprise of k events within ``span`` seconds at ``rate`` a second."""
-    return -log10_poisson_tail(k, rate * span) if span > 0 else 0.0
-
-
-def _bursts_of(times: list[int], rate: float, seed: int, least: int, least_surprise: float, ticks_per_s: float, reach: int = 200) -> Iterable[tuple[int, int, int, float]]:
-    i, n = 0, len(times)
-    while i < n - 1:
-        if times[i + 1] - times[i] >= seed:
-            i += 1
-            continue
-        best, end = -math.inf, i + 1
-        for j in range(i + 1, min(i + 1 + reach, n)):
-            s = surprise(j - i + 1, rate, (times[j] - times[i]) / ticks_per_s)
-            if s > best:
-                best, end = s, j
-            elif j > i + 1 and times[j] - times[j - 1] > 3 * seed:
-                break
-        start = i
-        while end - start > least - 1 and surprise(end - start, rate, (times[end] - times[start + 1]) / ticks_per_s) >= best:
-            start += 1
-        if end - start + 1 >= least and best >= least_surprise:
-            yield times[start], times[end], end - start + 1, best
-        i = end + 1
+    return float(surprises(np.array([k]), np.array([rate * span]))[0])
+
+
+def grown_run(times: np.ndarray, rate: float, seed: int, least: int) -> tuple[int, int, float]:
+    """(first, last, surprise) of the run that grows from the first two of ``times``, at most REACH + 1 of them.
+
+    The surprise of every beginning of the train is taken at once. Growth ends before the first interval of over three seeds that brings no new
+    maximum; the run ends at the first maximum so far, and begins at the first event whose loss would lower the surprise below it.
+    """
+    level = surprises(np.arange(2, len(times) + 1), rate * (times[1:] - times[0]))
+    highest = np.maximum.accumulate(level)
+    raised = np.concatenate([[True], level[1:] > highest[:-1]])
+    stops = np.flatnonzero(~raised & (np.diff(times) > 3 * seed))
+    last = int(np.argmax(level[: stops[0]] if len(stops) else level)) + 1
+    best = float(level[last - 1])
+    first = np.arange(1, max(last - least + 2, 1))
+    shorter = surprises(last - first + 1, rate * (times[last] - times[first])) >= best
+    return int(len(shorter) if shorter.all() else np.argmin(shorter)), last, best
 
 
 def bursts(events: DataFrame, key: str, t: str, seed: int, ticks_per_s: float, least: int = 3, least_surprise: float = 2.0) -> DataFrame:
     """Runs of short intervals grown to the greatest Poisson surprise: ``(key, t0, t1, n_events, surprise)``.
 
-    A seed interval is shorter than ``seed`` ticks; a run grows over at most 200 events and stops at an interval of over
-    three seeds that does not raise the surprise; leading events go while that does not lower it. The growth looks at
-    all later events of the train, so a train is one group.
+    A seed interval is shorter than ``seed`` ticks; a run grows as ``grown_run`` says, over at most REACH events after its first, and the next seed
+    is looked for after it. Trains are read in order of time; a worker holds one batch and the REACH events that a run may still
+    need, however long the train is.
     """
     rates = events.groupBy(key).agg(F.count("*").alias("__n"), F.min(t).alias("__a"), F.max(t).alias("__b"))
     rates = rates.filter((F.col("__b") > F.col("__a")) & (F.col("__n") > least)).select(F.col(key).alias("__key"), (F.col("__n") * ticks_per_s / (F.col("__b") - F.col("__a"))).alias("rate"))
-    rows = events.select(key, t).join(rates, F.col(key) == F.col("__key")).select(key, t, "rate")
-
-    def find(rows: pd.DataFrame) -> pd.DataFrame:
-        found = _bursts_of(sorted(rows[t].tolist()), float(rows["rate"].iloc[0]), seed, least, least_surprise, ticks_per_s)
-        out = pd.DataFrame(found, columns=["t0", "t1", "n_events", "surprise"])
-        out.insert(0, key, rows[key].iloc[0])
-        return out
-
-    return _scan(rows, [key], find, f"{key} {events.schema[key].dataType.simpleString()}, t0 long, t1 long, n_events long, surprise double")
+    rows = events.select(key, t).filter(F.col(t).isNotNull()).join(rates, F.col(key) == F.col("__key")).select(key, t, "rate")
+    names = [key, "t0", "t1", "n_events", "surprise"]
+
+    def taken(unit, times: np.ndarray, rate: float, ended: bool) -> tuple[list[tuple], np.ndarray]:
+        """Runs whose growth cannot be changed by later events, and the events that are left."""
+        found, at = [], 0
+        seeds = np.flatnonzero(np.diff(times) < seed)
+        limit = len(times) if ended else len(times) - REACH - 1
+        while (k := np.searchsorted(seeds, at)) < len(seeds) and seeds[k] < limit:
+            at = int(seeds[k])
+            first, last, best = grown_run(times[at : at + REACH + 1], rate / ticks_per_s, seed, least)
+            if last - first + 1 >= least and best >= least_surprise:
+                found.append((unit, int(times[at + first]), int(times[at + last]), last - first + 1, best))
+            at += last + 1
+        return found, times[max(at, min(limit, len(times))) if not ended else len(times) :] if len(times) > REACH or ended else times[at:]
+
+    def scan(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        unit, held, rate = None, np.zeros(0, np.int64), 0.0
+        for batch in batches:
+            found = []
+            for name, part in batch.groupby(key, sort=False):
+                if name != unit:
+                    found += taken(unit, held, rate, True)[0]
+                    unit, held, rate = name, np.zeros(0, np.int64), float(part["rate"].iloc[0])
+                more, held = taken(unit, np.concatenate([held, part[t].to_numpy(np.int64)]), rate, False)
+                found += more
+            yield pd.DataFrame(found, columns=names)
+        yield pd.DataFrame(taken(unit, held, rate, True)[0], columns=names)
+
+    dealt = rows.repartition(key).sortWithinPartitions(key, t)
+    return dealt.mapInPandas(scan, f"{key} {events.schema[key].dataType.simpleString()}, t0 long, t1 long, n_events long, surprise double")
 
 
 def first_per(rows: DataFrame, key: str, order: list[str | Column]) -> DataFrame:

@@ -71,17 +71,18 @@ def wilcoxon(rows: DataFrame, by: list[str], difference: str) -> DataFrame:
 def false_discovery(tests: DataFrame, p: str, q: float, by: list[str] | None = None) -> DataFrame:
     """Adds Benjamini-Hochberg ``p_adjusted`` and ``rejected`` within each family; null p stays out and has neither.
 
-    A family is a set of tests of one report, ranked in one task.
+    Ranks and running minima are taken over the distinct p values of a family, in two linear windows.
     """
     by = by or []
-    valid = tests.filter(F.col(p).isNotNull())
-    n = F.count("*").over(Window.partitionBy(*by))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(p))
-    ranked = valid.withColumn("__raw", F.col(p) * n / rank).withColumn("__rank", rank)
-    onwards = Window.partitionBy(*by).orderBy("__rank").rowsBetween(0, Window.unboundedFollowing)
-    done = ranked.withColumn("p_adjusted", F.least(F.min("__raw").over(onwards), F.lit(1.0))).withColumn("rejected", F.col("p_adjusted") <= q).drop("__raw", "__rank")
-    rest = tests.filter(F.col(p).isNull()).withColumn("p_adjusted", F.lit(None).cast("double")).withColumn("rejected", F.lit(None).cast("boolean"))
-    return done.unionByName(rest)
+    counts = tests.filter(F.col(p).isNotNull()).groupBy(*[F.col(c).alias(f"__{c}") for c in by], F.col(p).alias("__p")).agg(F.count("*").alias("__k"))
+    family = Window.partitionBy(*[f"__{c}" for c in by])
+    up, down = (family.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("__p"), F.desc("__p")))
+    raw = counts.withColumn("__raw", F.col("__p") * F.sum("__k").over(family) / F.sum("__k").over(up))
+    adjusted = raw.withColumn("p_adjusted", F.least(F.min("__raw").over(down), F.lit(1.0))).drop("__k", "__raw")
+    same = F.col(p) == F.col("__p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return tests.join(adjusted, same, "left").drop("__p", *[f"__{c}" for c in by]).withColumn("rejected", F.col("p_adjusted") <= q)
 
 
 def mad(rows: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -49,8 +49,8 @@ def test_poisson_tail():
     for k, mean in [(1, 0.1), (3, 0.5), (10, 2.0), (2, 30.0), (50, 60.0), (80, 60.0)]:
         exact = 1 - sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(k))
         if exact > 1e-9:
-            assert 10 ** sequence.log10_poisson_tail(k, mean) == pytest.approx(exact, rel=1e-5)
-    assert sequence.log10_poisson_tail(200, 1e-3) == -300 and sequence.surprise(3, 1.0, 0) == 0
+            assert 10 ** -sequence.surprise(k, 1.0, mean) == pytest.approx(exact, rel=1e-5)
+    assert sequence.surprise(200, 1e-3, 1.0) == 300 and sequence.surprise(3, 1.0, 0) == 0
 
 
 def test_bursts_are_found(spark):
@@ -60,6 +60,48 @@ def test_bursts_are_found(spark):
     assert [(r.unit, r.t0, r.t1, r.n_events) for r in found] == [(0, 50_100, 50_135, 8)] and found[0].surprise > 5
 
 
+def brute_bursts(times, seed, ticks, least=3, least_surprise=2.0, reach=200):
+    """Runs by their definition, one event at a time."""
+    rate = len(times) * ticks / (times[-1] - times[0])
+    value = lambda a, b: sequence.surprise(b - a + 1, rate, (times[b] - times[a]) / ticks)
+    out, at = [], 0
+    while at < len(times) - 1:
+        if times[at + 1] - times[at] >= seed:
+            at += 1
+            continue
+        ends = []
+        for b in range(at + 1, min(at + reach + 1, len(times))):
+            if ends and value(at, b) <= max(v for v, _ in ends) and times[b] - times[b - 1] > 3 * seed:
+                break
+            ends.append((value(at, b), -b))
+        best, last = max(ends)[0], -max(ends)[1]
+        first = at
+        while last - first >= least and value(first + 1, last) >= best:
+            first += 1
+        if last - first + 1 >= least and best >= least_surprise:
+            out.append((times[first], times[last], last - first + 1))
+        at = last + 1
+    return out
+
+
+def test_bursts_against_their_definition(spark):
+    rng = random.Random(11)
+    rows, want = [], {}
+    for unit in range(4):
+        t, times = 0, []
+        for _ in range(700):
+            t += rng.choice([rng.randint(1, 12), rng.randint(1, 12), rng.randint(20, 900)]) if rng.random() < 0.6 else rng.randint(200, 3000)
+            times.append(t)
+        want[unit] = brute_bursts(times, 15, 1000.0)
+        rows += [(unit, x) for x in times]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "90")  # trains over several batches
+    try:
+        found = sequence.bursts(spark.createDataFrame(rows, "unit long, t long"), "unit", "t", 15, 1000.0).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {u: sorted((r.t0, r.t1, r.n_events) for r in found if r.unit == u) for u in want} == want and sum(map(len, want.values())) > 40
+
+
 def test_band_join_equals_the_plain_join(spark):
     rng = random.Random(2)
     a = spark.createDataFrame([(rng.randint(0, 2), rng.randint(-500, 500)) for _ in range(150)], "k int, ta long")
