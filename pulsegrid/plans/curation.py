@@ -193,7 +193,7 @@ def rank_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 u AS (SELECT m.*, ties, s - n1 * (n1 + 1) / 2 AS u, CAST(n1 + n0 AS DOUBLE) AS n FROM m JOIN ti USING (g)), sd AS (SELECT *, sqrt(n1 * n0 / 12.0 * ((n + 1) - ties / (n * (n - 1)))) AS sd, n1 * n0 / 2.0 AS mu FROM u)
 SELECT g AS o_orderpriority, n1, n0, round(u, 6) AS u, round(sign(u - mu) * greatest(abs(u - mu) - 0.5, 0) / sd, 6) AS z FROM sd""")
 def mann_whitney_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(st.mann_whitney(_scored(spark, sf_dir), ["o_orderpriority"], "o_totalprice", "pos"))
+    return rounded(st.mann_whitney(_scored(spark, sf_dir), ["o_orderpriority"], "o_totalprice", "pos").drop("p"))
 
 
 @register("""WITH d AS (SELECT l_returnflag AS g, round(l_quantity - 25 + l_discount * 10, 2) AS d FROM lineitem), s AS (SELECT g, d, abs(d) AS v FROM d WHERE d <> 0),
@@ -202,7 +202,7 @@ m AS (SELECT g, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w FROM
 SELECT g AS l_returnflag, n, round(w, 6) AS w, round((w - n * (n + 1) / 4.0) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - ties / 48), 6) AS z FROM m JOIN ti USING (g)""")
 def wilcoxon_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.round(F.col("l_quantity") - 25 + F.col("l_discount") * 10, 2)
-    return rounded(st.wilcoxon(table(spark, sf_dir, "lineitem").select("l_returnflag", d.alias("d")), ["l_returnflag"], "d"))
+    return rounded(st.wilcoxon(table(spark, sf_dir, "lineitem").select("l_returnflag", d.alias("d")), ["l_returnflag"], "d").drop("p"))
 
 
 @register("""SELECT l_returnflag, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 6) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import bands, models, waveforms
-from pulsegrid.plans.base import register, rounded
+from pulsegrid.plans.base import register, rounded, thinned_sql
 from pulsegrid.plans.trains import DAY, HOUR, MIN, PAIRS, TRAIN, train
 from pulsegrid.session import table
 
@@ -34,7 +34,9 @@ def trough_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(waveforms.troughs(trace, "vec_id", "pos", "x", -0.15))
 
 
-@register()
+@register(f"""WITH RECURSIVE {WAVES}, b AS (SELECT *, pos - row_number() OVER (PARTITION BY vec_id ORDER BY pos) AS run FROM sm WHERE x < -0.15),
+r AS (SELECT vec_id, pos, x FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, run ORDER BY x, pos) AS i FROM b) WHERE i = 1), {thinned_sql("r", "vec_id", "pos", "pos", "x", 10)}
+SELECT vec_id, pos, round(x, 6) AS x FROM thinned JOIN r USING (vec_id, pos)""")
 def trough_detect_dead_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     trace = waveforms.samples(table(spark, sf_dir, "embeddings"), ["vec_id"], "embedding")
     return rounded(waveforms.troughs(trace, "vec_id", "pos", "x", -0.15, dead=10))
@@ -57,7 +59,10 @@ def cutoff_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_sweep(spark, sf_dir))
 
 
-@register()
+@register(f"""WITH {SWEEP}, d AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY cut DESC) - 1 AS i, lead(ratio) OVER (PARTITION BY unit ORDER BY cut DESC) - ratio AS d, count(*) OVER (PARTITION BY unit) AS n FROM sw),
+m AS (SELECT unit, median(abs(d)) + 1e-9 AS m FROM d WHERE d IS NOT NULL AND i < greatest(1, floor((n - 1) / 2.0)) GROUP BY unit),
+c AS (SELECT unit, arg_min(cut, i) AS first FROM d JOIN m USING (unit) WHERE n >= 3 AND i >= 1 AND d > 4 * m AND d > 0.005 GROUP BY unit)
+SELECT unit, coalesce(any_value(first), max(cut)) AS cut, any_value(first) IS NOT NULL AS found FROM d LEFT JOIN c USING (unit) GROUP BY unit""")
 def inflection_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waveforms.inflection(_sweep(spark, sf_dir), "unit", "cut", "ratio")
 
