@@ -95,11 +95,6 @@ def dense_selection(units: DataFrame, trials: DataFrame, windows: DataFrame, uni
     return rows
 
 
-def without_excluded(events: DataFrame, selection: DataFrame, on: list[str]) -> DataFrame:
-    """Events less those of deselected (unit, trial) pairs."""
-    return events.join(selection.filter("not selected").select(*on), on, "left_anti")
-
-
 def shares(rows: DataFrame, key: str, n: str, dominant: float = 0.95) -> DataFrame:
     """Each row's share of its group's total, and whether it dominates."""
     share = F.col(n) / F.sum(n).over(Window.partitionBy(key))

@@ -37,6 +37,15 @@ def in_intervals(events: DataFrame, intervals: DataFrame, on: str, t: str, t0: s
     return events.join(wanted, same, "left_semi" if inside else "left_anti")
 
 
+def selected_events(events: DataFrame, windows: DataFrame, unit: str, t: str, width: int) -> DataFrame:
+    """Events that a unit's closed windows ``(unit, t0, t1)`` select by ``t``; a unit without windows keeps all of its events.
+
+    Only the windows decide, so no table of units times trials is built.
+    """
+    free = events.join(windows.select(unit).distinct(), unit, "left_anti")
+    return free.unionByName(in_intervals(events, windows, unit, t, "t0", "t1", 0, width))
+
+
 def priority_match(events: DataFrame, sources: dict[str, DataFrame], on: list[str], event_id: str, t: str, tolerance: int) -> DataFrame:
     """``(event_id, source)``: the first of the named sources, in their order, that has an event of the key within the tolerance; null if none has."""
     out = events.select(event_id)

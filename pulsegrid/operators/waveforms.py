@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid.operators import bands
+from pulsegrid.operators.lineage import shared_root
 from pulsegrid.operators.pairs import cosine
 from pulsegrid.operators.sequence import thin
 
@@ -78,18 +82,52 @@ def inflection(curve: DataFrame, key: str, cut: str, value: str, factor: float =
     return first.select(key, F.coalesce("__c", "__top").alias("cut"), F.col("__c").isNotNull().alias("found"))
 
 
+#: Histograms of a block; a task holds two blocks and their product.
+BLOCK = 1024
+
+
 def best_correlated(histogram: DataFrame, key: str, n_bins: int) -> DataFrame:
     """Each key with the other whose histogram correlates most with its own: ``(key, other, r)``; ties to the lesser.
 
-    The sums come from a join on bins that both have; bins without a row are zeros. A flat histogram has no correlation.
+    Only keys that share a bin are compared; bins without a row are zeros; bins further apart than ``n_bins`` are an error. A flat histogram
+    has no correlation. Histograms become vectors, which meet in blocks of some BLOCK; a block gives each key its best, not all pairs.
     """
-    s = histogram.groupBy(key).agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
-    a = histogram.select(F.col(key).alias("a"), "bin", F.col("n").alias("na"))
-    b = histogram.select(F.col(key).alias("b"), "bin", F.col("n").alias("nb"))
-    xy = a.join(b, "bin").filter("a <> b").groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("xy"))
-    sa, sb = s.select(F.col(key).alias("a"), F.col("s").alias("sa"), F.col("q").alias("qa")), s.select(F.col(key).alias("b"), F.col("s").alias("sb"), F.col("q").alias("qb"))
-    spread = lambda q, t: F.sqrt(F.col(q) * n_bins - F.col(t) * F.col(t))
-    r = (F.col("xy") * n_bins - F.col("sa") * F.col("sb")) / (spread("qa", "sa") * spread("qb", "sb"))
-    rows = xy.join(sa, "a").join(sb, "b").withColumn("r", r).filter("r is not null")
-    w = Window.partitionBy("a").orderBy(F.desc(F.round("r", 9)), "b")
-    return rows.withColumn("__k", F.row_number().over(w)).filter("__k = 1").select(F.col("a").alias(key), F.col("b").alias("other"), "r")
+    kind = histogram.schema[key].dataType.simpleString()
+    counts = F.map_from_entries(F.collect_list(F.struct("bin", F.col("n").cast("double"))))
+    shared_root(histogram.sparkSession)
+    packed = histogram.groupBy(key).agg(counts.alias("__m"), F.min("bin").alias("lo"), F.max("bin").alias("hi")).checkpoint()
+    lo, hi, n = packed.agg(F.min("lo"), F.max("hi"), F.count("*")).first()
+    if lo is not None and hi - lo >= n_bins:
+        raise ValueError(f"bins from {lo} to {hi} are more than {n_bins}")
+    places = F.sequence(F.lit(lo or 0), F.lit((lo or 0) + n_bins - 1)).cast(T.ArrayType(histogram.schema["bin"].dataType))
+    dense = F.transform(places, lambda i: F.coalesce(F.col("__m")[i], F.lit(0.0)))
+    waves = packed.select(F.col(key).alias("key"), dense.alias("wave"))
+    blocks = 1 + n // BLOCK
+    own = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = waves.withColumn("i", own).withColumn("j", every)
+    right = waves.withColumn("j", own).withColumn("i", every).select(F.col("key").alias("other"), F.col("wave").alias("shape"), "i", "j")
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"key": a["key"][:0], "other": b["other"][:0], "r": np.array([], float)})
+        if not len(a) or not len(b):
+            return none
+        b = b.sort_values("other")
+        x, y = np.stack(a["wave"].to_list()), np.stack(b["shape"].to_list())
+        met = (x > 0).astype(np.float32) @ (y > 0).astype(np.float32).T > 0
+        met &= a["key"].to_numpy()[:, None] != b["other"].to_numpy()[None, :]
+        unit = []
+        for v in (x, y):
+            v = v - v.mean(axis=1, keepdims=True)
+            norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            unit.append(np.divide(v, norm, out=np.full_like(v, np.nan), where=norm > 0))
+        r = unit[0] @ unit[1].T
+        r = np.where(met & np.isfinite(r), r, -np.inf)
+        at = np.round(r, 9).argmax(axis=1)
+        best = r[np.arange(len(a)), at]
+        found = np.isfinite(best)
+        return pd.DataFrame({"key": a["key"].to_numpy()[found], "other": b["other"].to_numpy()[at[found]], "r": best[found]})
+
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(compare, f"key {kind}, other {kind}, r double")
+    best = met.groupBy("key").agg(F.min(F.struct((-F.round("r", 9)).alias("s"), "other", "r")).alias("m"))
+    return best.select(F.col("key").alias(key), F.col("m.other").alias("other"), F.col("m.r").alias("r"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import tiers
 from pulsegrid.operators import lineage, pairs
 from pulsegrid.operators import statistics as st
+from pulsegrid.operators.trials import selected_events
 from pulsegrid.plans.base import register, rounded
 from pulsegrid.plans.trains import DAY, HOUR, TRAIN, train
 from pulsegrid.session import table
@@ -65,11 +66,15 @@ SELECTION = f"""{RANGES}, w AS (SELECT unit, t0, t1 FROM ra WHERE t1 - t0 > 5040
 sel AS (SELECT u.unit, x.trial, max(CASE WHEN w.unit IS NULL THEN true ELSE x.t BETWEEN w.t0 AND w.t1 END) AS selected FROM units u CROSS JOIN trials x LEFT JOIN w ON w.unit = u.unit GROUP BY 1, 2)"""
 
 
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranges(spark, sf_dir).filter(F.col("t1") - F.col("t0") > 14 * HOUR)
+
+
 def _selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = train(spark, sf_dir)
     day = F.floor(F.col("t") / DAY)
     trials = e.select(day.alias("trial"), (day * DAY).alias("t")).distinct()
-    return lineage.dense_selection(e.select("unit").distinct(), trials, _ranges(spark, sf_dir).filter(F.col("t1") - F.col("t0") > 14 * HOUR), "unit", "trial", "t")
+    return lineage.dense_selection(e.select("unit").distinct(), trials, _windows(spark, sf_dir), "unit", "trial", "t")
 
 
 @register(f"WITH {SELECTION} SELECT unit, trial, selected FROM sel")
@@ -79,8 +84,9 @@ def dense_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH {SELECTION}, ev AS (SELECT unit, event_id, CAST(floor(t / 86400000000.0) AS BIGINT) AS trial FROM tr) SELECT unit, event_id, trial FROM ev WHERE NOT EXISTS (SELECT 1 FROM sel WHERE sel.unit = ev.unit AND sel.trial = ev.trial AND NOT sel.selected)")
 def anti_join_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = train(spark, sf_dir).select("unit", "event_id", F.floor(F.col("t") / DAY).alias("trial"))
-    return lineage.without_excluded(e, _selection(spark, sf_dir), ["unit", "trial"])
+    day = F.floor(F.col("t") / DAY).cast("long")
+    e = train(spark, sf_dir).select("unit", "event_id", day.alias("trial"), (day * DAY).alias("t"))
+    return selected_events(e, _windows(spark, sf_dir), "unit", "t", 7 * DAY).drop("t")
 
 
 @register("""WITH n AS (SELECT o_custkey AS parent, CAST(floor(o_custkey / 4) AS BIGINT) AS merged, count(*) AS n FROM orders GROUP BY ALL)
