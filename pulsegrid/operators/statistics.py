@@ -24,21 +24,71 @@ def two_sided_p(z: str | Column) -> Column:
     return t * F.exp(fit - x * x)
 
 
-def average_rank(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Adds ranks from 1 in the order of the value, tied rows sharing the mean of theirs; nulls have none.
+#: A group of more distinct values than this is ordered in about so many pieces, each a task's work.
+WHOLE, PIECES = 100_000, 256
+
+
+def _group(by: list[str]) -> Column:
+    """The group as one value, so that null keys are equal and no key is a group too."""
+    return F.struct(*by, F.lit(0).alias("__all")).alias("__g")
+
+
+def _fields(by: list[str]) -> list[Column]:
+    return [F.col("__g").getField(c).alias(c) for c in by]
+
+
+def running_counts(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``(__g, __v, __n, __before, __total)``: for each distinct value of a group its rows, those below it and all.
 
-    Ranks come from the counts of distinct values, so copies of one value are one row of the window.
+    Copies of a value are one row of it. The order of a large group is cut at values drawn by their hash, about PIECES of
+    them, and counted piece by piece, so no task sorts a whole group; nulls are left out.
     """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(*by, value, (F.coalesce(F.sum("__n").over(before), F.lit(0)) + (F.col("__n") + 1) / 2).alias(name))
-    return rows.join(ranks, [*by, value], "left")
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(_group(by), F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    large = counts.groupBy("__g").agg(F.count("*").alias("__d")).filter(F.col("__d") > WHOLE)
+    drawn = F.pmod(F.xxhash64("__v"), F.lit(1 << 40)) / (1 << 40) * F.col("__d") < PIECES
+    cuts = counts.join(large, "__g").filter(drawn).groupBy("__g").agg(F.sort_array(F.collect_list("__v")).alias("__cuts"))
+    # the cuts up to the value, by halving steps
+    further = lambda at, step: F.when(F.get("__cuts", at + step - 1) <= F.col("__v"), at + step).otherwise(at)
+    below = F.when(F.col("__cuts").isNull(), 0).otherwise(F.aggregate(F.array(*[F.lit(2 * PIECES >> k) for k in range((2 * PIECES).bit_length())]), F.lit(0), further))
+    placed = counts.join(cuts, "__g", "left").select("__g", "__v", "__n", below.alias("__piece"))
+    before = lambda over, n: F.coalesce(F.sum(n).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    group = Window.partitionBy("__g")
+    pieces = placed.groupBy("__g", "__piece").agg(F.sum("__n").alias("__k"))
+    pieces = pieces.select("__g", "__piece", before(group.orderBy("__piece"), "__k").alias("__first"), F.sum("__k").over(group).alias("__total"))
+    inside = before(Window.partitionBy("__g", "__piece").orderBy("__v"), "__n")
+    return placed.withColumn("__inside", inside).join(pieces, ["__g", "__piece"]).select("__g", "__v", "__n", (F.col("__first") + F.col("__inside")).alias("__before"), "__total")
+
+
+def _quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    counts = running_counts(rows, by, value)
+    place = [F.lit(float(q)) * (F.col("__total") - 1) for q in shares]
+    at = lambda i: F.max(F.when((F.col("__before") <= i) & (i < F.col("__before") + F.col("__n")), F.col("__v").cast("double")))
+    ends = counts.groupBy("__g", "__total").agg(*[at(f(p)).alias(f"__{n}{k}") for k, p in enumerate(place) for n, f in (("low", F.floor), ("high", F.ceil))])
+    mixed = [F.when(F.floor(p) == F.ceil(p), F.col(f"__low{k}")).otherwise((F.ceil(p) - p) * F.col(f"__low{k}") + (p - F.floor(p)) * F.col(f"__high{k}")) for k, p in enumerate(place)]
+    return ends.select("__g", F.array(*mixed).alias("quantiles"))
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """``(by..., quantiles)``: the exact quantiles of each group, interpolated between the two nearest values.
+
+    A null key is a group like any other; nulls are left out, and a group without values has no row.
+    """
+    return _quantiles(rows, by, value, shares).select(*_fields(by), "quantiles")
+
+
+def average_rank(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Adds ranks from 1 in the order of the value, tied rows sharing the mean of theirs; nulls have none."""
+    return rows.join(_ranks(rows, by, value, name), [*by, value], "left")
+
+
+def _ranks(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    return running_counts(rows, by, value).select(*_fields(by), F.col("__v").alias(value), (F.col("__before") + (F.col("__n") + 1) / 2).alias(name))
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation of each group, over rows that have both values."""
     both = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
-    ranked = average_rank(average_rank(both, by, x, "__rx"), by, y, "__ry")
+    ranked = both.join(_ranks(both, by, x, "__rx"), [*by, x]).join(_ranks(both, by, y, "__ry"), [*by, y])
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__rx", "__ry").alias("rho"))
 
 
@@ -101,9 +151,11 @@ def false_discovery(tests: DataFrame, p: str, q: float, by: list[str] | None = N
 
 
 def mad(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Median and median absolute deviation scaled to a normal's standard deviation, in two aggregations."""
-    middle = rows.groupBy(*by).agg(F.median(value).alias("median"))
-    return rows.join(middle, by).groupBy(*by).agg(F.first("median").alias("median"), (F.median(F.abs(F.col(value) - F.col("median"))) * 1.4826).alias("mad"))
+    """``(by..., median, mad)``: the median and the median absolute deviation, scaled to a normal's standard deviation."""
+    half = lambda df, v, name: _quantiles(df, by, v, [0.5]).select("__g", F.col("quantiles")[0].alias(name))
+    middle = half(rows, value, "median")
+    away = rows.select(*by, _group(by), F.col(value).alias("__x")).join(middle, "__g").select(*by, F.abs(F.col("__x") - F.col("median")).alias("__away"))
+    return middle.join(half(away, "__away", "mad"), "__g").select(*_fields(by), "median", (F.col("mad") * 1.4826).alias("mad"))
 
 
 def line_fit(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -152,14 +204,17 @@ def binned_summary(rows: DataFrame, by: list[str], x: str, y: str, edges: list[f
     for i in range(len(edges) - 2, -1, -1):
         b = F.when((F.col(x) >= edges[i]) & (F.col(x) < edges[i + 1]), i).otherwise(b)
     binned = rows.withColumn("bin", b).filter("bin is not null")
-    return binned.groupBy(*by, "bin").agg(F.count(y).alias("n"), F.avg(y).alias("mean"), (F.stddev_samp(y) / F.sqrt(F.count(y))).alias("sem"), F.median(y).alias("median"))
+    sums = binned.groupBy(_group([*by, "bin"])).agg(F.count(y).alias("n"), F.avg(y).alias("mean"), (F.stddev_samp(y) / F.sqrt(F.count(y))).alias("sem"))
+    middle = _quantiles(binned, [*by, "bin"], y, [0.5])
+    return sums.join(middle, "__g", "left").select(*_fields([*by, "bin"]), "n", "mean", "sem", F.col("quantiles")[0].alias("median"))
 
 
 def quantile_class(rows: DataFrame, x: str, k: int) -> DataFrame:
     """Adds ``class`` 0 to k - 1 by the value's quantile cut points, a cut point belonging to the class below."""
-    cuts = rows.agg(F.percentile(x, F.array(*[F.lit(i / k) for i in range(1, k)])).alias("c"))
-    c = F.aggregate("c", F.lit(0), lambda n, v: n + (F.col(x) > v).cast("int"))
-    return rows.join(F.broadcast(cuts), how="cross").withColumn("class", c).drop("c")
+    cuts = quantiles(rows, [], x, [i / k for i in range(1, k)]).withColumnRenamed("quantiles", "__cuts")
+    c = F.aggregate("__cuts", F.lit(0), lambda n, v: n + (F.col(x) > v).cast("int"))
+    # one row of cut points
+    return rows.join(F.broadcast(cuts), F.lit(True), "left").withColumn("class", c).drop("__cuts")
 
 
 def logistic(x: Column, slope: float, bias: float) -> Column:

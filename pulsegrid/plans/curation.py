@@ -287,11 +287,12 @@ def tier_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 count(*) FILTER (WHERE o_orderstatus = 'F') AS n_f, count(*) || ' orders, ' || count(*) FILTER (WHERE o_orderstatus = 'F') || ' finished' AS headline FROM orders""")
 def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = "o_totalprice"
+    orders = table(spark, sf_dir, "orders")
     done = F.count_if(F.col("o_orderstatus") == "F")
-    return rounded(table(spark, sf_dir, "orders").agg(
-        F.count("*").alias("n"), F.median(p).alias("median"), F.avg(p).alias("mean"), F.percentile(p, F.lit(0.25)).alias("p25"), F.percentile(p, F.lit(0.75)).alias("p75"),
-        F.min(p).alias("low"), F.max(p).alias("high"), done.alias("n_f"), F.format_string("%d orders, %d finished", F.count("*"), done).alias("headline"),
-    ))
+    sums = orders.agg(F.count("*").alias("n"), F.avg(p).alias("mean"), F.min(p).alias("low"), F.max(p).alias("high"), done.alias("n_f"), F.format_string("%d orders, %d finished", F.count("*"), done).alias("headline"))
+    quarters = st.quantiles(orders, [], p, [0.25, 0.5, 0.75])  # one row each
+    q = [F.col("quantiles")[i].alias(name) for i, name in enumerate(("p25", "median", "p75"))]
+    return rounded(sums.join(F.broadcast(quarters), F.lit(True), "left").select("*", *q).drop("quantiles"))
 
 
 @register("SELECT conv_id, sha1(string_agg(role || ':' || text, '|' ORDER BY turn)) AS fingerprint, count(*) AS n FROM conversations GROUP BY conv_id")

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +136,32 @@ def test_streams(spark, tmp_path):
     assert sorted(r.t for r in out(streams.thinned(source, "unit", "t", 10), "thin")) == [0, 12, 400]
     assert sorted(r.n_events for r in out(streams.rates(source, "unit", "ts", "1 minute", "0 seconds"), "rates", "complete")) == [1, 4]
     assert sorted(r.n_events for r in out(streams.sessions(source, "unit", "ts", "2 minutes", "0 seconds"), "sess", "complete")) == [1, 4]
+
+
+def test_ranks_and_quantiles_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(st, "WHOLE", 50)
+    monkeypatch.setattr(st, "PIECES", 8)
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({"g": rng.choice(["a", "b", None], 3000, p=[0.7, 0.25, 0.05]), "x": np.round(rng.exponential(100, 3000), 1)})
+    frame.loc[::97, "x"] = None
+    rows = spark.createDataFrame([(g, None if np.isnan(x) else float(x)) for g, x in frame.values.tolist()], "g string, x double")
+    ranked = st.average_rank(rows.filter("g is not null"), ["g"], "x", "r").toPandas()
+    want = ranked.groupby("g").x.rank()
+    assert np.allclose(ranked.r, want, equal_nan=True) and ranked.r.isna().sum() == ranked.x.isna().sum()
+    shares = [0.0, 0.1, 1 / 3, 0.5, 0.9, 1.0]
+    for by in (["g"], []):
+        got = {r[0] if by else "all": r.quantiles for r in st.quantiles(rows, by, "x", shares).collect()}
+        groups = {k if isinstance(k, str) else None: v for k, v in frame.groupby("g", dropna=False)} if by else {"all": frame}
+        assert got.keys() == groups.keys()
+        for k, v in groups.items():
+            assert np.allclose(got[k], np.nanquantile(v.x, shares))
+    spread = {r.g: (r.median, r.mad) for r in st.mad(rows, ["g"], "x").collect()}
+    for k, v in frame.groupby("g"):
+        middle = v.x.median()
+        assert np.allclose(spread[k], (middle, 1.4826 * (v.x - middle).abs().median()))
+
+
+def test_quantiles_of_nothing(spark):
+    rows = spark.createDataFrame([(1, None), (2, None)], "k int, x double")
+    assert st.quantiles(rows, [], "x", [0.5]).count() == 0
+    assert [r["class"] for r in st.quantile_class(rows, "x", 3).collect()] == [None, None]
