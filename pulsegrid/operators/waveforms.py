@@ -34,6 +34,17 @@ def stability(waves: DataFrame, key: str, segment: str, wave: str) -> DataFrame:
     return means.groupBy(key).agg(F.count("*").alias("n_segments")).join(scores, key, "left")
 
 
+def consistency(waves: DataFrame, by: list[str], wave: str, least: int = 5) -> DataFrame:
+    """``(by..., n, score)``: mean cosine of a group's waves with their mean, cut to 0 to 1; null for fewer than ``least`` waves.
+
+    Null waves are left out; a group without any has no row.
+    """
+    held = waves.filter(F.col(wave).isNotNull()).select(*by, F.col(wave).alias("__w"))
+    middle = mean_waveforms(held, by, "__w").select(*by, F.col("wave").alias("__m"))
+    scores = held.join(middle, by).groupBy(*by).agg(F.count("*").alias("n"), F.avg(cosine(F.col("__w").cast("array<double>"), F.col("__m"))).alias("__c"))
+    return scores.select(*by, "n", F.when(F.col("n") >= least, F.least(F.greatest("__c", F.lit(0.0)), F.lit(1.0))).alias("score"))
+
+
 def troughs(trace: DataFrame, key: str, pos: str, x: str, threshold: float, dead: int = 0) -> DataFrame:
     """``(key, pos, x)`` of the first lowest sample of each run below a threshold.
 

@@ -27,6 +27,12 @@ def footprint_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(waveforms.stability(v, "label", "segment", "embedding"))
 
 
+@register(f"""WITH {WAVES}, m AS (SELECT label, list(x ORDER BY pos) AS m FROM (SELECT label, pos, avg(x) AS x FROM sm GROUP BY ALL) GROUP BY label)
+SELECT label, count(*) AS n, round(CASE WHEN count(*) >= 5 THEN least(greatest(avg(list_cosine_similarity(embedding::DOUBLE[], m)), 0), 1) END, 6) AS score FROM embeddings JOIN m USING (label) GROUP BY label""")
+def shape_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(waveforms.consistency(table(spark, sf_dir, "embeddings"), ["label"], "embedding"))
+
+
 @register(f"""WITH {WAVES}, b AS (SELECT *, pos - row_number() OVER (PARTITION BY vec_id ORDER BY pos) AS run FROM sm WHERE x < -0.15),
 k AS (SELECT vec_id, pos, x, row_number() OVER (PARTITION BY vec_id, run ORDER BY x, pos) AS k FROM b) SELECT vec_id, pos, round(x, 6) AS x FROM k WHERE k = 1""")
 def trough_detect(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pulsegrid.plans.base import register, rounded, thinned_sql
 from pulsegrid.plans.models import SWEEP, WAVES, _sweep, sequence_match
 from pulsegrid.plans.trains import DAY, HOUR, MIN, TRAIN, of_kind, train
 from pulsegrid.session import table
+from pulsegrid.sources import recordings
 
 #: Users lie on a grid ten wide; pairs are neighbours within 1.5, and the embedding with a user's number is the user's template.
 PLACES = TRAIN + """, pl AS (SELECT DISTINCT unit, unit % 10 AS x, unit // 10 AS y FROM tr), pr AS (SELECT a.unit AS a, b.unit AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS distance FROM pl a JOIN pl b ON a.unit < b.unit AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 2.25),
@@ -191,3 +192,16 @@ def ols_two(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) WHERE k = 1")
 def first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.keep_first(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@register(f"""WITH {TRAIN}, u AS (SELECT unit, t FROM tr WHERE kind <> 'error' UNION ALL SELECT unit + 1000, t FROM tr WHERE kind = 'error' AND unit IS NOT NULL)
+SELECT unit, count(*) AS n, min(t) AS t0, max(t) AS t1 FROM u GROUP BY unit""")
+def child_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = train(spark, sf_dir).select("unit", "t", "kind")
+    children = recordings.with_children(events.filter("kind <> 'error'"), events.filter("kind = 'error'"), "unit")
+    return children.groupBy("unit").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+
+
+@register(f"WITH {TRAIN} SELECT CAST(floor(unit / 25) AS BIGINT) AS shard, count(DISTINCT unit) AS n_units, count(*) AS n_events FROM tr GROUP BY 1")
+def unit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train(spark, sf_dir).groupBy(recordings.shard_of("unit").alias("shard")).agg(F.countDistinct("unit").alias("n_units"), F.count("*").alias("n_events"))
