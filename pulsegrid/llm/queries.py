@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import decontaminate, embedding_dedup, lm_scoring, quality
+from pulsegrid.llm import collocations, decontaminate, embedding_dedup, license_scan, lm_scoring, quality, vector_codes
 from pulsegrid.llm.common import id_bucket
 from pulsegrid.llm.hilbert_shards import hilbert_shards
 from pulsegrid.llm.piece_codec import encode_decode
@@ -20,7 +20,9 @@ from pulsegrid.session import table
 
 #: Surrogate key of the registered queries; a real corpus needs a secret of its own.
 KEY = "pulsegrid test key"
-ORACLES: dict[str, str] = {"op9_decontaminate": decontaminate.SQL}
+ORACLES: dict[str, str] = {
+    "op9_decontaminate": decontaminate.SQL, "op11_vector_codes": vector_codes.SQL, "op12_license_scan": license_scan.SQL, "op13_collocations": collocations.SQL
+}
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +67,22 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs, lm_scoring.train(docs.filter("not held_out")), more={"held_out": F.col("held_out")})
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_token_counts, op3_quality, op4_toxicity, op5_pieces, op6_embeddings, op7_pii_surrogates, op8_hilbert_shards, op9_decontaminate, op10_lm_scoring)
-}
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_token_counts, op3_quality, op4_toxicity, op5_pieces, op6_embeddings, op7_pii_surrogates, op8_hilbert_shards, op9_decontaminate, op10_lm_scoring,
+        op11_vector_codes, op12_license_scan, op13_collocations,
+    )
+}
