@@ -13,11 +13,12 @@ the next seed is taken), so counts are exact.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import BROADCAST_ROWS, written
@@ -25,7 +26,9 @@ from pulsegrid.llm.common import BROADCAST_ROWS, written
 #: A phrase's most words.
 LONGEST = 4
 #: Bytes of text that a task splits into words at a time.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
+#: Rows of a batch of texts.
+ROWS = 500
 #: Occurrences of a prefix above which its pointers are dealt to several tasks; with more than 10^11 words it grows with them, so hot prefixes are at most 500,000.
 HOT, MOST_HOT = 200_000, 500_000
 #: First steps of the ranking of a language.
@@ -62,9 +65,9 @@ def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes
         index = dict(zip(words, range(len(words)))) | {b".": -1}
         return lang, words, np.fromiter(map(index.__getitem__, found), np.int64, len(found))
 
+    held: dict[str, list[bytes]] = {}
+    sizes: dict[str, int] = {}
     for batch in batches:
-        held: dict[str, list[bytes]] = {}
-        sizes: dict[str, int] = {}
         for lang, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
             lang = lang.as_py()
             for part in _parts((text.as_py() or b"").translate(_TABLE)):
@@ -73,8 +76,8 @@ def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes
                 if sizes[lang] >= CHUNK:
                     yield indexed(lang, held.pop(lang))
                     sizes[lang] = 0
-        for lang, parts in held.items():
-            yield indexed(lang, parts)
+    for lang, parts in held.items():
+        yield indexed(lang, parts)
 
 
 def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
@@ -99,6 +102,18 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
+@contextmanager
+def _short_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark hands texts to Python in batches of ROWS rows, so that two workers and their JVM share an executor's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """``(lang, word, n)`` of ``docs(lang, text)``."""
 
@@ -234,6 +249,11 @@ def collocations(docs: DataFrame, least: int = 30, best: int = 2000, text_col: s
     texts without words, or an empty table, give nothing; long texts are read in parts. All statistics are of all rows.
     """
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
+    with _short_batches(docs.sparkSession):
+        return _collocations(rows, least, best)
+
+
+def _collocations(rows: DataFrame, least: int, best: int) -> DataFrame:
     counts, salt = _hashed(written(word_counts(rows), "words"))
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     frequent = written(counts.filter(F.col("n") >= least), "frequent")
