@@ -27,8 +27,8 @@ from pulsegrid.llm.common import BROADCAST_ROWS, written
 LONGEST = 4
 #: Bytes of text that a task splits into words at a time.
 CHUNK = 1 << 20
-#: Rows of a batch of texts.
-ROWS = 500
+#: Rows of a batch of texts, and of a batch of results.
+ROWS, OUT = 500, 4096
 #: Occurrences of a prefix above which its pointers are dealt to several tasks; with more than 10^11 words it grows with them, so hot prefixes are at most 500,000.
 HOT, MOST_HOT = 200_000, 500_000
 #: First steps of the ranking of a language.
@@ -86,6 +86,13 @@ def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, own) for w in words), np.uint64, len(words)).view(np.int64)
 
 
+def _slices(arrays: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of OUT rows, so that executors keep small buffers only."""
+    batch = pa.RecordBatch.from_arrays(arrays, names=names)
+    for at in range(0, batch.num_rows, OUT):
+        yield batch.slice(at, OUT)
+
+
 def _among(values: np.ndarray, ordered: np.ndarray | None) -> np.ndarray:
     """Which values are in an ordered array; all if there is none."""
     if ordered is None:
@@ -120,7 +127,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, ids in _tokens(batches):
             n = np.bincount(ids[ids >= 0], minlength=len(words))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+            yield from _slices([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
     return docs.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -152,7 +159,7 @@ def _frequent_pairs(docs: DataFrame, salt: str, words, least: int) -> DataFrame:
             some = held[ids[:-1]] & held[ids[1:]]
             pairs, n = np.unique(ids[:-1][some] * len(names) + ids[1:][some], return_counts=True)
             first, second = np.divmod(pairs, max(len(names), 1))
-            yield pa.RecordBatch.from_arrays([pa.array(_mixed(hashes[first], hashes[second])), pa.array(n, pa.int64())], names=["key", "n"])
+            yield from _slices([pa.array(_mixed(hashes[first], hashes[second])), pa.array(n, pa.int64())], ["key", "n"])
 
     return docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key")
 
@@ -186,7 +193,7 @@ def _projected(docs: DataFrame, salt: str, words, pairs, hot) -> DataFrame:
                 busy = _among(p, hot.value[0])
                 parts[busy] = hot.value[1][np.searchsorted(hot.value[0], p[busy])]
             deal = np.where(parts > 1, 1 + _mixed(_mixed(more[0], more[1]), more[2]).view(np.uint64) % parts.astype(np.uint64), 0).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (p, deal, *more, n)], names=["p", "deal", "a", "b", "c", "n"])
+            yield from _slices([pa.array(c, pa.int64()) for c in (p, deal, *more, n)], ["p", "deal", "a", "b", "c", "n"])
 
     return docs.mapInArrow(project, "p long, deal long, a long, b long, c long, n long")
 
@@ -211,25 +218,28 @@ def _phrases(pointers: DataFrame, least: int) -> DataFrame:
     """``(p, a, b, c, n)`` of the phrases of two and more words that occur ``least`` times; a word that is not there is 0."""
 
     def grown(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 6
+        held: list[list[np.ndarray]] = []  # batches of the prefix that has not ended, and of some before it
 
         def taken(last: bool) -> pa.RecordBatch:
-            nonlocal held
-            p, deal = held[:2]
-            cuts = np.append(0, np.flatnonzero((p[1:] != p[:-1]) | (deal[1:] != deal[:-1])) + 1) if len(p) else np.zeros(0, np.int64)
+            """The phrases of the prefixes that have ended; the rows of the last one stay."""
+            p, deal, *more, n = (np.concatenate(c) for c in zip(*held))
+            cuts = np.append(0, np.flatnonzero((p[1:] != p[:-1]) | (deal[1:] != deal[:-1])) + 1)
             ends = np.append(cuts[1:], len(p))
             found = []
             for lo, hi in zip(cuts[: None if last else -1], ends):
-                rows = [held[i][lo:hi] for i in (0, 2, 3, 4)]
-                found += _grow(rows, held[5][lo:hi], 1 if deal[lo] else least)
-            held = [c[cuts[-1] if len(cuts) and not last else len(p) :] for c in held]
-            padded = np.array([(*w, *[0] * (LONGEST - len(w)), n) for w, n in found], np.int64).reshape(-1, LONGEST + 1)
+                found += _grow([c[lo:hi] for c in (p, *more)], n[lo:hi], 1 if deal[lo] else least)
+            held[:] = [[c[cuts[-1] :].copy() for c in (p, deal, *more, n)]]
+            padded = np.array([(*w, *[0] * (LONGEST - len(w)), k) for w, k in found], np.int64).reshape(-1, LONGEST + 1)
             return pa.RecordBatch.from_arrays([pa.array(c) for c in padded.T.copy()], names=[*PHRASE, "n"])
 
         for batch in batches:
-            held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
-            yield taken(False)
-        yield taken(True)
+            if batch.num_rows:
+                held.append([c.to_numpy() for c in batch.columns])
+                first, last = held[0], held[-1]
+                if len(held) >= 16 and (first[0][0] != last[0][-1] or first[1][0] != last[1][-1]):
+                    yield taken(False)
+        if held:
+            yield taken(True)
 
     dealt = pointers.repartition("p", "deal").sortWithinPartitions("p", "deal", "a", "b", "c")
     parts = dealt.mapInArrow(grown, "p long, a long, b long, c long, n long")
@@ -250,19 +260,17 @@ def collocations(docs: DataFrame, least: int = 30, best: int = 2000, text_col: s
     """
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     with _short_batches(docs.sparkSession):
-        return _collocations(rows, least, best)
-
-
-def _collocations(rows: DataFrame, least: int, best: int) -> DataFrame:
-    counts, salt = _hashed(written(word_counts(rows), "words"))
+        counts, salt = _hashed(written(word_counts(rows), "words"))
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     frequent = written(counts.filter(F.col("n") >= least), "frequent")
     words = _broadcast(frequent.select("h"))
-    pairs = _broadcast(written(_frequent_pairs(rows, salt, words, least), "pairs"))
     n_words = frequent.agg(F.sum("n")).first()[0] or 0
     limit = max(HOT, n_words // MOST_HOT)
     hot = _broadcast(frequent.filter(F.col("n") > limit).select("h", (F.col("n") / limit).cast("long").alias("parts") + 1))
-    phrases = written(_phrases(_projected(rows, salt, words, pairs, hot), least), "phrases")
+    with _short_batches(docs.sparkSession):
+        pairs = _broadcast(written(_frequent_pairs(rows, salt, words, least), "pairs"))
+        pointers = written(_projected(rows, salt, words, pairs, hot), "pointers")
+    phrases = written(_phrases(pointers, least), "phrases")
 
     zero = F.lit(0).cast("long")
     known = phrases.unionByName(frequent.select(F.col("h").alias("p"), zero.alias("a"), zero.alias("b"), zero.alias("c"), "n"))
