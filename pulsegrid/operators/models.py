@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.decoding import ridge_scores
+
 
 def fold(key: str, k: int, seed: int = 0) -> Column:
     """Fold 0 to k - 1 by a hash of the key, so that rows of one trial stay together."""
@@ -20,41 +22,8 @@ def _assembled(rows: DataFrame, features: list[str]) -> DataFrame:
 
 
 def ridge_cv(rows: DataFrame, key: str, features: list[str], target: str, alphas: list[float], k: int = 5) -> DataFrame:
-    """``(alpha, r2)``: out-of-fold share of the target's variance explained by ridge regression."""
-    from pyspark.ml.regression import LinearRegression
-
-    data = _assembled(rows, features).select("features", F.col(target).cast("double").alias("label"), fold(key, k).alias("fold")).cache()
-    total = data.agg(F.var_pop("label") * F.count("*")).first()[0]
-    out = []
-    for alpha in alphas:
-        rest = 0.0
-        for f in range(k):
-            model = LinearRegression(regParam=alpha, elasticNetParam=0.0, standardization=True).fit(data.filter(F.col("fold") != f))
-            rest += model.transform(data.filter(F.col("fold") == f)).agg(F.sum(F.pow(F.col("label") - F.col("prediction"), 2))).first()[0] or 0.0
-        out.append((alpha, 1 - rest / total if total else None))
-    data.unpersist()
-    return rows.sparkSession.createDataFrame(out, "alpha double, r2 double")
-
-
-def permutation_p(rows: DataFrame, key: str, group: str, value: str, n: int, seed: int = 0) -> DataFrame:
-    """Difference of the group means (true less false) and its share of permutations at least as far from 0.
-
-    Permutation i gives each row the group of the row with its rank under a seeded hash; every row is sent to n tasks'
-    groups, so n is a few hundred and rows are trials.
-    """
-    from pyspark.sql import Window
-
-    base = rows.select(key, F.col(group).cast("int").alias("g"), F.col(value).cast("double").alias("v"))
-    each = base.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    place = F.row_number().over(Window.partitionBy("i").orderBy(F.when(F.col("i") == 0, F.xxhash64(key)).otherwise(F.xxhash64(F.lit(seed), "i", key)), key))
-    fixed = F.row_number().over(Window.partitionBy("i").orderBy(F.xxhash64(key), key))
-    ranked = each.withColumn("a", place).withColumn("b", fixed)
-    mixed = ranked.select("i", F.col("a").alias("r"), "v").join(ranked.select("i", F.col("b").alias("r"), "g"), ["i", "r"])
-    diff = mixed.groupBy("i").agg((F.avg(F.when(F.col("g") == 1, F.col("v"))) - F.avg(F.when(F.col("g") == 0, F.col("v")))).alias("d"))
-    # n + 1 rows
-    true = diff.filter("i = 0").select(F.col("d").alias("difference"))
-    null = diff.filter("i > 0").join(F.broadcast(true))
-    return null.groupBy("difference").agg(((F.count_if(F.abs("d") >= F.abs("difference")) + 1) / (F.count("*") + 1)).alias("p"))
+    """``(alpha, r2)``: out-of-fold share of the target's variance explained by ridge regression; folds by the key's hash."""
+    return ridge_scores(rows, [], features, target, alphas, fold(key, k)).select("alpha", "r2")
 
 
 def mixture_by_bic(rows: DataFrame, features: list[str], most: int, seed: int = 0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import bands, models, waveforms
+from pulsegrid.operators import bands, decoding, models, waveforms
 from pulsegrid.plans.base import register, rounded, thinned_sql
 from pulsegrid.plans.trains import DAY, HOUR, MIN, PAIRS, TRAIN, train
 from pulsegrid.session import table
@@ -148,7 +148,7 @@ def ridge_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").withColumn("g", F.col("c_mktsegment") == "BUILDING")
-    return rounded(models.permutation_p(rows, "c_custkey", "g", "c_acctbal", 99))
+    return rounded(decoding.permutation_p(rows, "c_custkey", "g", "c_acctbal", 99))
 
 
 @register()

@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import models, waveforms
+from pulsegrid.operators import decoding, models, waveforms
 
 
 def test_ridge_without_penalty_is_least_squares_out_of_fold(spark):
@@ -26,10 +26,10 @@ def test_ridge_without_penalty_is_least_squares_out_of_fold(spark):
 def test_permutations_tell_a_difference_from_none(spark):
     rows = [(i, i % 2 == 0, float(i % 7 + (50 if i % 2 == 0 else 0))) for i in range(40)]
     df = spark.createDataFrame(rows, "k long, g boolean, v double")
-    got = models.permutation_p(df, "k", "g", "v", 49).first()
+    got = decoding.permutation_p(df, "k", "g", "v", 49).first()
     means = [np.mean([v for _, g, v in rows if g == side]) for side in (True, False)]
     assert math.isclose(got.difference, means[0] - means[1]) and math.isclose(got.p, 1 / 50)
-    same = models.permutation_p(df.withColumn("v", F.col("k") % 2 * 0.0 + F.floor(F.col("k") / 2) % 5), "k", "g", "v", 49).first()
+    same = decoding.permutation_p(df.withColumn("v", F.col("k") % 2 * 0.0 + F.floor(F.col("k") / 2) % 5), "k", "g", "v", 49).first()
     assert abs(same.difference) < 1e-12 and same.p == 1.0
 
 
