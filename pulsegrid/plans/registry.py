@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulsegrid.plans import curation, models, recordings, records, trains, trials  # noqa: F401  register their queries
+from pulsegrid.plans import curation, identity, models, recordings, records, trains, trials  # noqa: F401  register their queries
 from pulsegrid.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
