@@ -38,6 +38,10 @@ QUANTILE = 0.995
 RESOLVED = 100
 
 
+#: What names a block: the file's hash and the range of its bytes.
+BLOCK = ["file", "start", "length"]
+
+
 def ngrams(texts: list[str]) -> np.ndarray:
     """The n-grams of some texts as 64-bit keys, 16 bits a character (planes share them), in reading order."""
     codes = np.frombuffer((PAD + PAD.join(texts)).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) & np.uint64(0xFFFF)
@@ -57,20 +61,20 @@ def _merged(old: tuple[np.ndarray, np.ndarray], keys: np.ndarray, trusted: bool)
 
 
 def _block_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, key, n): the distinct n-grams of each block, and how often they occur in its trusted texts."""
-    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    waiting: dict[tuple[int, bool], list[str]] = {}
-    size: dict[tuple[int, bool], int] = {}
+    """(file, start, length, key, n): the distinct n-grams of each block, and how often they occur in its trusted texts."""
+    held: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
+    waiting: dict[tuple[tuple[int, int, int], bool], list[str]] = {}
+    size: dict[tuple[tuple[int, int, int], bool], int] = {}
 
-    def flush(at: tuple[int, bool]) -> None:
+    def flush(at: tuple[tuple[int, int, int], bool]) -> None:
         old = held.get(at[0], (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
         held[at[0]] = _merged(old, ngrams(waiting.pop(at)), at[1])
         size.pop(at)
 
     for batch in batches:
-        for block, trusted, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for *block, trusted, text in zip(*(c.to_pylist() for c in batch.columns)):
             if text:
-                at = (block, bool(trusted))
+                at = (tuple(block), bool(trusted))
                 waiting.setdefault(at, []).append(text)
                 size[at] = size.get(at, 0) + len(text)
                 if size[at] >= CHUNK:
@@ -78,48 +82,65 @@ def _block_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for at in list(waiting):
         flush(at)
     for block, (keys, counts) in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["block", "key", "n"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(keys), b)) for b in block), pa.array(keys.view(np.int64)), pa.array(counts)], names=[*BLOCK, "key", "n"])
+
+
+def _looked_up(texts: list[str], keys: np.ndarray, lp: np.ndarray) -> np.ndarray:
+    """The log probability of each n-gram of some texts; an n-gram that was not counted is an error, never another's value."""
+    wanted = ngrams(texts)
+    if not len(wanted):
+        return np.zeros(0)
+    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+    if not len(keys) or (keys[at] != wanted).any():
+        raise RuntimeError("a block's n-grams are incomplete: its texts have changed since they were counted")
+    return lp[at]
 
 
 def _sums(texts: list[str], keys: np.ndarray, lp: np.ndarray) -> np.ndarray:
     """The summed log probability of each text."""
-    each = lp[np.searchsorted(keys, ngrams(texts))] if len(keys) else np.zeros(0)
+    each = _looked_up(texts, keys, lp)
     lengths = np.array([len(t) for t in texts])
     # U+FFFF inside a text is no n-gram: such texts are rare and summed alone
     if len(each) != lengths.sum():
-        return np.array([lp[np.searchsorted(keys, ngrams([t]))].sum() if len(keys) else 0.0 for t in texts])
+        return np.array([_looked_up([t], keys, lp).sum() for t in texts])
     sums = np.concatenate([[0.0], np.cumsum(each)])
     ends = np.cumsum(lengths)
     return sums[ends] - sums[ends - lengths]
 
 
-def _fetched(folder: str, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted n-grams of a block and their log probabilities; none where all its texts are empty."""
+def _fetched(folder: str, file: int, start: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted n-grams of all counted blocks of a file that overlap a range, and their log probabilities; none where all their texts are empty.
+
+    A row belongs to the split its place falls into, so a row of a range was counted in a block that overlaps it, however the file was split then.
+    """
     system, path = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pyarrow.fs.LocalFileSystem(), folder)
-    found = system.get_file_info(pyarrow.fs.FileSelector(f"{path}/block={block}", allow_not_found=True))
-    tables = [pyarrow.parquet.read_table(f.path, columns=["key", "lp"], filesystem=system, partitioning=None) for f in found if f.path.endswith(".parquet")]
+    tables = []
+    for block in system.get_file_info(pyarrow.fs.FileSelector(f"{path}/file={file}", allow_not_found=True)):
+        first, size = map(int, block.base_name.removeprefix("range=").split("_"))
+        if first < start + length and start < first + size:
+            found = system.get_file_info(pyarrow.fs.FileSelector(block.path))
+            tables += [pyarrow.parquet.read_table(f.path, columns=["key", "lp"], filesystem=system, partitioning=None) for f in found if f.path.endswith(".parquet")]
     if not tables:
         return np.zeros(0, np.uint64), np.zeros(0)
     table = pa.concat_tables(tables)
-    keys = table.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], table.column("lp").to_numpy().astype(np.float64)[order]
+    keys, first = np.unique(table.column("key").to_numpy().view(np.uint64), return_index=True)
+    return keys, table.column("lp").to_numpy().astype(np.float64)[first]
 
 
 def _scorer(folder: str):
-    """Adds n_chars and logp to rows (block, text, others...), of which those of a block come together."""
+    """Adds n_chars and logp to rows (file, start, length, text, others...), of which those of a block come together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, keys, lp = None, np.zeros(0, np.uint64), np.zeros(0)
         for batch in batches:
-            blocks = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.diff(blocks)) + 1
+            blocks = np.column_stack([batch.column(i).to_numpy() for i in range(len(BLOCK))])
+            cuts = np.flatnonzero((np.diff(blocks, axis=0) != 0).any(axis=1)) + 1
             for s, e in zip([0, *cuts], [*cuts, batch.num_rows]):
-                if e > s and blocks[s] != held:
-                    held = blocks[s]
-                    keys, lp = _fetched(folder, int(held))
+                if e > s and tuple(blocks[s]) != held:
+                    held = tuple(blocks[s])
+                    keys, lp = _fetched(folder, *map(int, held))
                 part, total = batch.slice(s, e - s), []
-                texts = [t or "" for t in part.column(1).to_pylist()]
+                texts = [t or "" for t in part.column(len(BLOCK)).to_pylist()]
                 at, size = 0, 0
                 for i, text in enumerate(texts):
                     size += len(text)
@@ -128,7 +149,7 @@ def _scorer(folder: str):
                         at, size = i + 1, 0
                 logp = np.concatenate(total) if total else np.zeros(0)
                 values = [pa.array([len(t) for t in texts], pa.int64()), pa.array(logp, pa.float64())]
-                yield pa.RecordBatch.from_arrays([*part.columns[2:], *values], names=[*part.schema.names[2:], "n_chars", "logp"])
+                yield pa.RecordBatch.from_arrays([*part.columns[len(BLOCK) + 1 :], *values], names=[*part.schema.names[len(BLOCK) + 1 :], "n_chars", "logp"])
 
     return run
 
@@ -172,27 +193,32 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     ``trusted`` holds, under ``id_col``, the ids of trusted documents (nulls are ignored). Those marked for calibration are
     not counted, so their perplexities are those of unseen text.
     """
-    # a split of a file is a block; rows from elsewhere are dealt to blocks by a hash
+    # a split of a file is a block, by its range; when texts are read again the file may be split in another way (executors come and go), then all
+    # blocks that overlap are looked up. Rows from elsewhere are dealt to blocks by a hash
     elsewhere = F.input_file_name() == ""
     from_files = docs.select(elsewhere.alias("loose")).filter("loose").isEmpty()
     size = 0 if from_files else docs.filter(elsewhere).agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     row = row_key(id_col, text_col)
-    block = F.when(elsewhere, F.pmod(row, F.lit(1 + size // BLOCK_BYTES))).otherwise(F.xxhash64(F.input_file_name(), F.input_file_block_start()))
+    dealt = F.pmod(row, F.lit(1 + size // BLOCK_BYTES))
+    block = [
+        F.when(elsewhere, F.lit(0)).otherwise(F.xxhash64(F.input_file_name())).alias("file"), F.when(elsewhere, dealt).otherwise(F.input_file_block_start()).alias("start"),
+        F.when(elsewhere, F.lit(1)).otherwise(F.input_file_block_length()).cast("long").alias("length"),
+    ]
     base = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), row.alias("row"), block.alias("block")
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), row.alias("row"), *block
     )
     ids = small(written(trusted.select(F.col(id_col).alias("t")).filter("t is not null").distinct(), "trusted"))
     base = base.join(ids, F.col("id") == F.col("t"), "left").withColumn("trusted", F.col("t").isNotNull()).drop("t")
     fold = F.pmod(F.xxhash64(F.lit("calibration"), "id"), F.lit(CALIBRATION))
     base = base.withColumn("calibration", F.col("trusted") & (fold == 0))
-    keys = written(base.select("block", F.expr("trusted and not calibration").alias("trusted"), "text").mapInArrow(_block_ngrams, "block long, key long, n long"), "block-ngrams")
+    keys = written(base.select(*BLOCK, F.expr("trusted and not calibration").alias("trusted"), "text").mapInArrow(_block_ngrams, "file long, start long, length long, key long, n long"), "block-ngrams")
     grams = written(keys.groupBy("key").agg(F.sum("n").alias("c")), "ngrams")
-    table = keys.select("block", "key").distinct().join(log_probabilities(grams), "key").select("block", "key", "lp")
+    table = keys.select("file", F.concat_ws("_", "start", "length").alias("range"), "key").distinct().join(log_probabilities(grams), "key").select("file", "range", "key", "lp")
     folder = work_dir(docs.sparkSession, "block-probabilities")
-    table.repartition("block").write.partitionBy("block").parquet(folder)
-    narrow = base.select("block", "text", "row", "id", "lang", "trusted", "calibration")
+    table.repartition("file", "range").write.partitionBy("file", "range").parquet(folder)
+    narrow = base.select(*BLOCK, "text", "row", "id", "lang", "trusted", "calibration")
     if not from_files:
-        narrow = narrow.repartition("block").sortWithinPartitions("block")
+        narrow = narrow.repartition(*BLOCK).sortWithinPartitions(*BLOCK)
     kinds = f"row long, id {docs.schema[id_col].dataType.simpleString()}, lang string, trusted boolean, calibration boolean, n_chars long, logp double"
     return narrow.mapInArrow(_scorer(folder), kinds)
 

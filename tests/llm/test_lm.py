@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,32 @@ def test_quality_of_odd_rows(spark):
 def test_discounts_stay_in_range():
     assert discounts(0, 0, 0, 0) == (0.5, 0.75, 0.9)
     assert all(0 < d < k for k, d in enumerate(discounts(100, 40, 20, 10), 1))
+
+
+def test_scores_do_not_depend_on_how_files_are_split(spark, tmp_path, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    path, before = str(tmp_path / "docs"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    docs.coalesce(1).write.option("parquet.block.size", 20_000).option("parquet.page.size.row.check.min", 1).option("parquet.block.size.row.check.min", 1).option("parquet.block.size.row.check.max", 5).parquet(path)
+    read = spark.read.parquet(path)
+    found = []
+    try:
+        for first, second in ((1 << 27, 1 << 27), (40_000, 1 << 27), (1 << 27, 30_000), (50_000, 37_001)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", first)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            scored = quality.perplexities(read, docs.filter("doc_id < 60"))
+            spark.conf.set("spark.sql.files.maxPartitionBytes", second)
+            found.append(sorted((r.id, r.n_chars, round(r.logp, 6)) for r in scored.select("id", "n_chars", "logp").collect()))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 40_000)
+        assert read.rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert all(f == found[0] for f in found) and all(v < 0 for _, n, v in found[0] if n)
+
+
+def test_a_missing_ngram_is_an_error():
+    keys = np.sort(quality.ngrams(["abc"]))
+    assert len(quality._looked_up(["abc"], keys, np.zeros(len(keys)))) == 3 and len(quality._looked_up([""], np.zeros(0, np.uint64), np.zeros(0))) == 0
+    for texts, held in ((["abd"], keys), (["abc"], np.zeros(0, np.uint64))):
+        with pytest.raises(RuntimeError):
+            quality._looked_up(texts, held, np.zeros(len(held)))
