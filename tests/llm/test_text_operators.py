@@ -32,6 +32,22 @@ def test_leaks_of_nothing(spark):
     assert decontaminate.contained_items(docs.limit(0), items).count() == 0 and decontaminate.contained_items(docs, items.limit(0)).count() == 0
 
 
+def test_items_that_share_an_id_or_have_none(spark):
+    ten = "one two three four five six seven eight nine ten"
+    docs = [(1, ten + " eleven"), (2, "one two three four"), (3, "none of it"), (None, ten), (4, ten), (4, "one two three four")]
+    items = [(7, ten), (7, "one two three four"), (None, ten), (8, ten), (8, ten), (None, "none of it")]
+    for order in (items, items[::-1]):
+        d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(order, "item_id long, text string")
+        got = sorted(map(tuple, decontaminate.contained_items(d, i).collect()), key=str)
+        whole = [(doc, item, 6, 6, 1.0) for doc in (1, 4, None) for item in (7, 8, None)]
+        assert got == sorted([*whole, (2, 7, 1, 1, 1.0), (3, None, 1, 1, 1.0)], key=str)
+        con = duckdb.connect()
+        con.register("documents", d.toPandas())
+        con.register("benchmark", i.toPandas())
+        nothing = lambda v: None if v is None or v != v else v
+        assert sorted((tuple(map(nothing, r)) for r in con.sql(decontaminate.SQL).fetchall()), key=lambda r: str(tuple(float(v) if v is not None else v for v in r))) == sorted(got, key=lambda r: str(tuple(float(v) if v is not None else v for v in r)))
+
+
 @pytest.mark.parametrize("n", [*range(1, 40), 100, 1000])
 def test_a_sketch_cannot_be_missed(n):
     most_missing = max(k for k in range(n + 1) if n - k >= n * 0.8 - 1e-9)
