@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import math
 
 import numpy as np
@@ -220,3 +222,51 @@ def quantile_class(rows: DataFrame, x: str, k: int) -> DataFrame:
 def logistic(x: Column, slope: float, bias: float) -> Column:
     """1 / (1 + exp(-slope * (x - bias)))."""
     return 1 / (1 + F.exp(-slope * (x - bias)))
+
+
+def _small(rows: DataFrame, by: list[str], value: str, most: int) -> DataFrame:
+    """The rows of groups of at most ``most``, with ``__r``, twice their average rank; larger groups are told by counts alone and never gathered."""
+    few = rows.groupBy(*by).agg(F.count("*").alias("__n")).filter(F.col("__n") <= most).select(*[F.col(c).alias(f"__b{i}") for i, c in enumerate(by)])
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"__b{i}"))
+    twice = 2 * F.rank().over(Window.partitionBy(*by).orderBy(value)) + F.count("*").over(Window.partitionBy(*by, value)) - 1
+    return rows.join(few, same, "left_semi").withColumn("__r", twice.cast("int"))
+
+
+def _sums(ranks: Column, length: Column, shift: Callable[[Column], Column], fits: Callable[[Column, Column], Column]) -> Column:
+    """How many choices of ranks lead to each place of an array: a rank that is taken moves a choice by ``shift``."""
+    start = F.transform(F.sequence(F.lit(1), length), lambda i: F.when(i == 1, 1.0).otherwise(0.0))
+    return F.aggregate(ranks, start, lambda acc, r: F.transform(acc, lambda v, i: v + F.when((i >= shift(r)) & fits(i, r), F.get(acc, (i - shift(r)).cast("int"))).otherwise(0.0)))
+
+
+def exact_mann_whitney(rows: DataFrame, by: list[str], value: str, positive: str, most: int = 20) -> DataFrame:
+    """``(by..., n1, n0, u, p)`` of groups of at most ``most`` rows: the exact two-sided p, ties included.
+
+    p is the share of all choices of n1 rows whose sum of average ranks is at least as far from its mean. The choices are counted by adding one rank after the other to an array of
+    counts by size and sum, in the JVM. Nulls are left out; groups without both sides, and larger ones, have no row.
+    """
+    kept = rows.filter(F.col(value).isNotNull() & F.col(positive).isNotNull())
+    small = _small(kept, by, value, most)
+    each = small.groupBy(*by).agg(F.collect_list("__r").alias("r"), F.count_if(F.col(positive)).cast("int").alias("n1"), F.count_if(~F.col(positive)).cast("int").alias("n0"), F.sum(F.when(F.col(positive), F.col("__r"))).cast("int").alias("s"))
+    n = F.col("n1") + F.col("n0")
+    each = each.filter("n1 > 0 and n0 > 0").withColumn("w", n * (n + 1) + 1)
+    counts = _sums(F.col("r"), F.col("w") * (F.col("n1") + 1), lambda r: F.col("w") + r, lambda i, r: i % F.col("w") >= r)
+    mean = F.col("n1") * (n + 1)
+    row = F.slice(counts, F.col("n1") * F.col("w") + 1, F.col("w"))
+    far = F.aggregate(F.transform("c", lambda v, i: F.when(F.abs(i - mean) >= F.abs(F.col("s") - mean), v).otherwise(0.0)), F.lit(0.0), lambda s, v: s + v)
+    out = each.withColumn("c", row).withColumn("p", far / F.aggregate("c", F.lit(0.0), lambda s, v: s + v))
+    return out.select(*by, "n1", "n0", (F.col("s") / 2 - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"), "p")
+
+
+def exact_wilcoxon(rows: DataFrame, by: list[str], difference: str, most: int = 20) -> DataFrame:
+    """``(by..., n, w, p)`` of groups of at most ``most`` differences other than 0: the exact two-sided p of the signed ranks, ties included.
+
+    p is the share of all signs whose positive rank sum is at least as far from its mean. Nulls and zeros are left out; larger groups have no row.
+    """
+    kept = rows.filter(F.col(difference).isNotNull() & (F.col(difference) != 0)).withColumn("__m", F.abs(difference))
+    each = _small(kept, by, "__m", most).groupBy(*by).agg(F.collect_list("__r").alias("r"), F.count("*").cast("int").alias("n"), F.coalesce(F.sum(F.when(F.col(difference) > 0, F.col("__r"))), F.lit(0)).cast("int").alias("s"))
+    total = F.col("n") * (F.col("n") + 1)
+    far = F.aggregate(F.transform("c", lambda v, i: F.when(F.abs(2 * i - total) >= F.abs(2 * F.col("s") - total), v).otherwise(0.0)), F.lit(0.0), lambda s, v: s + v)
+    out = each.withColumn("c", _sums(F.col("r"), total + 1, lambda r: r, lambda i, r: F.lit(True))).withColumn("p", far / F.pow(F.lit(2.0), F.col("n")))
+    return out.select(*by, F.col("n").cast("long").alias("n"), (F.col("s") / 2).alias("w"), "p")

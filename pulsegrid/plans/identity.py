@@ -135,3 +135,25 @@ def hazard_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.pmod(F.xxhash64("unit"), F.lit(5))
     predicted = decoding.predictions(rows, ["all"], ["bin", "n", "amp"], "y", 100.0, fold)
     return rounded(statistics.rank_auc(predicted, ["all"], "predicted", "imminent").drop("all"), 4)
+
+
+SMALL = """n AS (SELECT g, count(*) AS n FROM x GROUP BY g HAVING count(*) <= 8), r AS (SELECT g, v, pos, 2 * rank() OVER (PARTITION BY g ORDER BY v) + count(*) OVER (PARTITION BY g, v) - 1 AS r, row_number() OVER (PARTITION BY g ORDER BY v) - 1 AS i, n FROM x JOIN n USING (g)),
+o AS (SELECT g, any_value(n) AS n, count(*) FILTER (WHERE pos) AS n1, coalesce(sum(r) FILTER (WHERE pos), 0) AS s FROM r GROUP BY g),
+e AS (SELECT r.g, mask, sum(CASE WHEN (mask >> i) & 1 = 1 THEN r ELSE 0 END) AS s FROM r JOIN (SELECT unnest(range(256)) AS mask) m ON mask < (1 << n) GROUP BY ALL)"""
+
+
+@register(f"""WITH x AS (SELECT o_custkey AS g, o_totalprice AS v, o_orderstatus = 'F' AS pos FROM orders), {SMALL}, k AS (SELECT o.*, n - n1 AS n0, n1 * (n + 1) AS mid FROM o WHERE n1 > 0 AND n1 < n)
+SELECT k.g AS o_custkey, CAST(any_value(n1) AS INTEGER) AS n1, CAST(any_value(n0) AS INTEGER) AS n0, round(any_value(k.s) / 2.0 - any_value(n1 * (n1 + 1)) / 2.0, 6)::DOUBLE AS u,
+round(count(*) FILTER (WHERE abs(e.s - mid) >= abs(k.s - mid)) / count(*)::DOUBLE, 6) AS p FROM k JOIN e ON e.g = k.g AND bit_count(e.mask) = n1 GROUP BY k.g""")
+def mann_whitney_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact rank tests of customers with few orders."""
+    x = table(spark, sf_dir, "orders").withColumn("pos", F.col("o_orderstatus") == "F")
+    return rounded(statistics.exact_mann_whitney(x, ["o_custkey"], "o_totalprice", "pos", most=8))
+
+
+@register(f"""WITH x AS (SELECT o_custkey AS g, abs(o_totalprice::BIGINT - 150000) AS v, o_totalprice::BIGINT > 150000 AS pos FROM orders WHERE o_totalprice::BIGINT <> 150000), {SMALL}
+SELECT o.g AS o_custkey, CAST(any_value(n) AS BIGINT) AS n, round(any_value(o.s) / 2.0, 6)::DOUBLE AS w, round(count(*) FILTER (WHERE abs(2 * e.s - n * (n + 1)) >= abs(2 * o.s - n * (n + 1))) / count(*)::DOUBLE, 6) AS p FROM o JOIN e ON e.g = o.g GROUP BY o.g""")
+def wilcoxon_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact signed-rank tests of customers with few orders."""
+    x = table(spark, sf_dir, "orders").withColumn("d", F.round("o_totalprice").cast("long") - 150_000)
+    return rounded(statistics.exact_wilcoxon(x, ["o_custkey"], "d", most=8))
