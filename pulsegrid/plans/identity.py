@@ -11,7 +11,7 @@ from pulsegrid.plans.base import register, rounded
 from pulsegrid.plans.trains import DAY, HOUR, TRAIN, train
 from pulsegrid.session import table
 
-WINDOWS, LEAST, SESSIONS = 8, 0.35, 3
+WINDOWS, LEAST, SESSIONS = 8, 0.1, 3
 
 
 def means(spark: SparkSession, sf_dir: str, parts: int) -> DataFrame:
