@@ -250,6 +250,15 @@ def _structs(*phrases: tuple[str, ...]):
     return F.array(*[F.struct(*[(F.col(w[i]) if i < len(w) else F.lit(0).cast("long")).alias(PHRASE[i]) for i in range(LONGEST)]) for w in phrases])
 
 
+def _cut(k: int):
+    """A phrase cut after ``k`` words. The fields are plain columns: an array indexed by a column is generated anew for each of them,
+    and the compiler of the JVM took 3.8 GB for that code."""
+    zero = F.lit(0).cast("long")
+    first = [(F.col(PHRASE[i]) if i < k else zero).alias(f"first_{PHRASE[i]}") for i in range(LONGEST)]
+    rest = [(F.col(PHRASE[k + i]) if k + i < LONGEST else zero).alias(f"rest_{PHRASE[i]}") for i in range(LONGEST)]
+    return F.struct(F.lit(k).alias("k"), *first, *rest)
+
+
 def collocations(docs: DataFrame, least: int = 30, best: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: each language's ``best`` phrases of 2 to 4 words with at least ``least`` occurrences.
 
@@ -277,10 +286,8 @@ def collocations(docs: DataFrame, least: int = 30, best: int = 2000, text_col: s
     first = known.toDF(*[f"first_{c}" for c in PHRASE], "l")
     second = known.toDF(*[f"rest_{c}" for c in PHRASE], "r")
     three, four = F.col("b") != 0, F.col("c") != 0
-    cuts = _structs(("p",), ("a", "b", "c"), ("p", "a"), ("b", "c"), ("p", "a", "b"), ("c",))
-    cut = phrases.select(*PHRASE, F.col("n").alias("f"), F.posexplode(F.sequence(F.lit(1), F.when(four, 3).when(three, 2).otherwise(1))).alias("i", "k")).withColumn("cuts", cuts)
-    cut = cut.select(*PHRASE, "f", "k", F.col("cuts")[2 * F.col("i")].alias("first"), F.col("cuts")[2 * F.col("i") + 1].alias("rest"))
-    cut = cut.select(*PHRASE, "f", "k", *[F.col(s)[c].alias(f"{s}_{c}") for s in ("first", "rest") for c in PHRASE])
+    cut = phrases.select(*PHRASE, F.col("n").alias("f"), F.inline(F.array(*[_cut(k) for k in range(1, LONGEST)])))
+    cut = cut.filter(F.col("k") < F.when(four, 4).when(three, 3).otherwise(2))
     cut = cut.join(first, [f"first_{c}" for c in PHRASE]).join(second, [f"rest_{c}" for c in PHRASE])
     exact = F.expr(SCORE)
     scored = cut.groupBy(*PHRASE).agg(F.first("f").alias("f"), F.min(F.struct(exact.alias("score"), "k", "l", "r")).alias("m"))
