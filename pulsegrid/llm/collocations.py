@@ -3,8 +3,9 @@
 The occurrences of a frequent word are projected: each is a pointer to the at most three words that follow it in its
 piece, cut where a pair of neighbours is too rare to be in any frequent phrase. The pointers of one prefix go to one
 task, which reads them in order and grows the prefix to the right depth-first: the pointers of a longer prefix are an
-interval of those of the shorter. A prefix with more occurrences than a limit is dealt to several tasks by what
-follows it; these give parts of counts, which are added.
+interval of those of the shorter. A prefix with more occurrences than a limit is dealt to several tasks by its next
+word, so all counts are still made in one place; the pointers of a pair that passes the limit itself are dealt by all that
+follows, and give parts of counts, which are added.
 
 Words are told apart by 64-bit hashes of language and word; the table of all words shows that no two share one (else
 the next seed is taken), so counts are exact.
@@ -150,7 +151,7 @@ def _broadcast(df: DataFrame) -> tuple | None:
 
 
 def _frequent_pairs(docs: DataFrame, salt: str, words, least: int) -> DataFrame:
-    """``key`` of the pairs of neighbours that may be seen ``least`` times: their counts by a hash of the pair."""
+    """``(key, n)`` of the pairs of neighbours that may be seen ``least`` times: their counts by a hash of the pair."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, names, ids in _tokens(batches):
@@ -161,11 +162,14 @@ def _frequent_pairs(docs: DataFrame, salt: str, words, least: int) -> DataFrame:
             first, second = np.divmod(pairs, max(len(names), 1))
             yield from _slices([pa.array(_mixed(hashes[first], hashes[second])), pa.array(n, pa.int64())], ["key", "n"])
 
-    return docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key")
+    return docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
-def _projected(docs: DataFrame, salt: str, words, pairs, hot) -> DataFrame:
-    """``(p, deal, a, b, c, n)``: the pointers of each prefix word, with what follows it (0: nothing frequent) and how often a part of a task's text has it."""
+def _projected(docs: DataFrame, salt: str, words, pairs, hot, hot_pairs) -> DataFrame:
+    """``(p, deal, a, b, c, n)``: the pointers of each prefix word, with what follows it (0: nothing frequent) and how often a part of a task's text has it.
+
+    ``deal`` is 0 for a usual prefix, above 0 where it is dealt by its next word, below 0 where the pair of both is dealt further.
+    """
 
     def project(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, names, ids in _tokens(batches):
@@ -192,7 +196,8 @@ def _projected(docs: DataFrame, salt: str, words, pairs, hot) -> DataFrame:
             if len(hot.value[0]):
                 busy = _among(p, hot.value[0])
                 parts[busy] = hot.value[1][np.searchsorted(hot.value[0], p[busy])]
-            deal = np.where(parts > 1, 1 + _mixed(_mixed(more[0], more[1]), more[2]).view(np.uint64) % parts.astype(np.uint64), 0).astype(np.int64)
+            by_pair, by_all = (1 + (h.view(np.uint64) % parts.astype(np.uint64)).astype(np.int64) for h in (more[0], _mixed(_mixed(more[0], more[1]), more[2])))
+            deal = np.where(parts > 1, np.where(_among(_mixed(p, more[0]), hot_pairs and hot_pairs.value[0]), -by_all, by_pair), 0)
             yield from _slices([pa.array(c, pa.int64()) for c in (p, deal, *more, n)], ["p", "deal", "a", "b", "c", "n"])
 
     return docs.mapInArrow(project, "p long, deal long, a long, b long, c long, n long")
@@ -227,7 +232,7 @@ def _phrases(pointers: DataFrame, least: int) -> DataFrame:
             ends = np.append(cuts[1:], len(p))
             found = []
             for lo, hi in zip(cuts[: None if last else -1], ends):
-                found += _grow([c[lo:hi] for c in (p, *more)], n[lo:hi], 1 if deal[lo] else least)
+                found += _grow([c[lo:hi] for c in (p, *more)], n[lo:hi], 1 if deal[lo] < 0 else least)
             held[:] = [[c[cuts[-1] :].copy() for c in (p, deal, *more, n)]]
             padded = np.array([(*w, *[0] * (LONGEST - len(w)), k) for w, k in found], np.int64).reshape(-1, LONGEST + 1)
             return pa.RecordBatch.from_arrays([pa.array(c) for c in padded.T.copy()], names=[*PHRASE, "n"])
@@ -277,8 +282,9 @@ def collocations(docs: DataFrame, least: int = 30, best: int = 2000, text_col: s
     limit = max(HOT, n_words // MOST_HOT)
     hot = _broadcast(frequent.filter(F.col("n") > limit).select("h", (F.col("n") / limit).cast("long").alias("parts") + 1))
     with _short_batches(docs.sparkSession):
-        pairs = _broadcast(written(_frequent_pairs(rows, salt, words, least), "pairs"))
-        pointers = written(_projected(rows, salt, words, pairs, hot), "pointers")
+        counted = written(_frequent_pairs(rows, salt, words, least), "pairs")
+        pairs, hot_pairs = _broadcast(counted.select("key")), _broadcast(counted.filter(F.col("n") > limit).select("key"))
+        pointers = written(_projected(rows, salt, words, pairs, hot, hot_pairs), "pointers")
     phrases = written(_phrases(pointers, least), "phrases")
 
     zero = F.lit(0).cast("long")
