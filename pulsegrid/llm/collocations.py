@@ -27,9 +27,9 @@ from pulsegrid.llm.common import BROADCAST_ROWS, written
 #: A phrase's most words.
 LONGEST = 4
 #: Bytes of text that a task splits into words at a time.
-CHUNK = 1 << 20
+CHUNK = 4 << 20
 #: Rows of a batch of texts, and of a batch of results.
-ROWS, OUT = 500, 4096
+ROWS, OUT = 500, 16384
 #: Occurrences of a prefix above which its pointers are dealt to several tasks; with more than 10^11 words it grows with them, so hot prefixes are at most 500,000.
 HOT, MOST_HOT = 200_000, 500_000
 #: First steps of the ranking of a language.
