@@ -128,6 +128,8 @@ def thin(events: DataFrame, key: str, t: str, dead: int, depth: str | None = Non
 
 #: Events that a run grows over.
 REACH = 200
+#: Events by which it grows at a time.
+GROWTH = 16
 _LOG_FACTORIAL = np.array([math.lgamma(i + 1) for i in range(2 * REACH)])
 
 
@@ -144,7 +146,9 @@ def surprises(k: np.ndarray, mean: np.ndarray) -> np.ndarray:
     below = np.exp(terms * log_mean - mean[:, None] - _LOG_FACTORIAL[terms])
     head = np.where(terms < k[:, None], below, 0.0).sum(axis=1)
     # where k exceeds the mean the terms from k on fall at least like a geometric series
-    steps = np.arange(1, 4 * REACH)[None]
+    # from where the largest ratio falls below 1e-17 nothing is added to its sum
+    largest = float(np.max(mean / (k + 1), where=k > mean, initial=0.0))
+    steps = np.arange(1, 4 * REACH if largest > 0.95 else 2 + int(40 / -math.log(max(largest, 1e-17))))[None]
     ratios = np.where(k[:, None] > mean[:, None], mean[:, None] / (k[:, None] + steps), 0.0)
     tail = k * log_mean[:, 0] - mean - _LOG_FACTORIAL[k] + np.log1p(np.cumprod(ratios, axis=1).sum(axis=1))
     log10 = np.where(k > mean, tail / math.log(10), np.log10(np.maximum(1.0 - head, 1e-300)))
@@ -160,14 +164,19 @@ def surprise(k: int, rate: float, span: float) -> float:
 def grown_run(times: np.ndarray, rate: float, seed: int, least: int) -> tuple[int, int, float]:
     """(first, last, surprise) of the run that grows from the first two of ``times``, at most REACH + 1 of them.
 
-    The surprise of every beginning of the train is taken at once. Growth ends before the first interval of over three seeds that brings no new
-    maximum; the run ends at the first maximum so far, and begins at the first event whose loss would lower the surprise below it.
+    Growth ends before the first interval of over three seeds that brings no new maximum, and the surprises of later beginnings are not looked at; the
+    run ends at the first maximum so far, and begins at the first event whose loss would lower the surprise below it.
     """
-    level = surprises(np.arange(2, len(times) + 1), rate * (times[1:] - times[0]))
-    highest = np.maximum.accumulate(level)
-    raised = np.concatenate([[True], level[1:] > highest[:-1]])
-    stops = np.flatnonzero(~raised & (np.diff(times) > 3 * seed))
-    last = int(np.argmax(level[: stops[0]] if len(stops) else level)) + 1
+    gaps, level = np.diff(times), np.zeros(0)
+    for lo in range(0, len(gaps), GROWTH):
+        n = np.arange(lo + 1, min(lo + GROWTH, len(gaps)) + 1)
+        level = np.append(level, surprises(n + 1, rate * (times[n] - times[0])))
+        before = np.append(-np.inf, np.maximum.accumulate(level)[:-1])
+        stops = np.flatnonzero((level <= before) & (gaps[: len(level)] > 3 * seed))
+        if len(stops):
+            level = level[: stops[0]]
+            break
+    last = int(np.argmax(level)) + 1
     best = float(level[last - 1])
     first = np.arange(1, max(last - least + 2, 1))
     shorter = surprises(last - first + 1, rate * (times[last] - times[first])) >= best
