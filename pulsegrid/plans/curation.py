@@ -97,9 +97,9 @@ def merge_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'extra' ELSE 'duplicated' END AS problem
-FROM (SELECT doc_id FROM documents WHERE lang = 'en') d FULL JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id) l USING (doc_id) WHERE l.doc_id IS NULL OR d.doc_id IS NULL OR n > 1""")
+FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id) l USING (doc_id) WHERE l.doc_id IS NULL OR d.doc_id IS NULL OR n > 1""")
 def coverage_assert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.coverage(table(spark, sf_dir, "documents").filter("lang = 'en'"), table(spark, sf_dir, "labels"), "doc_id")
+    return lineage.coverage(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 GRID = "pts AS (SELECT vec_id, embedding, (vec_id % 40) * 20.0 AS x, floor(vec_id / 40) * 25.0 AS y FROM embeddings)"
