@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import bisect
+import math
+from collections import deque
+from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid.operators.bands import band_join
 from pulsegrid.operators.sequence import ISLANDS
@@ -36,29 +40,54 @@ def one_to_one(ref: DataFrame, test: DataFrame, on: str, t: str, tolerance: int)
     """``(on, t_ref, t_test)``: ref events in time order each take the nearest unused test event within the tolerance; of equally near ones the earlier.
 
     To look at the nearest unused event whatever its distance and drop it beyond the tolerance gives the same pairs. Events of both
-    sides are cut into islands further apart than the tolerance, which cannot compete, so a long train is many groups.
+    sides are cut into islands further apart than the tolerance, which cannot compete, so a long train is dealt to many tasks.
+    These read events in order; a worker holds one batch and the events within twice the tolerance, however long an
+    island is. Events without a time match nothing.
     """
-    both = ref.select(on, t, F.lit(0).alias("side")).unionByName(test.select(on, t, F.lit(1).alias("side")))
-    w = Window.partitionBy(on).orderBy(t, "side")
-    new = F.coalesce((F.col(t) - F.lag(t).over(w) > tolerance).cast("int"), F.lit(0))
-    islands = both.withColumn("__new", new).withColumn("island", F.expr(f"sum(__new) over (partition by `{on}` order by `{t}`, side) div {ISLANDS}")).drop("__new")
-
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        refs, free = sorted(rows[t][rows.side == 0].tolist()), sorted(rows[t][rows.side == 1].tolist())
+    side = lambda df, n: df.filter(F.col(t).isNotNull()).select(F.col(on), F.col(t).cast("long").alias("__t"), F.lit(n).alias("__side"))
+    w = Window.partitionBy(on).orderBy("__t")
+    both = side(ref, 0).unionByName(side(test, 1))
+    new = F.coalesce((F.col("__t") - F.lag("__t").over(w) > tolerance).cast("int"), F.lit(0))
+    islands = both.withColumn("__new", new).withColumn("__island", F.sum("__new").over(w)).drop("__new")
+    dealt = islands.withColumn("__deal", F.expr(f"__island div {ISLANDS}"))
+    dealt = dealt.repartition(on, "__deal").sortWithinPartitions(on, "__deal", "__t")
+
+    def settled(waiting: deque, free: list[int], until: float) -> list[tuple[int, int]]:
+        """Pairs of the ref events that no test event from ``until`` on can reach; test events too early for later ones go."""
         pairs = []
-        for r in refs:
+        while waiting and waiting[0] + tolerance < until:
+            r = waiting.popleft()
+            del free[: bisect.bisect_left(free, r - tolerance)]
             at = bisect.bisect_left(free, r)
-            near = [i for i in (at - 1, at) if 0 <= i < len(free) and abs(free[i] - r) <= tolerance]
+            near = [x for x in free[max(at - 1, 0) : at + 1] if abs(x - r) <= tolerance]
             if near:
-                best = min(near, key=lambda i: abs(free[i] - r))
-                best = bisect.bisect_left(free, free[best])
-                pairs.append((r, free.pop(best)))
-        out = pd.DataFrame(pairs, columns=["t_ref", "t_test"], dtype="int64")
-        out.insert(0, on, rows[on].iloc[0])
-        return out
-
-    kind = ref.schema[on].dataType.simpleString()
-    return islands.groupBy(on, "island").applyInPandas(match, f"{on} {kind}, t_ref long, t_test long")
+                x = min(near, key=lambda v: (abs(v - r), v))
+                free.pop(bisect.bisect_left(free, x))
+                pairs.append((r, x))
+        return pairs
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        now, waiting, free = None, deque(), []
+        for batch in batches:
+            found = []
+            for name, x, kind, island in zip(*(batch.column(c).to_pylist() for c in (on, "__t", "__side", "__island"))):
+                if (name, island) != now:
+                    found += [(now, pair) for pair in settled(waiting, free, math.inf)]
+                    now, waiting, free = (name, island), deque(), []
+                (free if kind else waiting).append(x)
+                found += [(now, pair) for pair in settled(waiting, free, x)]
+                if not waiting:
+                    del free[: bisect.bisect_left(free, x - tolerance)]
+            key_type = batch.schema.field(on).type
+            yield packed(found, key_type)
+        if now is not None:
+            yield packed([(now, pair) for pair in settled(waiting, free, math.inf)], key_type)
+
+    def packed(found: list, kind: pa.DataType) -> pa.RecordBatch:
+        columns = [pa.array([k[0] for k, _ in found], kind), *(pa.array([p[i] for _, p in found], pa.int64()) for i in (0, 1))]
+        return pa.RecordBatch.from_arrays(columns, names=[on, "t_ref", "t_test"])
+
+    return dealt.mapInArrow(scan, T.StructType([T.StructField(on, ref.schema[on].dataType), T.StructField("t_ref", T.LongType()), T.StructField("t_test", T.LongType())]))
 
 
 def match_scores(ref: DataFrame, test: DataFrame, pairs: DataFrame, on: str) -> DataFrame:

@@ -10,10 +10,11 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Neighbouring islands that one group of a scan holds.
+#: Neighbouring islands that are dealt together.
 ISLANDS = 4096
 
 
@@ -99,31 +100,39 @@ def pauses(events: DataFrame, key: str, t: str, width: int, factor: float, rebou
     return rows.filter(F.col("isi") > factor * (F.col("local_median") + 1e-12)).select(key, "t0", F.col(t).alias("t1"), "n_rebound")
 
 
-def _scan(groups: DataFrame, by: list[str], keep, schema: str) -> DataFrame:
-    return groups.groupBy(*by).applyInPandas(keep, schema)
-
-
 def thin(events: DataFrame, key: str, t: str, dead: int, depth: str | None = None) -> DataFrame:
-    """Events left when those less than ``dead`` ticks after a kept one go.
+    """Events left when those less than ``dead`` ticks after a kept one go; events without a time are left out.
 
-    With ``depth`` the lower of two close events stays instead, in the place of the kept one. The scan runs over islands
-    of events closer than ``dead``, which do not influence each other, so a long train is many small groups.
+    With ``depth`` the lower of two close events stays instead, in the place of the kept one; no depth is the greatest. Islands
+    of events closer than ``dead`` do not influence each other, so a long train is dealt to many tasks; these read
+    their islands in order and hold one batch and the event kept last, however long an island is.
     """
-    island = with_session(events, key, t, dead - 1)
-
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([t] + ([depth] if depth else []), kind="stable")
-        times, depths = rows[t].to_numpy(), rows[depth].to_numpy() if depth else None
-        kept = [0]
-        for i in range(1, len(times)):
-            if times[i] - times[kept[-1]] >= dead:
-                kept.append(i)
-            elif depth and depths[i] < depths[kept[-1]]:
-                kept[-1] = i
-        return rows.iloc[kept].drop(columns="session")
-
-    grouped = island.withColumn("session", F.expr(f"session div {ISLANDS}"))
-    return _scan(grouped, [key, "session"], keep, events.schema.simpleString()[7:-1])
+    order = [F.col(t)] + ([F.col(depth).asc_nulls_last()] if depth else [])
+    timed = with_session(events.filter(F.col(t).isNotNull()), key, t, dead - 1).withColumnRenamed("session", "__island")
+    dealt = timed.withColumn("__deal", F.expr(f"__island div {ISLANDS}"))
+    dealt = dealt.repartition(key, "__deal").sortWithinPartitions(key, "__deal", *order)
+    columns = events.columns
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            if not rows.num_rows:
+                continue
+            islands = list(zip(rows[key].to_pylist(), rows["__island"].to_pylist()))
+            times, depths = rows[t].to_pylist(), [math.inf if d is None else d for d in rows[depth].to_pylist()] if depth else None
+            kept = [0]
+            for i in range(1, len(times)):
+                if islands[i] != islands[kept[-1]] or times[i] - times[kept[-1]] >= dead:
+                    kept.append(i)
+                elif depth and depths[i] < depths[kept[-1]]:
+                    kept[-1] = i
+            yield from rows.take(pa.array(kept[:-1], pa.int64())).select(columns).to_batches()
+            held = rows.slice(kept[-1], 1).combine_chunks().to_batches()[0]
+        if held is not None:
+            yield held.select(columns)
+
+    return dealt.mapInArrow(scan, events.schema)
 
 
 #: Events that a run grows over.

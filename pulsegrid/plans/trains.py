@@ -226,13 +226,26 @@ def any_match_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.filter("ref_kind < test_kind").groupBy("ref_kind", "test_kind").agg(F.sum("n").alias("n"))
 
 
-@register()
+#: Recursive SQL of the one-to-one matching: each step takes the least (distance, time, place) that is free.
+PAIRED = TRAIN + """, rf AS (SELECT unit, t, row_number() OVER (PARTITION BY unit ORDER BY t) AS rn FROM tr WHERE kind = 'click'),
+te AS (SELECT unit, t, row_number() OVER (PARTITION BY unit ORDER BY t) AS i FROM tr WHERE kind = 'view'),
+c AS (SELECT rf.unit, rn, rf.t, coalesce(list(struct_pack(d := abs(te.t - rf.t), t := te.t, i := te.i) ORDER BY abs(te.t - rf.t), te.t, te.i) FILTER (WHERE te.i IS NOT NULL), []) AS near
+ FROM rf LEFT JOIN te ON te.unit = rf.unit AND abs(te.t - rf.t) <= 21600000000 GROUP BY ALL),
+k AS (SELECT unit, 0::BIGINT AS rn, NULL::BIGINT AS t_ref, NULL::BIGINT AS t_test, []::BIGINT[] AS used FROM rf WHERE rn = 1
+ UNION ALL SELECT unit, rn, t, best.t, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.i) END
+ FROM (SELECT c.unit, c.rn, c.t, k.used, list_filter(c.near, lambda x: NOT list_contains(k.used, x.i))[1] AS best FROM k JOIN c ON c.unit = k.unit AND c.rn = k.rn + 1)),
+pairs AS (SELECT unit, t_ref, t_test FROM k WHERE t_test IS NOT NULL)"""
+
+
+@register(f"WITH RECURSIVE {PAIRED} SELECT * FROM pairs")
 def one_to_one_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref, test = _sides(spark, sf_dir)
     return matching.one_to_one(ref, test, "unit", "t", 6 * HOUR)
 
 
-@register()
+@register(f"""WITH RECURSIVE {PAIRED}, n AS (SELECT unit, count(*) FILTER (WHERE kind = 'click') AS n_ref, count(*) FILTER (WHERE kind = 'view') AS n_test FROM tr WHERE kind IN ('click', 'view') GROUP BY unit),
+h AS (SELECT unit, count(*) AS n_hit FROM pairs GROUP BY unit)
+SELECT unit, n_ref, n_test, coalesce(n_hit, 0) AS n_hit, round(coalesce(n_hit, 0) / nullif(n_ref, 0), 6) AS recall, round(coalesce(n_hit, 0) / nullif(n_test, 0), 6) AS precision FROM n LEFT JOIN h USING (unit)""")
 def match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref, test = _sides(spark, sf_dir)
     return rounded(matching.match_scores(ref, test, matching.one_to_one(ref, test, "unit", "t", 6 * HOUR), "unit"))

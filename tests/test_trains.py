@@ -45,6 +45,29 @@ def test_thinning_over_many_islands(spark, monkeypatch):
     assert sorted(r.t for r in sequence.thin(trains(spark, times).drop("event_id"), "unit", "t", 15).collect()) == want
 
 
+@pytest.mark.parametrize("depth", [None, "depth"])
+def test_thinning_of_a_train_without_gaps_over_many_batches(spark, depth):
+    rng = random.Random(2)
+    rows = [(k, 10 * i + rng.randrange(10), rng.choice([None, *range(50)]), i) for k in ("a", None) for i in range(700)]
+    df = spark.createDataFrame(rows + [("a", None, 1, 9)], "unit string, t long, depth int, tag int")
+    want = []
+    for k in ("a", None):
+        kept = []
+        for r in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
+            if not kept or r[1] - kept[-1][1] >= 25:
+                kept.append(r)
+            elif depth and r[2] is not None and (kept[-1][2] is None or r[2] < kept[-1][2]):
+                kept[-1] = r
+        want += kept
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sequence.thin(df, "unit", "t", 25, depth).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_poisson_tail():
     for k, mean in [(1, 0.1), (3, 0.5), (10, 2.0), (2, 30.0), (50, 60.0), (80, 60.0)]:
         exact = 1 - sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(k))
@@ -143,6 +166,31 @@ def test_one_to_one_against_a_plain_scan(spark):
     assert sorted((r.t_ref, r.t_test) for r in got) == sorted(want)
 
 
+def nearest_unused(refs, tests, tolerance):
+    """Each ref event in order takes the first of the nearest unused test events, whatever its distance, and leaves it beyond the tolerance."""
+    free, pairs = sorted(tests), []
+    for r in sorted(refs):
+        if free and abs((x := min(free, key=lambda v: (abs(v - r), v))) - r) <= tolerance:
+            free.remove(x)
+            pairs.append((r, x))
+    return pairs
+
+
+@pytest.mark.parametrize("step", [1, 3])
+def test_one_to_one_of_trains_without_gaps_over_many_batches(spark, step):
+    rng = random.Random(step)
+    draw = lambda: [sorted(rng.choices(range(0, 900, step), k=600)) for _ in range(2)]
+    ref, test = draw(), draw()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        got = matching.one_to_one(trains(spark, *ref), trains(spark, *test), "unit", "t", 6).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = [(k, *pair) for k in range(2) for pair in nearest_unused(ref[k], test[k], 6)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_self_comparison(spark):
     e = trains(spark, [1, 5, 9, 13])
     s = matching.match_scores(e, e, matching.one_to_one(e, e, "unit", "t", 0), "unit").first()
