@@ -32,7 +32,12 @@ PREFIXES = {"2": "200000", "3": "330000", "4": "400000", "5": "590000", "6": "69
 
 _names = "|".join(n for v in GIVEN.values() for n in v.split())
 _titles = "|".join(t for v in TITLES.values() for t in v.split())
-_name_of_secret = r"(?:password|passwd|token|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?"
+_name_of_secret = r"(?i:password|passwd|token|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?"
+#: How access tokens of common services begin, and signed web tokens: fixed values of their formats.
+TOKENS = r"gh[pousr]_|github_pat_|glpat-|[sr]k_(?:live|test)_|xox[abeoprs]-|AIza|eyJ|[Bb]earer "
+_group = "[0-9A-Fa-f]{1,4}"
+#: First groups of addresses that are in use: global, unique local, link-local and multicast (fixed values).
+_routed = "(?:[23][0-9A-Fa-f]{3}|[Ff][CDEFcdef][0-9A-Fa-f]{2})"
 _cap = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 _surname = rf"(?:\p{{Lu}}['’])?{_cap}"
 #: Initials and particles between the given name and the surname.
@@ -43,11 +48,14 @@ PATTERNS = [
     ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ipv4", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
+    ("ipv6", rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_group}:){{7}}{_group}|{_routed}(?::{_group}){{0,6}}::(?:{_group}(?::{_group}){{0,5}})?)(?![\p{{L}}\p{{N}}:]|\.\d)"),
     ("card", r"(?<![\d])(?:\d[ -]?){12,18}\d(?!\d)"),
-    ("phone", r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"),
+    ("phone", r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
+     r"|0\d(?:[ .-]\d{2}){4}(?![ .-]\d)|0\d{1,4}[ /-]\d{3,4}[ -]\d{3,4}(?![ .-]\d)|\(0\d{1,4}\) ?\d{3,4}[ -]?\d{3,4})(?!\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("key", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
-    ("secret", rf"{_name_of_secret}[A-Za-z0-9+/_.-]{{8,256}}"),
+    ("token", rf"(?:{_name_of_secret}|(?<![A-Za-z0-9_]))(?:{TOKENS})[A-Za-z0-9_.~+/=-]{{9,}}[A-Za-z0-9_~+/=-]"),
+    ("secret", rf"{_name_of_secret}[^\s\"'`<>,;&|]{{7,}}[^\s\"'`<>,;&|.:!?]"),
     ("person", rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_titles})\.? (?:{_cap} )?{_between}{_surname}|(?:{_names}) {_between}{_surname}|(?<=(?:{INTRODUCTIONS}) ){_cap} {_between}{_surname})(?!\p{{L}})"),
 ]
 #: Title, given name, what is between, and surname of a person.
@@ -66,6 +74,12 @@ NETWORKS = (
 )
 #: The country code at the start of an international number's digits.
 COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Characters of an entity that are replaced one by one; what is longer than that goes on in hexadecimal digits.
+SPELLED = 256
+#: Attempts in which phones get numbers that cannot be dialled.
+BARRED = 20
+#: What makes of a surname that stands alone another name: fixed word lists.
+NAMED_AFTER = "University|College|School|Institute|Hospital|Museum|Street|Road|Avenue|Square|Bridge|County|River|Lake|Company|Corporation|Inc|Ltd|GmbH"
 #: Between two characters.
 MARKS = "(?!^)(?!$)"
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
@@ -106,7 +120,7 @@ def pattern_of(text: Column) -> Column:
     found = F.when(text.rlike(dict(PATTERNS)["card"]), own).otherwise(F.concat(before, F.lit("|"), after))
     persons = F.regexp_extract_all(text, F.lit(dict(PATTERNS)["person"]), F.lit(0))
     surnames = F.array_distinct(F.transform(persons, lambda c: F.regexp_extract(c, _parts, 4)))
-    alone = F.concat(F.lit(r"|(?:(?<![\p{L}'’-])(?:"), F.array_join(surnames, "|"), F.lit(r")(?![\p{L}-]))"))
+    alone = F.concat(F.lit(r"|(?:(?<![\p{L}'’-])(?<![Tt]he )(?:"), F.array_join(surnames, "|"), F.lit(rf")(?![\p{{L}}-]| (?:{NAMED_AFTER})(?!\p{{L}})))"))
     return F.when(F.size(surnames) > 0, F.concat(found, alone)).otherwise(found)
 
 
@@ -116,7 +130,7 @@ def canonical(kind: Column, surface: Column) -> Column:
     return (
         F.when(kind == "email", F.lower(surface)).when(kind.isin("card", "ssn"), _digits(surface))
         .when(kind == "phone", F.concat(F.when(surface.startswith("+"), "+").otherwise(""), _digits(surface))).when(kind == "iban", F.regexp_replace(surface, " ", ""))
-        .when(kind == "secret", F.regexp_replace(surface, f"^{_name_of_secret}", "")).when(kind == "surname", surname).otherwise(surface)
+        .when(kind.isin("secret", "token"), F.regexp_replace(surface, f"^{_name_of_secret}", "")).when(kind == "ipv6", F.lower(surface)).when(kind == "surname", surname).otherwise(surface)
     )
 
 
@@ -178,7 +192,8 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: Column, gender: Co
     """The surrogate of a canonical entity: a keyed function of type, entity and attempt."""
     stream = _stream(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string")), F.greatest(F.length(canon), F.lit(64)))
     hexed = (kind == "secret") & canon.rlike("^[0-9a-f]+$")
-    mapped = _mapped(canon, stream, hexed)
+    spelled = _mapped(F.substring(canon, 1, SPELLED), stream, hexed)
+    mapped = F.concat(spelled, F.substring(stream, F.lit(2 * SPELLED + 1), F.greatest(F.length(canon) - SPELLED, F.lit(0))))
     octet = lambda at, low, n: (_number(stream, at, n) + low).cast("string")
     digits = lambda at, n, width: F.lpad(_number(stream, at, n).cast("string"), width, "0")
     first = F.substring(canon, 1, 1)
@@ -187,6 +202,13 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: Column, gender: Co
     check = F.pmod(F.lit(10) - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")
     local = _mapped(F.regexp_extract(canon, "^([^@]+)@", 1), stream, F.lit(False))
     country = F.when(canon.startswith("+"), F.length(F.regexp_extract(F.substring(canon, 2, 3), COUNTRY, 0)) + 1).otherwise(0)
+    # no area code begins like this; where such numbers run out the later attempts may take any
+    barred = F.when(F.substring(canon, country + 1, F.lit(1)) == "0", "000").when(country > 0, "0").otherwise("1")
+    barred = F.when((attempt < BARRED) & (F.length(canon) - country >= 7), barred).otherwise("")
+    begun = F.concat(F.substring(canon, F.lit(1), country), barred)
+    phone = F.concat(begun, F.substring(mapped, F.length(begun) + 1, F.length(canon)))
+    service = F.regexp_extract(canon, f"^(?:{TOKENS})", 0)
+    groups = F.concat_ws(":", F.lit("2001:db8"), *[F.lower(F.hex(_number(stream, 8 * k, 65_536))) for k in range(6)])
     area = _number(stream, 0, 102)
     unissued = F.concat(F.when(area == 100, "000").when(area == 101, "666").otherwise((area + 900).cast("string")), digits(8, 50, 2), digits(16, 10_000, 4))
     account = F.substring(mapped, F.lit(5), F.length(canon))
@@ -200,7 +222,7 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: Column, gender: Co
         .when(kind == "ipv4", F.concat_ws(".", octet(0, 240, 15), octet(8, 1, 254), octet(16, 1, 254), octet(24, 1, 254)))
         .when(kind == "card", F.concat(body, check)).when(kind == "key", F.concat(F.lit("AKIA"), F.substring(mapped, 5, 16)))
         .when(kind == "iban", iban).when((kind == "ssn") & (F.length(canon) == 9), unissued)
-        .when(kind == "phone", F.concat(F.substring(canon, F.lit(1), country), F.substring(mapped, country + 1, F.length(canon))))
+        .when(kind == "phone", phone).when(kind == "ipv6", groups).when(kind == "token", F.concat(service, F.substring(mapped, F.length(service) + 1, F.length(canon))))
         .when(kind == "surname", surname).when(kind == "given", F.when(gender == "f", F.concat(name, feminine)).otherwise(name)).otherwise(mapped)
     )
 
@@ -220,7 +242,7 @@ def rendered(kind: Column, surface: Column, replaced: Column, given: Column) ->
     part = lambda g: F.regexp_extract(surface, _parts, g)
     feminine = F.when(part(4).rlike("(ов|ев|ин)а$"), "а").otherwise("")
     person = F.concat(part(1), F.coalesce(given, F.lit("")), part(3), replaced, feminine)
-    before = F.when(kind == "secret", F.regexp_extract(surface, f"^{_name_of_secret}", 0)).otherwise("")
+    before = F.when(kind.isin("secret", "token"), F.regexp_extract(surface, f"^{_name_of_secret}", 0)).otherwise("")
     return F.when(kind.isin("card", "phone", "ssn", "iban"), spelled).when(kind == "surname", person).otherwise(F.concat(before, replaced))
 
 
@@ -250,7 +272,7 @@ def surrogate_table(entities: DataFrame, key: str, max_attempts: int = 60) -> Da
 
 def possible(text: Column) -> Column:
     """True for every text that a pattern matches: each needs one of these, which are quick to look for."""
-    return text.contains("AKIA") | text.contains("@") | text.contains("=") | text.contains(":") | text.rlike("[0-9]") | text.rlike(dict(PATTERNS)["person"])
+    return text.contains("AKIA") | text.contains("::") | text.rlike(TOKENS) | text.contains("@") | text.contains("=") | text.contains(":") | text.rlike("[0-9]") | text.rlike(dict(PATTERNS)["person"])
 
 
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
@@ -261,7 +283,9 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", count_co
     unlisted given name are entities, and listed given names change places within their list, so a person keeps one name
     wherever they are named, with or without title and given name. Phones keep their country code, which is part of
     the entity, so the numbers that are compared are those that are shown. Cards and IBANs have valid check digits; cards, social security
-    numbers, e-mail hosts and addresses come from ranges that are reserved or not issued. Only rows with matches are
+    numbers, e-mail hosts and addresses come from ranges that are reserved or not issued, and phones of 7 digits or more begin as no area
+    code does unless these numbers run out. Access tokens keep the mark of their service. A version 6 address is the same entity in one spelling
+    only. A surname alone stays after an article and in names of institutions and streets. Only rows with matches are
     shuffled; an entity that a third of all rows share is a key of a partial aggregation and of a join that adaptive execution
     splits. Other columns may have any name.
     """
