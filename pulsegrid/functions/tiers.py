@@ -44,3 +44,31 @@ def weighted_score(parts: dict[str, tuple[Column, float]], cap: Column | None =
     total = sum(w for _, w in parts.values())
     score = sum((F.coalesce(c, F.lit(0.0)) * (w / total) for c, w in parts.values()), F.lit(0.0))
     return score if cap is None else F.least(score, F.coalesce(cap, F.lit(float("inf"))))
+
+
+#: The states of a session's decisions, and the greatest held-out error of a clock that passes.
+STATES = ["HALF OF A JOIN", "SUPERSEDED", "NOT REVIEWED", "ON Z", "DRIFTED", "CHECK", "SAVED, REVIEW CLOSED", "SAVED, PARTIAL", "SAVED, COMPLETE"]
+HOLDOUT_MS = 50.0
+
+
+def sync_verdict(matched: Column, holdout_max: Column, valid: Column, trials: Column) -> Column:
+    """How well two clocks agree: all events matched, every trial valid and the error low is a pass; no share of matches is unknown.
+
+    No error, or one of zero, was not measured and does not pass; no number of valid trials means all of them.
+    """
+    every = F.coalesce(valid, trials).eqNullSafe(trials)
+    measured = F.coalesce(holdout_max, F.lit(0.0)) != 0
+    passed = (matched >= 1.0) & measured & (holdout_max < HOLDOUT_MS) & every
+    return F.when(matched.isNull(), "unknown").when(passed, "pass").when(matched >= 0.99, "check").otherwise("FAIL")
+
+
+def review_state(joined: Column, superseded: Column, saved: Column, live: Column, units: Column, finished: Column) -> Column:
+    """Where a session's decisions stand: ``saved`` ones, ``live`` ones (null: not looked at), its units, and three marks (null: not set)."""
+    half, replaced, only_saved, closed = F.coalesce(joined, F.lit(False)), F.coalesce(superseded, F.lit(False)), live.isNull(), F.coalesce(finished, F.lit(False))
+    n, none = F.coalesce(live, F.lit(0)), F.coalesce(saved, F.lit(0)) == 0
+    whole = (F.coalesce(units, F.lit(0)) > 0) & (n >= units)
+    rules = [
+        (half, "HALF OF A JOIN"), (replaced & none & (n == 0), "SUPERSEDED"), (none & (n == 0), "NOT REVIEWED"), (only_saved, "ON Z"), (n > F.coalesce(saved, F.lit(0)), "DRIFTED"), (n < saved, "CHECK"),
+        (~whole & closed, "SAVED, REVIEW CLOSED"), (~whole, "SAVED, PARTIAL"),
+    ]
+    return F.coalesce(*[F.when(rule, state) for rule, state in rules], F.lit("SAVED, COMPLETE"))

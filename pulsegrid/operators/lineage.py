@@ -71,6 +71,20 @@ def merge_groups(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("the groups did not settle")
 
 
+def by_precedence(rows: DataFrame, key: str, label: str, sources: list[tuple[str, DataFrame]], own: str = "auto") -> DataFrame:
+    """``rows`` with ``label`` from the first of ``sources``, pairs of a name and a table ``(key, label)``, that has one; else their own, which may be null.
+
+    ``label_source`` names where it is from. Of several labels of one source the greatest counts; a null label or key is none.
+    """
+    for k, (_, df) in enumerate(sources):
+        one = df.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias(f"__k{k}")).agg(F.max(label).alias(f"__l{k}"))
+        rows = rows.join(one, F.col(key) == F.col(f"__k{k}"), "left")
+    found = [F.col(f"__l{k}") for k in range(len(sources))]
+    source = F.coalesce(*[F.when(c.isNotNull(), name) for c, (name, _) in zip(found, sources)], F.lit(own))
+    new = F.coalesce(*found, F.col(label))
+    return rows.withColumn("label_source", source).withColumn(label, new).drop(*[f"__{x}{k}" for k in range(len(sources)) for x in "kl"])
+
+
 def overlay(rows: DataFrame, verdicts: DataFrame, key: str, label: str, verdict: str) -> DataFrame:
     """The label replaced where there is a verdict, with ``label_source``; of several verdicts the greatest counts."""
     one = verdicts.groupBy(key).agg(F.max(verdict).alias("__v"))

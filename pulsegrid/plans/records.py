@@ -205,3 +205,42 @@ def child_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"WITH {TRAIN} SELECT CAST(floor(unit / 25) AS BIGINT) AS shard, count(DISTINCT unit) AS n_units, count(*) AS n_events FROM tr GROUP BY 1")
 def unit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train(spark, sf_dir).groupBy(recordings.shard_of("unit").alias("shard")).agg(F.countDistinct("unit").alias("n_units"), F.count("*").alias("n_events"))
+
+
+@register("""WITH l AS (SELECT doc_id, max(CASE WHEN toxic = 1 THEN 'toxic' END) AS a, max(CASE quality WHEN 1 THEN 'high' WHEN 0 THEN 'low' END) AS b FROM labels GROUP BY 1)
+SELECT doc_id, coalesce(a, b, lang) AS label, CASE WHEN a IS NOT NULL THEN 'checked' WHEN b IS NOT NULL THEN 'manual' ELSE 'auto' END AS label_source FROM documents LEFT JOIN l USING (doc_id)""")
+def label_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three levels of labels, the first that there is."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("label")), table(spark, sf_dir, "labels")
+    checked = labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").alias("label"))
+    manual = labels.select("doc_id", F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low").alias("label"))
+    return lineage.by_precedence(docs, "doc_id", "label", [("checked", checked), ("manual", manual)])
+
+
+LATE = "SELECT l_orderkey, avg(CASE WHEN l_quantity > 1 THEN 1.0 ELSE 0.0 END) AS matched, max(l_discount) * 600 AS worst, count(*) AS n, count(*) FILTER (WHERE l_linestatus = 'F') AS nf FROM lineitem GROUP BY 1"
+
+
+@register(f"""WITH s AS ({LATE}), v AS (SELECT CASE WHEN matched IS NULL THEN 'unknown' WHEN matched >= 1 AND coalesce(worst, 0) <> 0 AND worst < 50 AND nf = n THEN 'pass' WHEN matched >= 0.99 THEN 'check' ELSE 'FAIL' END AS verdict, o_orderpriority
+ FROM orders LEFT JOIN s ON l_orderkey = o_orderkey) SELECT o_orderpriority, verdict, count(*) AS n FROM v GROUP BY ALL""")
+def sync_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as sessions, their lines as matched events: verdicts of each priority."""
+    hit = F.when(F.col("l_quantity") > 1, 1.0).otherwise(0.0)
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.avg(hit).alias("matched"), (F.max("l_discount") * 600).alias("worst"), F.count("*").alias("n"), F.count_if(F.col("l_linestatus") == "F").alias("nf")
+    )
+    joined = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return joined.groupBy("o_orderpriority", tiers.sync_verdict(F.col("matched"), F.col("worst"), F.col("nf"), F.col("n")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@register("""WITH o AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS live, count(*) FILTER (WHERE o_orderstatus <> 'O') AS units, count(*) FILTER (WHERE o_orderpriority < '3') AS saved FROM orders GROUP BY 1),
+s AS (SELECT c_custkey, CASE WHEN c_acctbal < -900 THEN 'HALF OF A JOIN' WHEN c_nationkey = 3 AND coalesce(saved, 0) = 0 AND coalesce(live, 0) = 0 THEN 'SUPERSEDED' WHEN coalesce(saved, 0) = 0 AND coalesce(live, 0) = 0 THEN 'NOT REVIEWED'
+ WHEN live IS NULL THEN 'ON Z' WHEN live > saved THEN 'DRIFTED' WHEN live < saved THEN 'CHECK' WHEN (units = 0 OR live < units) AND c_mktsegment = 'BUILDING' THEN 'SAVED, REVIEW CLOSED' WHEN units = 0 OR live < units THEN 'SAVED, PARTIAL' ELSE 'SAVED, COMPLETE' END AS state
+ FROM customer LEFT JOIN o ON o_custkey = c_custkey) SELECT state, count(*) AS n, min(c_custkey) AS first FROM s GROUP BY state""")
+def review_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as sessions, their orders as decisions: how many stand in each state."""
+    counts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.count_if(F.col("o_orderstatus") == "F").alias("live"), F.count_if(F.col("o_orderstatus") != "O").alias("units"), F.count_if(F.col("o_orderpriority") < "3").alias("saved")
+    )
+    rows = table(spark, sf_dir, "customer").join(counts, F.col("c_custkey") == F.col("o_custkey"), "left")
+    state = tiers.review_state(F.col("c_acctbal") < -900, F.col("c_nationkey") == 3, F.col("saved"), F.col("live"), F.col("units"), F.col("c_mktsegment") == "BUILDING")
+    return rows.groupBy(state.alias("state")).agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))

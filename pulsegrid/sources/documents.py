@@ -33,6 +33,36 @@ def verdict_files(spark: SparkSession, path: str) -> DataFrame:
     return docs.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("id"), "verdict", "ts")
 
 
+def merge_entries(texts: DataFrame, text: str = "value", labels: tuple[str, ...] = VERDICTS) -> DataFrame:
+    """``(parents, merged_id, note, decided, quality_label)`` of JSON texts of merges: records under ``merges`` or alone in a list, or lists of ids.
+
+    Parents are sorted. An unknown label or an entry without parents stops the query; other columns of ``texts`` are ignored.
+    """
+    record = "parents array<bigint>, merged_id bigint, note string, decided string, quality_label string"
+    entries = F.from_json(F.coalesce(F.get_json_object(text, "$.merges"), F.when(F.trim(F.col(text)).startswith("["), F.col(text))), "array<string>")
+    rows = texts.select(F.explode(entries).alias("__e"))
+    parsed = F.when(F.trim("__e").startswith("["), F.struct(F.from_json("__e", "array<bigint>").alias("parents"), *[F.lit(None).cast(t).alias(c) for c, t in (f.split(" ") for f in record.split(", ")[1:])])).otherwise(F.from_json("__e", record))
+    fields = rows.select(parsed.alias("r")).select("r.*")
+    known = F.col("quality_label").isNull() | F.col("quality_label").isin(*labels)
+    listed = F.col("parents").isNotNull() & (F.size("parents") > 0) & ~F.exists("parents", lambda x: x.isNull())
+    checked = F.when(~known, F.raise_error(F.concat(F.lit("unknown label "), F.col("quality_label"))).cast("array<bigint>")).when(~listed, F.raise_error(F.lit("a merge without parents")).cast("array<bigint>"))
+    return fields.select(checked.otherwise(F.array_sort("parents")).alias("parents"), "merged_id", "note", "decided", "quality_label")
+
+
+def selection_ranges(texts: DataFrame, text: str = "value") -> DataFrame:
+    """``(unit, place, t0, t1)`` of JSON texts of kept ranges by unit, under ``selections`` or alone, each a list or ``{ranges: list}``.
+
+    Names that begin with an underscore are notes. A unit without ranges keeps everything and has no row; a range that lacks a bound stops the query.
+    """
+    span = "array<struct<t0: double, t1: double>>"
+    units = F.from_json(F.coalesce(F.get_json_object(text, "$.selections"), F.col(text)), "map<string, string>")
+    rows = texts.select(F.explode(units).alias("__k", "__v")).filter(~F.col("__k").startswith("_"))
+    ranges = F.when(F.trim("__v").startswith("["), F.from_json("__v", span)).otherwise(F.from_json(F.get_json_object("__v", "$.ranges"), span))
+    out = rows.select(F.col("__k").cast("long").alias("unit"), F.posexplode(ranges).alias("place", "r"))
+    bounded = F.when(F.col("r.t0").isNull() | F.col("r.t1").isNull(), F.raise_error(F.concat(F.lit("a range without a bound: unit "), F.col("unit"))).cast("double"))
+    return out.select("unit", "place", bounded.otherwise(F.col("r.t0")).alias("t0"), F.col("r.t1").alias("t1"))
+
+
 def geometry(spark: SparkSession, path: str) -> DataFrame:
     """``(chan, x, y, shank)`` of a probe file with parallel arrays."""
     doc = spark.read.schema("chanMap array<int>, xc array<double>, yc array<double>, kcoords array<int>").option("multiLine", True).json(path)
