@@ -32,7 +32,7 @@ PREFIXES = {"2": "200000", "3": "330000", "4": "400000", "5": "590000", "6": "69
 
 _names = "|".join(n for v in GIVEN.values() for n in v.split())
 _titles = "|".join(t for v in TITLES.values() for t in v.split())
-_name_of_secret = r"(?i:password|passwd|token|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?"
+_name_of_secret = r"(?=[PpTtSsAa])(?i:password|passwd|token|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?"
 #: How access tokens of common services begin, and signed web tokens: fixed values of their formats.
 TOKENS = r"gh[pousr]_|github_pat_|glpat-|[sr]k_(?:live|test)_|xox[abeoprs]-|AIza|eyJ|[Bb]earer "
 _group = "[0-9A-Fa-f]{1,4}"
@@ -48,13 +48,13 @@ PATTERNS = [
     ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ipv4", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
-    ("ipv6", rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_group}:){{7}}{_group}|{_routed}(?::{_group}){{0,6}}::(?:{_group}(?::{_group}){{0,5}})?)(?![\p{{L}}\p{{N}}:]|\.\d)"),
+    ("ipv6", rf"(?={_group}:)(?<![\p{{L}}\p{{N}}:.])(?:(?:{_group}:){{7}}{_group}|{_routed}(?::{_group}){{0,6}}::(?:{_group}(?::{_group}){{0,5}})?)(?![\p{{L}}\p{{N}}:]|\.\d)"),
     ("card", r"(?<![\d])(?:\d[ -]?){12,18}\d(?!\d)"),
     ("phone", r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
      r"|0\d(?:[ .-]\d{2}){4}(?![ .-]\d)|0\d{1,4}[ /-]\d{3,4}[ -]\d{3,4}(?![ .-]\d)|\(0\d{1,4}\) ?\d{3,4}[ -]?\d{3,4})(?!\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("key", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
-    ("token", rf"(?:{_name_of_secret}|(?<![A-Za-z0-9_]))(?:{TOKENS})[A-Za-z0-9_.~+/=-]{{9,}}[A-Za-z0-9_~+/=-]"),
+    ("token", rf"(?=[PpTtSsAagrxeBb])(?:{_name_of_secret}|(?<![A-Za-z0-9_]))(?:{TOKENS})[A-Za-z0-9_.~+/=-]{{9,}}[A-Za-z0-9_~+/=-]"),
     ("secret", rf"{_name_of_secret}[^\s\"'`<>,;&|]{{7,}}[^\s\"'`<>,;&|.:!?]"),
     ("person", rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_titles})\.? (?:{_cap} )?{_between}{_surname}|(?:{_names}) {_between}{_surname}|(?<=(?:{INTRODUCTIONS}) ){_cap} {_between}{_surname})(?!\p{{L}})"),
 ]
@@ -272,7 +272,7 @@ def surrogate_table(entities: DataFrame, key: str, max_attempts: int = 60) -> Da
 
 def possible(text: Column) -> Column:
     """True for every text that a pattern matches: each needs one of these, which are quick to look for."""
-    return text.contains("AKIA") | text.contains("::") | text.rlike(TOKENS) | text.contains("@") | text.contains("=") | text.contains(":") | text.rlike("[0-9]") | text.rlike(dict(PATTERNS)["person"])
+    return text.contains("AKIA") | text.contains("@") | text.contains("=") | text.contains(":") | text.rlike("[0-9]") | text.rlike(TOKENS) | text.rlike(dict(PATTERNS)["person"])
 
 
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
