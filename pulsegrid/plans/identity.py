@@ -155,5 +155,6 @@ def mann_whitney_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o.g AS o_custkey, CAST(any_value(n) AS BIGINT) AS n, round(any_value(o.s) / 2.0, 6)::DOUBLE AS w, round(count(*) FILTER (WHERE abs(2 * e.s - n * (n + 1)) >= abs(2 * o.s - n * (n + 1))) / count(*)::DOUBLE, 6) AS p FROM o JOIN e ON e.g = o.g GROUP BY o.g""")
 def wilcoxon_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact signed-rank tests of customers with few orders."""
-    x = table(spark, sf_dir, "orders").withColumn("d", F.round("o_totalprice").cast("long") - 150_000)
+    # a half goes to the even number, as in SQL's cast
+    x = table(spark, sf_dir, "orders").withColumn("d", F.rint("o_totalprice").cast("long") - 150_000)
     return rounded(statistics.exact_wilcoxon(x, ["o_custkey"], "d", most=8))

@@ -3,9 +3,11 @@
 import itertools
 import math
 
+import duckdb
 import numpy as np
 
 from pulsegrid.operators import statistics
+from pulsegrid.plans.registry import ORACLES, QUERIES
 
 
 def midranks(v):
@@ -53,3 +55,14 @@ def test_signed_ranks(spark):
         obs, mid = sum(x for x, v in zip(r, own) if v > 0), len(own) * (len(own) + 1) / 4
         far = [abs(sum(x for x, s in zip(r, signs) if s) - mid) >= abs(obs - mid) - 1e-9 for signs in itertools.product((0, 1), repeat=len(own))]
         assert got[g].n == len(own) and got[g].w == obs and math.isclose(got[g].p, np.mean(far))
+
+
+def test_halves_are_rounded_as_the_sql_rounds_them(spark, tmp_path):
+    # 150000.5 is no difference, 149998.5 and 150001.5 are both 2 from the middle
+    prices = [(1, 150000.5), (1, 149990.0), (1, 150020.0), (2, 149998.5), (2, 150001.5), (2, 150002.25), (2, 149990.0), (3, 150000.5)]
+    spark.createDataFrame(prices, "o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    want = con.sql(ORACLES["wilcoxon_exact"]).fetchall()
+    got = QUERIES["wilcoxon_exact"](spark, str(tmp_path)).select("o_custkey", "n", "w", "p").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 2
