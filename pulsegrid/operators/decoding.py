@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.statistics import numbered
+
 #: Consecutive rows of a group within which targets are permuted or shifted; a task holds one such run.
 RUN = 16_384
 
@@ -64,7 +66,7 @@ def fold_sums(
     """``(by..., fold, sums)``: the packed sums of each group's folds, those of null targets included.
 
     Without nulls they are one aggregation in the JVM. Null targets are mixed within runs of ``run`` consecutive rows in ``order``, which a smaller
-    group is as a whole, so no task holds a larger group. Rows with a null or NaN in a feature or the target are left out.
+    group is as a whole; a large group is numbered in pieces, so no task holds or sorts one. Rows with a null or NaN in a feature or the target are left out.
     """
     number = [F.col(c).cast("double") for c in [*features, target]]
     whole = rows.select(*by, *order, F.array(*number).alias("__v"), fold.cast("int").alias("fold")).filter(F.forall("__v", lambda x: x.isNotNull() & ~F.isnan(x)))
@@ -73,7 +75,6 @@ def fold_sums(
         y = F.get("__v", F.lit(len(features)))
         products = [a * b for a in z for b in z] + [a * y for a in z] + [y * y]
         return whole.groupBy(*by, "fold").agg(F.array(*[F.sum(p) for p in products]).alias("sums"))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
     kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in by)
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
@@ -83,7 +84,7 @@ def fold_sums(
         y = _columns(v[:, -1], f"{list(map(str, keys.values()))}{part['__run'].iloc[0]}", permutations, shifts, seed)
         return pd.DataFrame([keys | {"fold": int(f), "sums": _flat(v[folds == f, :-1], y[folds == f])} for f in np.unique(folds)])
 
-    runs = whole.withColumn("__place", place).withColumn("__run", F.expr(f"__place div {run}"))
+    runs = numbered(whole, by, order, "__place").withColumn("__run", F.expr(f"__place div {run}"))
     parts = runs.groupBy(*by, "__run").applyInPandas(add, f"{kinds}fold int, sums array<double>")
     each = parts.select(*by, "fold", F.posexplode("sums").alias("__i", "__x")).groupBy(*by, "fold", "__i").agg(F.sum("__x").alias("__x"))
     return each.groupBy(*by, "fold").agg(F.transform(F.sort_array(F.collect_list(F.struct("__i", "__x"))), lambda x: x["__x"]).alias("sums"))

@@ -8,7 +8,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -39,26 +39,53 @@ def _fields(by: list[str]) -> list[Column]:
     return [F.col("__g").getField(c).alias(c) for c in by]
 
 
-def running_counts(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """``(__g, __v, __n, __before, __total)``: for each distinct value of a group its rows, those below it and all.
+def _before(over: WindowSpec, n: str) -> Column:
+    return F.coalesce(F.sum(n).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-    Copies of a value are one row of it. The order of a large group is cut at values drawn by their hash, about PIECES of
-    them, and counted piece by piece, so no task sorts a whole group; nulls are left out.
+
+def _in_pieces(values: DataFrame, every: DataFrame, v: str = "__v") -> DataFrame:
+    """``values(__g, v, ...)`` with ``__piece``: the order of a group of over WHOLE rows in ``every`` is cut at values drawn by their hash, about PIECES of them.
+
+    At most one value in WHOLE / PIECES is a cut, so the cuts go to every task.
     """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(_group(by), F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    large = counts.groupBy("__g").agg(F.count("*").alias("__d")).filter(F.col("__d") > WHOLE)
-    drawn = F.pmod(F.xxhash64("__v"), F.lit(1 << 40)) / (1 << 40) * F.col("__d") < PIECES
-    cuts = counts.join(large, "__g").filter(drawn).groupBy("__g").agg(F.sort_array(F.collect_list("__v")).alias("__cuts"))
+    large = every.groupBy("__g").agg(F.count("*").alias("__d")).filter(F.col("__d") > WHOLE)
+    drawn = F.pmod(F.xxhash64(v), F.lit(1 << 40)) / (1 << 40) * F.col("__d") < PIECES
+    cuts = every.select("__g", v).join(F.broadcast(large), "__g").filter(drawn).select("__g", v).distinct()
+    cuts = cuts.groupBy("__g").agg(F.sort_array(F.collect_list(v)).alias("__cuts"))
     # the cuts up to the value, by halving steps
-    further = lambda at, step: F.when(F.get("__cuts", at + step - 1) <= F.col("__v"), at + step).otherwise(at)
+    further = lambda at, step: F.when(F.get("__cuts", at + step - 1) <= F.col(v), at + step).otherwise(at)
     below = F.when(F.col("__cuts").isNull(), 0).otherwise(F.aggregate(F.array(*[F.lit(2 * PIECES >> k) for k in range((2 * PIECES).bit_length())]), F.lit(0), further))
-    placed = counts.join(cuts, "__g", "left").select("__g", "__v", "__n", below.alias("__piece"))
-    before = lambda over, n: F.coalesce(F.sum(n).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return values.join(F.broadcast(cuts), "__g", "left").select(*values.columns, below.alias("__piece"))
+
+
+def running_counts(rows: DataFrame, by: list[str], value: str, **sums: str) -> DataFrame:
+    """``(__g, __v, __n, __before, __total)``: for each distinct value of a group its rows, those below it and all; with ``sums`` the sums of columns over its rows.
+
+    Copies of a value are one row of it. A large group is counted piece by piece, so no task sorts a whole group; nulls are left out.
+    """
+    more = [F.sum(c).alias(name) for name, c in sums.items()]
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(_group(by), F.col(value).alias("__v")).agg(F.count("*").alias("__n"), *more)
+    placed = _in_pieces(counts, counts)
     group = Window.partitionBy("__g")
     pieces = placed.groupBy("__g", "__piece").agg(F.sum("__n").alias("__k"))
-    pieces = pieces.select("__g", "__piece", before(group.orderBy("__piece"), "__k").alias("__first"), F.sum("__k").over(group).alias("__total"))
-    inside = before(Window.partitionBy("__g", "__piece").orderBy("__v"), "__n")
-    return placed.withColumn("__inside", inside).join(pieces, ["__g", "__piece"]).select("__g", "__v", "__n", (F.col("__first") + F.col("__inside")).alias("__before"), "__total")
+    pieces = pieces.select("__g", "__piece", _before(group.orderBy("__piece"), "__k").alias("__first"), F.sum("__k").over(group).alias("__total"))
+    inside = _before(Window.partitionBy("__g", "__piece").orderBy("__v"), "__n")
+    return placed.withColumn("__inside", inside).join(pieces, ["__g", "__piece"]).select("__g", "__v", "__n", (F.col("__first") + F.col("__inside")).alias("__before"), "__total", *sums)
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with their number from 0 in the order of their group, rows of equal order in any.
+
+    A large group is numbered piece by piece, so no task sorts a whole group, but all rows of equal order.
+    """
+    held = rows.withColumn("__g", _group(by)).withColumn("__order", F.struct(*order))
+    placed = _in_pieces(held, held.select("__g", "__order"), "__order")
+    # a group's first piece begins at 0 and is not sent; of the others there are about PIECES for WHOLE rows or more
+    pieces = placed.groupBy("__g", "__piece").agg(F.count("*").alias("__k"))
+    first = pieces.select("__g", "__piece", _before(Window.partitionBy("__g").orderBy("__piece"), "__k").alias("__first")).filter("__first > 0")
+    inside = F.row_number().over(Window.partitionBy("__g", "__piece").orderBy("__order")) - 1
+    joined = placed.withColumn("__inside", inside).join(F.broadcast(first), ["__g", "__piece"], "left")
+    return joined.select(*rows.columns, (F.coalesce("__first", F.lit(0)) + F.col("__inside")).alias(name))
 
 
 def _quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import decoding
+from pulsegrid.operators import decoding, statistics
 
 
 def data(n=90, sessions=("a", "b", None)):
@@ -80,6 +80,20 @@ def test_a_large_group_is_read_in_runs(spark):
         assert np.allclose(np.array(a.sums)[[*range(17), 21]], np.array(b.sums)[[*range(17), 21]])  # the true target's sums
 
 
+def test_a_large_group_is_numbered_in_pieces(spark, monkeypatch):
+    df = spark.createDataFrame(data(200), SCHEMA).repartition(5)
+    sums = lambda: [(r.s, r.fold, r.sums) for r in decoding.fold_sums(df, ["s"], ["y", "i"], ["a", "b", "c"], "y", F.col("i") % 3, 2, 2, run=16).orderBy("s", "fold").collect()]
+    whole = sums()
+    monkeypatch.setattr(statistics, "WHOLE", 50)
+    monkeypatch.setattr(statistics, "PIECES", 8)
+    placed = statistics._in_pieces(df.select(statistics._group(["s"]), "y"), df.select(statistics._group(["s"]), "y"), "y")
+    assert placed.groupBy("__g", "__piece").count().agg(F.max("count")).first()[0] < 150
+    pieces = sums()
+    assert len(whole) == 9 and all(a[:2] == b[:2] and np.allclose(a[2], b[2]) for a, b in zip(whole, pieces))
+    plan = decoding.fold_sums(df, ["s"], ["y", "i"], ["a"], "y", F.col("i") % 3, 2, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__piece" in plan.split("row_number")[1].split("\n")[0]
+
+
 def test_few_rows_and_constant_targets_give_nulls(spark):
     df = spark.createDataFrame([("few", i, float(i), 1.0, 2.0, float(i)) for i in range(9)] + [("flat", i, float(i), 1.0, 2.0, 5.0) for i in range(40)], SCHEMA)
     got = decoding.decode(df, ["s"], ["i"], ["a", "b"], "y", [1.0], F.col("i") % 3, 3, 3).collect()
