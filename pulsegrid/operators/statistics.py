@@ -115,10 +115,19 @@ def _ranks(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Rank correlation of each group, over rows that have both values."""
-    both = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
-    ranked = both.join(_ranks(both, by, x, "__rx"), [*by, x]).join(_ranks(both, by, y, "__ry"), [*by, y])
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__rx", "__ry").alias("rho"))
+    """Rank correlation of each group, over rows that have both values; null without variance.
+
+    Ranks of x come to the rows and are added up for each y, so only these sums meet the ranks of y; the variances follow from the counts of the distinct values.
+    """
+    both = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, _group(by), F.col(x).alias("__x"), F.col(y).alias("__y"))
+    away = F.col("__before") + F.col("__n") / 2 - F.col("__total") / 2  # from the mean rank
+    rx, ry = (running_counts(both, by, c).select("__g", F.col("__v").alias(c), "__n", away.alias(f"{c}_r")) for c in ("__x", "__y"))
+    square = lambda r: F.sum(F.col("__n") * F.col(r) * F.col(r))
+    sums = both.select("__g", "__x", "__y").join(rx.drop("__n"), ["__g", "__x"]).groupBy("__g", "__y").agg(F.sum("__x_r").alias("__s"))
+    ofy = sums.join(ry, ["__g", "__y"]).groupBy("__g").agg(F.sum("__n").alias("n"), F.sum(F.col("__s") * F.col("__y_r")).alias("__xy"), square("__y_r").alias("__yy"))
+    every = ofy.join(rx.groupBy("__g").agg(square("__x_r").alias("__xx")), "__g")
+    spread = F.sqrt(F.col("__xx")) * F.sqrt(F.col("__yy"))
+    return every.select(*_fields(by), "n", F.when(spread > 0, F.col("__xy") / spread).alias("rho"))
 
 
 def rank_auc(rows: DataFrame, by: list[str], score: str, positive: str) -> DataFrame:
