@@ -7,6 +7,7 @@ by the block that holds it, with all the samples around it that it needs.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,9 +15,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Neighbouring segments that one group of a scan holds.
-SEGMENTS = 4096
-
 
 def with_halo(blocks: DataFrame, keys: list[str], t0: str, samples: str, block: int, before: int, after: int) -> DataFrame:
     """``(keys..., index, t0, n, lead, wide)``: blocks with up to ``before`` and ``after`` samples of their neighbours around them.
@@ -98,21 +96,38 @@ def scan_windows(bursts: DataFrame, key: str, pad: int, lengths: DataFrame, n: i
 def filter_scores(blocks: DataFrame, keys: list[str], t0: str, samples: str, block: int, template: np.ndarray, chan: str | None = None) -> DataFrame:
     """``(keys..., t0, scores)``: the sliding product of a template of unit norm with a recording, at every place where the template fits.
 
-    ``template`` has a row for each channel 0, 1, ... in ``chan`` if there is one: products add up over channels, where all of them are there. A task holds one block of
-    all channels and the template.
+    ``template`` has a row for each channel 0, 1, ... in ``chan`` if there is one: products add up over channels, where all of them are there. A task holds a batch of
+    blocks with all their channels and the template.
     """
     shape = np.atleast_2d(np.asarray(template, float))
     shape = shape / (np.linalg.norm(shape) + 1e-9)
     width = shape.shape[1]
     wide = with_halo(blocks if chan is None else blocks.filter(F.col(chan).between(0, len(shape) - 1)), keys + ([chan] if chan else []), t0, samples, block, 0, width - 1)
-    kinds = "".join(f"`{c}` {blocks.schema[c].dataType.simpleString()}, " for c in keys)
-
-    def score(part: pd.DataFrame) -> pd.DataFrame:
-        found = [np.correlate(np.asarray(x, float), shape[c], "valid")[:n] for c, x, n in zip(part[chan] if chan else [0], part["wide"], part["n"]) if len(x) >= width]
-        whole = len(found) == len(shape) and len({len(f) for f in found}) == 1
-        return pd.DataFrame([{c: part[c].iloc[0] for c in keys} | {"t0": part["t0"].iloc[0], "scores": np.sum(found, axis=0)}] if whole else [], columns=[*keys, "t0", "scores"])
-
-    return wide.groupBy(*keys, "index").applyInPandas(score, f"{kinds}t0 long, scores array<double>")
+    if chan is None:
+        held = wide.select(*keys, "t0", F.array(F.struct(F.lit(0).alias("c"), "wide", "n")).alias("__c"))
+    else:
+        held = wide.groupBy(*keys, "index").agg(F.min("t0").alias("t0"), F.collect_list(F.struct(F.col(chan).cast("int").alias("c"), "wide", "n")).alias("__c"))
+    fits = (F.size("__c") == len(shape)) & (F.size(F.array_distinct(F.transform("__c", lambda c: F.least(c["n"], F.size(c["wide"]) - (width - 1))))) == 1)
+    held = held.filter(F.forall("__c", lambda c: F.size(c["wide"]) >= width) & fits).select(*keys, "t0", F.transform(F.sort_array("__c"), lambda c: c["wide"]).alias("__w"), F.least(F.get("__c", F.lit(0))["n"], F.size(F.get("__c", F.lit(0))["wide"]) - (width - 1)).alias("__n"))
+
+    @F.pandas_udf("array<double>")
+    def score(waves: pd.Series, n: pd.Series) -> pd.Series:
+        # blocks of one length at once; a place adds up the same products in the same order whatever block holds it
+        sizes = np.array([[len(x) for x in w] for w in waves]).reshape(len(waves), len(shape))
+        out: list[np.ndarray | None] = [None] * len(waves)
+        kinds, which = np.unique(np.column_stack([sizes, n.to_numpy()]), axis=0, return_inverse=True)
+        for k, (*_, places) in enumerate(kinds):
+            at = np.flatnonzero(which.ravel() == k)
+            total = np.zeros((len(at), int(places)))
+            for c, weights in enumerate(shape):
+                x = np.array([waves.iat[i][c] for i in at], float)
+                for j, w in enumerate(weights):
+                    total += w * x[:, j : j + int(places)]
+            for i, row in zip(at, total):
+                out[i] = row
+        return pd.Series(out, dtype=object)
+
+    return held.select(*keys, "t0", score("__w", "__n").alias("scores"))
 
 
 def local_peaks(scores: DataFrame, keys: list[str], block: int) -> DataFrame:
@@ -129,7 +144,7 @@ def separated(peaks: DataFrame, keys: list[str], distance: int, stretch: int = 1
     """The peaks that stay when the highest are taken first and those less than ``distance`` from a taken one go; of equally high ones the earlier is taken.
 
     A peak that is the highest within the distance is taken whatever else is, and those near it go. What is left between two of these does not influence what lies
-    beyond, so it is judged in groups of such segments. A train is worked on in stretches that overlap by two distances; a long ramp without such a peak is one segment.
+    beyond, so each such segment is judged for itself, many in a batch. A train is worked on in stretches that overlap by two distances; a long ramp without such a peak is one segment.
     """
     rank = F.struct(F.col("score").alias("s"), (-F.col("pos")).alias("p"))
     first, last = F.expr(f"(pos - {2 * distance}) div {stretch}"), F.expr(f"(pos + {2 * distance}) div {stretch}")
@@ -141,19 +156,24 @@ def separated(peaks: DataFrame, keys: list[str], distance: int, stretch: int = 1
     segments = marked.filter("__top or not __gone").withColumn("__segment", F.coalesce(F.last(F.when(F.col("__top"), F.col("pos")), True).over(ahead), F.lit(-1)))
     columns = [*keys, "pos", "score"]
 
-    def take(part: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        for _, rows in part.groupby("__segment", sort=False):
-            taken: list[int] = []
-            for i in np.lexsort((rows["pos"].to_numpy(), -rows["score"].to_numpy())):
-                if all(abs(rows["pos"].iat[i] - rows["pos"].iat[k]) >= distance for k in taken):
-                    taken.append(i)
-            kept += list(rows.index[taken])
-        return part.loc[kept, columns]
-
-    rest = segments.filter("not __top").withColumn("__pack", F.expr(f"__segment div {SEGMENTS * distance}"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segments.select(columns).schema)
-    return segments.filter("__top").select(columns).unionByName(rest.groupBy(*keys, "__pack").applyInPandas(take, kinds))
+    @F.pandas_udf("array<int>")
+    def take(places: pd.Series, scores: pd.Series) -> pd.Series:
+        out = []
+        for pos, score in zip(places, scores):
+            taken: list[int] = []  # in order, so that only the two neighbours of a place can be near
+            kept = []
+            for i in np.lexsort((pos, -score)):
+                k = bisect.bisect(taken, pos[i])
+                if (not k or pos[i] - taken[k - 1] >= distance) and (k == len(taken) or taken[k] - pos[i] >= distance):
+                    taken.insert(k, int(pos[i]))
+                    kept.append(int(i))
+            out.append(kept)
+        return pd.Series(out, dtype=object)
+
+    rest = segments.filter("not __top").groupBy(*keys, "__segment").agg(F.collect_list("pos").alias("__pos"), F.collect_list("score").alias("__score"))
+    rest = rest.select(*keys, "__pos", "__score", F.explode(take("__pos", "__score")).alias("__i"))
+    rest = rest.select(*keys, F.get("__pos", "__i").alias("pos"), F.get("__score", "__i").alias("score"))
+    return segments.filter("__top").select(columns).unionByName(rest)
 
 
 def matched_candidates(scores: DataFrame, events: DataFrame, keys: list[str], t: str, block: int, near: int, distance: int, share: float = 0.0, least: int = 5) -> tuple[DataFrame, DataFrame]:

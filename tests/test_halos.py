@@ -98,6 +98,21 @@ def test_highest_first(spark, distance, stretch):
     assert sorted(map(tuple, got)) == sorted((k, p, s) for k, v in traces.items() for p, s in own_separated(v, distance))
 
 
+def test_no_group_of_rows_is_sent_to_python(spark):
+    scores = halos.filter_scores(blocks(spark, 8), ["k"], "t0", "x", 8, np.array([-1.0, 2.0, -0.5]))
+    found = halos.separated(halos.local_peaks(scores, ["k"], 8), ["k"], 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan and "take" in plan and "score" in plan
+
+
+def test_filter_needs_every_channel_whole(spark):
+    # of a only channel 0 has a block at 8, so the lengths differ at 0; of b the ends differ; c is too short; a null key is a key
+    rows = [(k, c, at, [1.0 * c + i for i in range(n)]) for k, c, at, n in (("a", 0, 0, 8), ("a", 1, 0, 8), ("a", 0, 8, 8), ("b", 0, 16, 5), ("b", 1, 16, 4), ("c", 0, 0, 3), ("c", 1, 0, 3), (None, 0, 0, 8), (None, 1, 0, 8))]
+    got = halos.filter_scores(spark.createDataFrame(rows, "k string, c int, t0 long, x array<double>"), ["k"], "t0", "x", 8, np.ones((2, 4)), "c").collect()
+    assert [(r.k, r.t0) for r in got] == [(None, 0)]
+    assert np.allclose(got[0].scores, [sum(2 * (i + j) + 1 for j in range(4)) / np.sqrt(8) for i in range(5)])
+
+
 def test_accepted_and_candidates(spark):
     s = RNG.normal(size=200).round(3)
     scores = spark.createDataFrame([("a", at, [float(v) for v in s[at : at + 16]]) for at in range(0, 200, 16)], "k string, t0 long, scores array<double>")
