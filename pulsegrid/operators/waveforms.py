@@ -93,15 +93,16 @@ def inflection(curve: DataFrame, key: str, cut: str, value: str, factor: float =
     return first.select(key, F.coalesce("__c", "__top").alias("cut"), F.col("__c").isNotNull().alias("found"))
 
 
-#: Histograms of a block; a task holds two blocks and their product.
-BLOCK = 1024
+#: Least histograms of a block and most blocks; rows of a block that are multiplied at once. A task holds two blocks and the product of such a slice.
+BLOCK, BLOCKS, SLICE = 1024, 64, 1 << 22
 
 
 def best_correlated(histogram: DataFrame, key: str, n_bins: int) -> DataFrame:
     """Each key with the other whose histogram correlates most with its own: ``(key, other, r)``; ties to the lesser.
 
     Only keys that share a bin are compared; bins without a row are zeros; bins further apart than ``n_bins`` are an error. A flat histogram
-    has no correlation. Histograms become vectors, which meet in blocks of some BLOCK; a block gives each key its best, not all pairs.
+    has no correlation. Histograms become vectors, which meet in at most BLOCKS blocks, so what is shuffled grows with the keys and not with their square; a pair of
+    blocks gives each key its best, not all pairs.
     """
     kind = histogram.schema[key].dataType.simpleString()
     counts = F.map_from_entries(F.collect_list(F.struct("bin", F.col("n").cast("double"))))
@@ -113,31 +114,39 @@ def best_correlated(histogram: DataFrame, key: str, n_bins: int) -> DataFrame:
     places = F.sequence(F.lit(lo or 0), F.lit((lo or 0) + n_bins - 1)).cast(T.ArrayType(histogram.schema["bin"].dataType))
     dense = F.transform(places, lambda i: F.coalesce(F.col("__m")[i], F.lit(0.0)))
     waves = packed.select(F.col(key).alias("key"), dense.alias("wave"))
-    blocks = 1 + n // BLOCK
+    blocks = min(1 + n // BLOCK, BLOCKS)
     own = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = waves.withColumn("i", own).withColumn("j", every)
-    right = waves.withColumn("j", own).withColumn("i", every).select(F.col("key").alias("other"), F.col("wave").alias("shape"), "i", "j")
+    # a pair of blocks meets once and gives the best of both sides
+    left = waves.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(blocks - 1))))
+    right = waves.withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j")))).select(F.col("key").alias("other"), F.col("wave").alias("shape"), "i", "j")
+
+    def unit(v: np.ndarray) -> np.ndarray:
+        v = v - v.mean(axis=1, keepdims=True)
+        norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return np.divide(v, norm, out=np.full_like(v, np.nan), where=norm > 0)
+
+    def one_way(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        """The best of b for each of a; b is in order."""
+        ux, uy, hx, hy = unit(x), unit(y), (x > 0).astype(np.float32), (y > 0).astype(np.float32)
+        out = []
+        step = max(1, SLICE // len(b))
+        for s in range(0, len(a), step):
+            met = (hx[s : s + step] @ hy.T > 0) & (a[s : s + step, None] != b[None, :])
+            r = ux[s : s + step] @ uy.T
+            r = np.where(met & np.isfinite(r), r, -np.inf)
+            at = np.round(r, 9).argmax(axis=1)
+            best = r[np.arange(len(r)), at]
+            found = np.isfinite(best)
+            out.append(pd.DataFrame({"key": a[s : s + step][found], "other": b[at[found]], "r": best[found]}))
+        return pd.concat(out)
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"key": a["key"][:0], "other": b["other"][:0], "r": np.array([], float)})
         if not len(a) or not len(b):
-            return none
-        b = b.sort_values("other")
-        x, y = np.stack(a["wave"].to_list()), np.stack(b["shape"].to_list())
-        met = (x > 0).astype(np.float32) @ (y > 0).astype(np.float32).T > 0
-        met &= a["key"].to_numpy()[:, None] != b["other"].to_numpy()[None, :]
-        unit = []
-        for v in (x, y):
-            v = v - v.mean(axis=1, keepdims=True)
-            norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-            unit.append(np.divide(v, norm, out=np.full_like(v, np.nan), where=norm > 0))
-        r = unit[0] @ unit[1].T
-        r = np.where(met & np.isfinite(r), r, -np.inf)
-        at = np.round(r, 9).argmax(axis=1)
-        best = r[np.arange(len(a)), at]
-        found = np.isfinite(best)
-        return pd.DataFrame({"key": a["key"].to_numpy()[found], "other": b["other"].to_numpy()[at[found]], "r": best[found]})
+            return pd.DataFrame({"key": a["key"][:0], "other": b["other"][:0], "r": np.array([], float)})
+        a, b = a.sort_values("key"), b.sort_values("other")
+        (k, x), (o, y) = ((v.to_numpy(), np.stack(w.to_list()).astype(float)) for v, w in ((a["key"], a["wave"]), (b["other"], b["shape"])))
+        there = one_way(k, x, o, y)
+        return there if a["i"].iat[0] == a["j"].iat[0] else pd.concat([there, one_way(o, y, k, x)])
 
     met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(compare, f"key {kind}, other {kind}, r double")
     best = met.groupBy("key").agg(F.min(F.struct((-F.round("r", 9)).alias("s"), "other", "r")).alias("m"))

@@ -69,3 +69,15 @@ def test_best_correlated_in_blocks(spark, monkeypatch):
                     want[u] = (o, r)
     assert {u: v[0] for u, v in got.items()} == {u: v[0] for u, v in want.items()}
     assert all(math.isclose(got[u][1], want[u][1], abs_tol=1e-8) for u in want)
+
+
+def test_best_correlated_in_few_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(u, int(b), int(rng.integers(1, 4))) for u in range(40) for b in rng.choice(10, 4, replace=False)]
+    df = spark.createDataFrame(rows, "u long, bin int, n long").repartition(3)
+    found = lambda: sorted((r.u, r.other, round(r.r, 9)) for r in waveforms.best_correlated(df, "u", 10).collect())
+    whole = found()
+    for block, blocks, part in ((2, 3, 8), (5, 64, 1 << 20), (1, 2, 1)):
+        for name, value in (("BLOCK", block), ("BLOCKS", blocks), ("SLICE", part)):
+            monkeypatch.setattr(waveforms, name, value)
+        assert found() == whole and len(whole) == 40
