@@ -10,6 +10,7 @@ from pulsegrid.operators.lineage import shared_root
 from pulsegrid.operators.models import separation
 from pulsegrid.operators.pairs import cosine, mutual_best
 from pulsegrid.operators.records import final_units
+from pulsegrid.operators.statistics import numbered, running_counts
 
 
 def correlation(a: Column, b: Column) -> Column:
@@ -116,19 +117,22 @@ def accepted_equally(rows: DataFrame, by: list[str], scores: list[str], gate: st
     """``(by..., scorer, n_accepted, n_true, precision)``: scorers at as many accepted rows as a gate accepts, the only fair comparison.
 
     A scorer takes its highest rows; of equal scores the least ``tie``; missing scores come last. ``gate`` is a row of its own. Which rows are taken follows from counts of the
-    distinct scores: only the rows of the score at which the number is reached are put in order.
+    distinct scores: only the rows of the score at which the number is reached are put in order. Both are done in pieces of a large group.
     """
     key = F.struct(*by, F.lit(0).alias("__all"))
     held = rows.select(key.alias("__g"), *scores, F.col(gate).alias("__gate"), F.col(true).cast("int").alias("__true"), F.col(tie).alias("__tie"))
     n = held.groupBy("__g").agg(F.count_if("__gate").alias("__k"), F.sum(F.when(F.col("__gate"), F.col("__true")).otherwise(0)).alias("__t"))
     value = lambda c: F.coalesce(F.when(F.isnan(F.col(c).cast("double")), None).otherwise(F.col(c).cast("double")), F.lit(float("-inf")))
     each = held.select("__g", "__true", "__tie", F.explode(F.array(*[F.struct(F.lit(c).alias("scorer"), value(c).alias("s")) for c in scores])).alias("x")).select("__g", "__true", "__tie", "x.*")
-    counts = each.groupBy("__g", "scorer", "s").agg(F.count("*").alias("c"), F.sum("__true").alias("t"))
-    above = Window.partitionBy("__g", "scorer").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("before", F.coalesce(F.sum("c").over(above), F.lit(0))).join(n, "__g").filter(F.col("before") < F.col("__k"))
+    counts = running_counts(each.withColumnRenamed("__g", "__key"), ["__key", "scorer"], "s", t="__true")
+    above = (F.col("__total") - F.col("__before") - F.col("__n")).alias("before")
+    placed = counts.select(F.col("__g.__key").alias("__g"), F.col("__g.scorer").alias("scorer"), F.col("__v").alias("s"), F.col("__n").alias("c"), "t", above).join(n, "__g").filter(F.col("before") < F.col("__k"))
+    shared_root(rows.sparkSession)
+    placed = placed.checkpoint()
     whole = placed.filter(F.col("before") + F.col("c") <= F.col("__k")).groupBy("__g", "scorer").agg(F.sum("c").alias("n"), F.sum("t").alias("t"))
     part = placed.filter(F.col("before") + F.col("c") > F.col("__k")).select("__g", "scorer", "s", (F.col("__k") - F.col("before")).alias("take"))
-    last = each.join(part, ["__g", "scorer", "s"]).withColumn("r", F.row_number().over(Window.partitionBy("__g", "scorer").orderBy("__tie"))).filter(F.col("r") <= F.col("take"))
+    level = each.join(part, ["__g", "scorer", "s"]).select(F.col("__g").alias("__key"), "scorer", "__true", "__tie", "take")
+    last = numbered(level, ["__key", "scorer"], ["__tie"], "r").filter(F.col("r") < F.col("take")).withColumnRenamed("__key", "__g")
     last = last.groupBy("__g", "scorer").agg(F.count("*").alias("n"), F.sum("__true").alias("t"))
     own = n.select("__g", F.lit("gate").alias("scorer"), F.col("__k").alias("n"), F.col("__t").alias("t"))
     total = whole.unionByName(last).unionByName(own).groupBy("__g", "scorer").agg(F.sum("n").alias("n_accepted"), F.sum("t").alias("n_true"))

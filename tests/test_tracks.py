@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import tracks
+from pulsegrid.operators import statistics, tracks
 
 RNG = np.random.default_rng(21)
 
@@ -114,6 +114,16 @@ def test_equal_acceptance_with_ties(spark):
     assert got["none", "gate"] == (0, 0, None) and ("none", "p") not in got
 
 
+def test_equal_acceptance_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(statistics, "WHOLE", 20)
+    monkeypatch.setattr(statistics, "PIECES", 5)
+    windows = []
+    numbered = tracks.numbered
+    monkeypatch.setattr(tracks, "numbered", lambda *a: windows.append(a) or numbered(*a))
+    test_equal_acceptance_with_ties(spark)
+    assert windows[0][1:3] == (["__key", "scorer"], ["__tie"])
+
+
 def test_matched_draws(spark):
     rows = [("s", "deep", i) for i in range(400)] + [("s", "high", i) for i in range(1000, 1007)] + [("t", "deep", i) for i in range(5)] + [("u", "deep", 1), ("u", "high", 2), ("u", "high", 3)]
     df = spark.createDataFrame(rows, "g string, half string, k long").repartition(4)
