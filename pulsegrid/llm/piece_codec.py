@@ -10,13 +10,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 META = "▁"
+#: Longest unit that is merged pair by pair, which is faster for one that is not in the memo.
+SHORT = 32
 #: Distinct units and pairs that a worker remembers; each memo starts anew when full.
-MEMO_UNITS, MEMO_PAIRS = 300_000, 600_000
+MEMO_UNITS, MEMO_PAIRS = 500_000, 600_000
 
 
 class PieceCodec:
@@ -62,17 +65,20 @@ class PieceCodec:
         self.library = sentencepiece.__version__
 
     def merged(self, text: str) -> list[str]:
-        """Merges pair by pair: the best score first, the leftmost of equals. For the short texts of pair tests."""
-        symbols, score = list(text), self.score
-        while len(symbols) > 1:
-            best, at = None, -1
-            for i in range(len(symbols) - 1):
-                s = score.get(symbols[i] + symbols[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
+        """Merges pair by pair: the best score first, the leftmost of equals. For short texts: each merge looks through the scores of all neighbours."""
+        symbols, get, none = list(text), self.score.get, float("-inf")
+        scores = [get(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        while scores:
+            best = max(scores)
+            if best == none:
                 break
+            at = scores.index(best)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del scores[at]
+            if at < len(scores):
+                scores[at] = get(symbols[at] + symbols[at + 1], none)
+            if at:
+                scores[at - 1] = get(symbols[at - 1] + symbols[at], none)
         return symbols
 
     def apart(self, left: str, right: str) -> bool:
@@ -85,7 +91,21 @@ class PieceCodec:
             got = self.pairs[key] = self.merged(left + right) == [left, right]
         return got
 
+    def encode_short(self, unit: str) -> list[int]:
+        out: list[int] = []
+        for token in self.merged(unit):
+            got = self.ids.get(token)
+            if got is not None:
+                out.append(got)
+            elif self.bytes:
+                out.extend(self.bytes[b] for b in token.encode())
+            else:
+                out.append(self.unk)
+        return out
+
     def encode_unit(self, unit: str) -> list[int]:
+        if len(unit) <= SHORT:
+            return self.encode_short(unit)
         last: list[str | None] = [None] * (len(unit) + 1)
         apart = self.apart
         for end, piece in self.automaton.iter(unit):
@@ -129,15 +149,21 @@ class PieceCodec:
         return raw.decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def loaded(model_path: str) -> PieceCodec:
+    """The codec of a worker process, which its later tasks find with what it remembers."""
+    return PieceCodec(model_path)
+
+
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)`` and, ``with_ids``, ``ids`` and ``decoded``, for every row.
 
     A null text counts as empty: no ids, an empty decoding. Repeated rows are encoded each; other columns are
-    ignored. Narrow: no shuffle; a worker holds one batch and two bounded memos.
+    ignored. Narrow: no shuffle; a worker holds one batch and two bounded memos, which it keeps from task to task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model_path)
+        codec = loaded(model_path)
         digits = [str(i) for i in range(len(codec.surface))]
         for batch in batches:
             for start in range(0, batch.num_rows, 200):

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from pulsegrid.llm import piece_codec
 from pulsegrid.llm import token_counts as tc
 from pulsegrid.llm.piece_codec import PieceCodec, encode_decode
 
@@ -48,6 +49,15 @@ def test_pieces_of_long_texts_add_up():
     assert list(tc.pieces("", 10)) == [""]
 
 
+@pytest.mark.parametrize("short", [0, 5, 10_000])
+def test_short_and_long_units_have_the_same_ids(monkeypatch, short):
+    monkeypatch.setattr(piece_codec, "SHORT", short)
+    own = PieceCodec(PIECES)
+    for text in ("Thorther onorshon, éonaieaurétre. ENTIING!", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "a\u4e00\U0001f600b", "x" * 33 + "https://example.com/a?b=c", "  \n\t two  "):
+        assert own.encode(text) == sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(text)
+    assert piece_codec.loaded(PIECES) is piece_codec.loaded(PIECES)
+
+
 def test_byte_batches_balance():
     runs = list(tc.byte_batches(["x" * n for n in (1, 50, 3, 200, 4, 4)], 60))
     assert [i for r in runs for i in r] == list(range(6)) and runs == [[0, 1, 2, 3], [4, 5]]
