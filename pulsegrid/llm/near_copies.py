@@ -4,7 +4,8 @@ Texts with the same set of shingles are one class. Classes with equal or close f
 are compared first, which settles most copies. A similarity of 0.8 lets some 10 of 64 bits differ, more than any pigeonring
 key can hold, so classes that share a band of MinHash values meet as well. In each list of such classes a
 sketch of the values tells which pairs can be similar enough; of these only a spanning forest is compared in full at
-first, and the pairs that this leaves in different groups afterwards, so a large group costs no square of its size. A long list is cut
+first, and the pairs that this leaves in different groups afterwards. Where these are many times the rows of a list, as in a large group of texts that are nearly similar
+enough, the list's sets of shingles are compared where the list is, and only a forest of its links comes out. A long list is cut
 into blocks and every pair of blocks is a group of its own.
 """
 
@@ -30,6 +31,8 @@ BANDS, ROWS = 24, 4
 LEAST_EQUAL = 62
 #: Shingles that are permuted at once; rows of a list's block, and of the slices in which a block's sketches are compared.
 SHINGLES, BLOCK, SLICE = 4096, 4096, 256
+#: Possible pairs for a row of a list from which its sets are compared in place; rows of a block of such a list; shingles whose sharing is counted at once.
+DENSE, SETS_BLOCK, COLUMNS = 4, 1024, 2048
 #: Lists of up to so many rows are compared together, all their possible pairs, without a forest.
 FEW = 6
 #: Differing bits of fingerprints that are compared.
@@ -167,30 +170,75 @@ def _starts(table: pa.Table) -> np.ndarray:
 
 
 def _meet(forest: bool):
-    """Pairs (a, b) of each list that are to be compared: of all that are possible, or of a spanning forest of them."""
+    """Pairs (a, b) of each list that are to be compared: of all that are possible, or of a spanning forest of them. Without forest a list with too many gives its key alone."""
 
     def done(table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
         rep, n, comp, own, bi, bj = (table.column(c).to_numpy() for c in ("rep", "n", "comp", "own", "bi", "bj"))
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
         length = ends - starts
         few = (length <= FEW) & (bi[starts] == bj[starts])
-        found = [_of_few(starts[few], length[few], sketches, n, comp)]
+        found, dense = [_of_few(starts[few], length[few], sketches, n, comp)], []
         for s, e in zip(starts[~few], ends[~few]):
             a, b, equal = _possible(sketches[s:e], n[s:e], comp[s:e], own[s:e] if bi[s] != bj[s] else None)
             if forest and len(a) > 1:
                 keep = spanning_forest(comp[s:e], a, b, equal)
                 a, b = a[keep], b[keep]
+            elif len(a) > DENSE * (e - s):
+                dense.append(table.column("key")[s].as_py())
+                continue
             found.append((a + s, b + s))
         a, b = (np.concatenate(x) for x in zip(*found))
         pairs = np.unique(np.stack([np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], names=["a", "b"])
+        none = [None] * len(dense)
+        return pa.RecordBatch.from_arrays([pa.array([*x.tolist(), *none], pa.int64()) for x in pairs] + [pa.array([None] * pairs.shape[1] + dense, pa.int64())], names=["a", "b", "key"])
+
+    return _by_list(done, BLOCK)
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles every two sets share: products of a few columns at a time, of shingles that more than one set holds."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    held = count[column] > 1
+    row, column = row[held], np.unique(column[held], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        x = np.zeros((len(sets), COLUMNS), np.float32)
+        x[row[lo:hi], column[lo:hi] - at] = 1
+        out += x @ x.T
+    return out
+
+
+def _linked(table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    """A spanning forest of the links of each list, by its sets."""
+    rep, n, comp, own, bi, bj = (table.column(c).to_numpy() for c in ("rep", "n", "comp", "own", "bi", "bj"))
+    found = []
+    for s, e in zip(starts, ends):
+        sets = [np.array(x, np.int64) for x in table.column("hashes")[int(s) : int(e)].to_pylist()]
+        shared, size = _shared(sets), n[s:e].astype(np.int64)
+        similar = (5 + FIFTHS) * shared.astype(np.int64) >= FIFTHS * (size[:, None] + size[None, :])
+        similar &= comp[s:e, None] != comp[None, s:e]
+        if bi[s] != bj[s]:
+            similar &= own[s:e, None] != own[None, s:e]
+        a, b = np.nonzero(np.triu(similar, 1))
+        keep = spanning_forest(comp[s:e], a, b, shared[a, b])
+        found.append(np.stack([rep[s:e][a[keep]], rep[s:e][b[keep]]]))
+    pairs = np.concatenate(found, axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (pairs.min(axis=0), pairs.max(axis=0))], names=["a", "b"])
+
+
+def _by_list(done, rows: int):
+    """What ``done`` makes of whole lists, so many that they have about ``rows`` rows together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for b in batches:
             if b.num_rows:
                 held.append(b)
-                if sum(x.num_rows for x in held) >= BLOCK:
+                if sum(x.num_rows for x in held) >= rows:
                     table = pa.Table.from_batches(held)
                     starts = _starts(table)
                     if len(starts) > 1:
@@ -204,19 +252,21 @@ def _meet(forest: bool):
     return run
 
 
-def _long(lists: DataFrame) -> DataFrame:
-    return written(lists.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK), "long-lists")
+def _long(lists: DataFrame, block: int = BLOCK) -> DataFrame:
+    return written(lists.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > block), "long-lists")
 
 
-def _candidates(lists: DataFrame, long_lists: DataFrame, forest: bool, across: bool) -> DataFrame:
-    """Distinct pairs of ``lists(key, rep, n, sketch, comp)``; ``across`` also compares the blocks of a long list with each other."""
-    blocks = F.ceil(F.coalesce("size", F.lit(1)) / BLOCK).cast("int")
+def _met(lists: DataFrame, long_lists: DataFrame, across: bool, run, kinds: str, block: int = BLOCK, sets: DataFrame | None = None) -> DataFrame:
+    """What ``run`` makes of ``lists(key, rep, n, sketch, comp)``, with their ``sets`` if given; ``across`` also compares the blocks of a long list with each other."""
+    blocks = F.ceil(F.coalesce("size", F.lit(1)) / block).cast("int")
     placed = lists.join(small(long_lists), "key", "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1) if across else F.array("own")
     pair = F.explode(F.transform(every, lambda b: F.struct(F.least(b, F.col("own")).alias("bi"), F.greatest(b, F.col("own")).alias("bj"))))
     grouped = placed.select("key", "rep", "n", "sketch", "comp", "own", pair.alias("pair")).select("key", "pair.bi", "pair.bj", "own", "rep", "n", "comp", "sketch")
+    if sets is not None:
+        grouped = grouped.drop("sketch").join(sets, "rep").select("key", "bi", "bj", "own", "rep", "n", "comp", "hashes")
     parts = max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return grouped.repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_meet(forest), "a long, b long").distinct()
+    return grouped.repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(run, kinds).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -255,8 +305,13 @@ def links_of(classes: DataFrame, texts: DataFrame, bits: int = BITS) -> DataFram
             long_lists = _long(lists)
         # without a long list the first forest has seen all that the second would
         if not (forest and across and long_lists.isEmpty()):
-            pairs = written(_candidates(lists, long_lists, forest, across), "copy-pairs")
-            links = links.unionByName(written(_verified(pairs, sets), "copy-links"))
+            found = written(_met(lists, long_lists, across, _meet(forest), "a long, b long, key long"), "copy-pairs")
+            links = links.unionByName(written(_verified(found.filter("a is not null").select("a", "b"), sets), "copy-links"))
+    dense = written(found.filter("key is not null").select("key").distinct(), "dense-lists")
+    if not dense.isEmpty():
+        lists = written(lists.join(small(dense), "key", "left_semi"), "dense-groups")
+        met = _met(lists, _long(lists, SETS_BLOCK), True, _by_list(_linked, SETS_BLOCK), "a long, b long", SETS_BLOCK, sets)
+        links = links.unionByName(written(met, "copy-links"))
     return links
 
 

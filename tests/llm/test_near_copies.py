@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from pulsegrid.llm import near_copies, simhash
@@ -52,6 +53,41 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_copies.near_copies(frame).collect()} == brute(docs)[1]
 
 
+@pytest.mark.parametrize("block", [1024, 40])
+def test_a_large_group_of_nearly_similar_texts_makes_few_pairs(spark, monkeypatch, block):
+    # most copies have 14 edits, far from each other: they are at 0.76, where sketches let pairs through and none is a link; one in nine is a copy of one of them
+    rng = random.Random(7)
+
+    def apart(words):
+        places = set(rng.sample(range(0, 990, 6), 14))
+        return [f"new{rng.random()}" if i in places else w for i, w in enumerate(words)]
+
+    words = [rng.choice("abcdefghijklmnop") + str(rng.randrange(500)) for _ in range(1000)]
+    one = apart(words)
+    docs = [(i, " ".join(edited(rng, one, 1) if i % 9 == 0 else apart(words))) for i in range(160)]
+    made, written = [], near_copies.written
+    monkeypatch.setattr(near_copies, "SETS_BLOCK", block)
+
+    def counted(df, name):
+        out = written(df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(near_copies, "written", counted)
+    links, groups = brute(docs)
+    got = near_copies.near_copies(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == groups and len(set(groups.values())) > 100 and len(links) > 100
+    assert any(n for name, n in made if name == "dense-lists")
+    assert max(n for name, n in made if name == "copy-pairs") < 24 * 160
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 9000, n)) for n in (0, 1, 40, 700, 3000, 3000)]
+    got = near_copies._shared(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(6) for j in range(6) if i != j)
+
+
 def test_a_forest_connects_what_can_be_connected():
     rng = np.random.default_rng(3)
     for n in (2, 5, 30):
