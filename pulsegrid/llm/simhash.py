@@ -72,10 +72,6 @@ def _cuts(m: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def _segment(c: Column, cut: tuple[int, int]) -> Column:
-    return F.shiftrightunsigned(c, cut[0]).bitwiseAND(F.lit((1 << cut[1]) - 1).cast("long"))
-
-
 def _flips(cuts: list[tuple[int, int]], chain: list[int], budget: list[int], most: int) -> list[int]:
     """Masks of up to ``most`` changed bits of a chain of segments, within the budget of each of its beginnings."""
     places = [(at, cuts[k][0] + b) for at, k in enumerate(chain) for b in range(cuts[k][1])]
@@ -113,29 +109,28 @@ def similar_fingerprints(fps: DataFrame, bits: int = 4, segments: int | None = N
     cuts = _cuts(m)
     budget = [length * bits // m for length in range(1, m + 1)]
     segments = segments or chain_length(fps.count(), bits)
-    fp, probes, targets = F.col("fp"), [], []
+    probes, targets = [], []
+    bits_of = lambda chain: F.lit(_signed(sum((1 << cuts[c][1]) - 1 << cuts[c][0] for c in chain))).cast("long")
     for k in range(m):
         chain = [(k + i) % m for i in range(segments)]
-        mask = sum((1 << cuts[c][1]) - 1 << cuts[c][0] for c in chain)
-        own = fp.bitwiseAND(F.lit(_signed(mask)).cast("long"))
         half = budget[segments - 1] // 2
         for out, most in ((probes, half), (targets, budget[segments - 1] - half)):
-            out += [F.struct(F.lit(k).alias("k"), own.bitwiseXOR(F.lit(_signed(x)).cast("long")).alias("v")) for x in _flips(cuts, chain, budget, most)]
-    probe = fps.select(F.col("fp").alias("p"), F.explode(F.array(*probes)).alias("key")).select("p", "key.k", "key.v")
-    target = fps.select(F.col("fp").alias("q"), F.explode(F.array(*targets)).alias("key")).select("q", "key.k", "key.v")
-    differs = F.col("p").bitwiseXOR(F.col("q"))
-    counts = [F.bit_count(_segment(differs, c)) for c in cuts]
+            out += [F.struct(F.lit(k).alias("k"), bits_of(chain).alias("own"), F.lit(_signed(x)).cast("long").alias("flip")) for x in _flips(cuts, chain, budget, most)]
 
-    def on_budget(k: int) -> Column:
-        out, total = F.lit(True), F.lit(0)
-        for length in range(m):
-            total = total + counts[(k + length) % m]
-            out = out & (total <= budget[length])
-        return out
+    def keyed(name: str, keys: list[Column]) -> DataFrame:
+        # the keys are constants, so little code is generated for them
+        each = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+        return each.select(F.col("fp").alias(name), "key.k", F.col("fp").bitwiseAND(F.col("key.own")).bitwiseXOR(F.col("key.flip")).alias("v"))
 
-    ring = F.coalesce(*(F.when(F.col("k") == k, on_budget(k)) for k in range(m)))
+    probe, target = keyed("p", probes), keyed("q", targets)
+    differs = F.col("p").bitwiseXOR(F.col("q"))
+    ring = F.lit(True)
+    for length in range(1, m):
+        run = F.coalesce(*(F.when(F.col("k") == k, bits_of([(k + i) % m for i in range(length)])) for k in range(m)))
+        ring = ring & (F.bit_count(differs.bitwiseAND(run)) <= budget[length - 1])
     # either side of a pair finds the other, so one order is enough
-    met = probe.join(target, ["k", "v"]).filter((F.col("p") < F.col("q")) & ring & (F.bit_count(differs) <= bits))
+    # Spark takes the exploded sides to be no larger than the table, so it would broadcast up to 70 rows for each row of a small one
+    met = probe.join(target.hint("merge"), ["k", "v"]).filter((F.col("p") < F.col("q")) & ring & (F.bit_count(differs) <= bits))
     return met.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
 
 

@@ -84,3 +84,9 @@ def test_components_of_a_long_chain_and_a_star(spark):
 
 def test_keys_grow_with_the_table():
     assert simhash.chain_length(250_000, 4) == 2 and simhash.chain_length(10**9, 4) == 3
+
+
+def test_exploded_keys_of_a_small_table_are_not_broadcast(spark):
+    fps = spark.range(100).withColumnRenamed("id", "fp")
+    plan = simhash.similar_fingerprints(fps)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
