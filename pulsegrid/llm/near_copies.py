@@ -293,7 +293,8 @@ def links_of(classes: DataFrame, texts: DataFrame, bits: int = BITS) -> DataFram
     first = written(equal.unionByName(close), "copy-pairs")
     posted = classes.select("rep", "n", "sketch", F.explode("keys").alias("key"))
     shared = classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-    lists = written(posted.join(shared, "key", "left_semi").withColumn("comp", F.col("rep")), "copy-lists")
+    # exploded keys are many more than Spark takes them to be, so they are not to be broadcast
+    lists = written(posted.join(shared.hint("merge"), "key", "left_semi").withColumn("comp", F.col("rep")), "copy-lists")
     wanted = first.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(lists.select("rep")).distinct()
     wanted = small(written(classes.join(wanted, "rep", "left_semi").select("row"), "copy-texts"))
     sets = texts.join(wanted, "row", "left_semi").select("text").mapInArrow(_sets, "rep long, hashes array<long>")

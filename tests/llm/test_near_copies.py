@@ -112,3 +112,16 @@ def test_rows_that_share_an_id(spark):
 def test_nothing(spark):
     frame = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert near_copies.single_documents(frame.limit(0)).count() == 0 and near_copies.single_documents(frame).count() == 1
+
+
+def test_exploded_band_keys_are_not_broadcast(spark, monkeypatch):
+    plans, written = {}, near_copies.written
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(near_copies, "written", seen)
+    df = spark.createDataFrame([(i, "a b c d e f g h i j" + " k" * (i % 3)) for i in range(9)], "doc_id long, text string")
+    assert near_copies.near_copies(df).count() == 9
+    assert "BroadcastHashJoin" not in plans["copy-lists"] and "SortMergeJoin" in plans["copy-lists"]
