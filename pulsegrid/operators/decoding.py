@@ -7,15 +7,20 @@ inner fold is a small solve. Nulls are further target columns of the same sums:
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.statistics import numbered
+from pulsegrid.operators.statistics import _group, numbered
 
-#: Consecutive rows of a group within which targets are permuted or shifted; a task holds one such run.
-RUN = 16_384
+#: Consecutive rows of a group that a task holds; runs of a group are longer where there would be more than RUNS, as each run may send values to each.
+RUN, RUNS = 16_384, 8192
+#: Rounds of a permutation of a group of several runs.
+ROUNDS = 8
 
 
 class _Sums:
@@ -53,20 +58,75 @@ def _flat(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _columns(y: np.ndarray, groups: str, permutations: int, shifts: int, seed: int) -> np.ndarray:
-    """The targets of a run, permuted ones and circularly shifted ones, as columns; the draws follow from the group's and run's name."""
+    """The targets of a group of one run, permuted ones and circularly shifted ones, as columns; the draws follow from the group's and run's name."""
     rng = np.random.default_rng([seed, *groups.encode()])
     mixed = [rng.permutation(y) for _ in range(permutations)]
     turned = [np.roll(y, int(s)) for s in (rng.integers(1, len(y), shifts) if len(y) > 1 else np.zeros(shifts, int))]
     return np.column_stack([y, *mixed, *turned])
 
 
+def _mixed(places: np.ndarray, n: int, rng: np.random.Generator, back: bool) -> np.ndarray:
+    """Where a permutation of 0 to n - 1, which is drawn as random functions of some sqrt(n) values, has what comes to ``places``; ``back``: where it brings what is there.
+
+    A place is a row and a column of a rectangle of n places or some more; each round moves all rows by a random function of the column or the other way round.
+    Steps that leave the n places are gone on with, so each of these is taken once.
+    """
+    sides = (isqrt(n - 1) + 1, -(-n // (isqrt(n - 1) + 1)))
+    rounds = [(r % 2, rng.integers(0, sides[r % 2], sides[1 - r % 2])) for r in range(ROUNDS)]
+
+    def step(x: np.ndarray) -> np.ndarray:
+        at = list(divmod(x, sides[1]))
+        for moved, by in reversed(rounds) if back else rounds:
+            at[moved] = (at[moved] - by[at[1 - moved]] if back else at[moved] + by[at[1 - moved]]) % sides[moved]
+        return at[0] * sides[1] + at[1]
+
+    out = step(places)
+    while len(over := np.flatnonzero(out >= n)):
+        out[over] = step(out[over])
+    return out
+
+
+def _moved(places: np.ndarray, n: int, name: str, permutations: int, shifts: int, seed: int, back: bool = False) -> np.ndarray:
+    """``(nulls, places)``: from where in a group of n rows each null target takes the value at these places; ``back``: where it takes theirs to."""
+    mixed = [_mixed(places, n, np.random.default_rng([seed, k, *name.encode()]), back) for k in range(permutations)]
+    by = np.random.default_rng([seed, *name.encode()]).integers(1, n, shifts)
+    return np.stack([*mixed, *[(places + s if back else places - s) % n for s in by]])
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Doubles compressed, after their number: targets repeat values more often than not."""
+    return x.size.to_bytes(8, "little") + pa.compress(x.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(held: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(held[8:], 8 * int.from_bytes(held[:8], "little"), "zstd"))
+
+
+def _sent(to: np.ndarray, y: np.ndarray, run: int) -> list[tuple[int, np.ndarray]]:
+    """``(run, values)`` for each run that gets values: in the order of null targets, then of the places they come from."""
+    runs = (to // run).astype(np.int16).ravel()
+    order = np.argsort(runs, kind="stable")
+    found, first = np.unique(runs[order], return_index=True)
+    return list(zip(found.tolist(), np.split(y[order % len(y)], first[1:])))
+
+
+def _received(source: np.ndarray, values: np.ndarray, run: int) -> np.ndarray:
+    """The null targets as columns, from what the runs sent, in their order."""
+    inner = (np.argsort(source, axis=1) + np.arange(len(source))[:, None] * source.shape[1]).ravel()
+    order = inner[np.argsort((source // run).astype(np.int16).ravel()[inner], kind="stable")]
+    out = np.empty(source.size)
+    out[order] = values
+    return out.reshape(source.shape).T
+
+
 def fold_sums(
     rows: DataFrame, by: list[str], order: list[str], features: list[str], target: str, fold: Column, permutations: int = 0, shifts: int = 0, seed: int = 0, run: int = RUN
 ) -> DataFrame:
     """``(by..., fold, sums)``: the packed sums of each group's folds, those of null targets included.
 
-    Without nulls they are one aggregation in the JVM. Null targets are mixed within runs of ``run`` consecutive rows in ``order``, which a smaller
-    group is as a whole; a large group is numbered in pieces, so no task holds or sorts one. Rows with a null or NaN in a feature or the target are left out.
+    Without nulls they are one aggregation in the JVM. Null targets are permuted and shifted over the whole group in ``order``. A large group is numbered in pieces
+    and cut into runs of ``run`` consecutive rows or more, each of which sends its targets, packed, to the runs that need them: one value for each row and null target, so
+    no task holds or sorts a group. Rows with a null or NaN in a feature or the target are left out.
     """
     number = [F.col(c).cast("double") for c in [*features, target]]
     whole = rows.select(*by, *order, F.array(*number).alias("__v"), fold.cast("int").alias("fold")).filter(F.forall("__v", lambda x: x.isNotNull() & ~F.isnan(x)))
@@ -77,15 +137,35 @@ def fold_sums(
         return whole.groupBy(*by, "fold").agg(F.array(*[F.sum(p) for p in products]).alias("sums"))
     kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in by)
 
-    def add(part: pd.DataFrame) -> pd.DataFrame:
+    def send(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("__place")
-        v, folds = np.stack(part["__v"].to_list()), part["fold"].to_numpy()
-        keys = {c: part[c].iloc[0] for c in by}
-        y = _columns(v[:, -1], f"{list(map(str, keys.values()))}{part['__run'].iloc[0]}", permutations, shifts, seed)
+        v, places, length, n, at = np.stack(part["__v"].to_list()), part["__place"].to_numpy(), *(int(part[c].iloc[0]) for c in ("__length", "__n", "__run"))
+        keys = {c: part[c].iloc[0] for c in by} | {"__length": length, "__n": n}
+        name = str(list(map(str, list(keys.values())[: len(by)])))
+        own = keys | {"__run": at, "__from": -1, "__name": name, "__values": _packed(v), "__folds": part["fold"].to_numpy(np.int32).tobytes()}
+        out = _sent(_moved(places, n, name, permutations, shifts, seed, back=True), v[:, -1], length) if n else []
+        return pd.DataFrame([own, *[keys | {"__run": to, "__from": at, "__name": name, "__values": _packed(x), "__folds": None} for to, x in out]])
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("__from")
+        own, length, n = part.iloc[0], int(part["__length"].iloc[0]), int(part["__n"].iloc[0])
+        v, folds = _unpacked(own["__values"]).reshape(-1, len(features) + 1), np.frombuffer(own["__folds"], np.int32)
+        if n:
+            places = int(own["__run"]) * length + np.arange(len(v))
+            nulls = _received(_moved(places, n, own["__name"], permutations, shifts, seed), np.concatenate([_unpacked(x) for x in part["__values"].iloc[1:]]), length)
+            y = np.column_stack([v[:, -1], nulls])
+        else:
+            y = _columns(v[:, -1], f"{own['__name']}0", permutations, shifts, seed)
+        keys = {c: own[c] for c in by}
         return pd.DataFrame([keys | {"fold": int(f), "sums": _flat(v[folds == f, :-1], y[folds == f])} for f in np.unique(folds)])
 
-    runs = numbered(whole, by, order, "__place").withColumn("__run", F.expr(f"__place div {run}"))
-    parts = runs.groupBy(*by, "__run").applyInPandas(add, f"{kinds}fold int, sums array<double>")
+    # groups of several runs, which are few for the rows
+    large = whole.groupBy(_group(by)).agg(F.count("*").alias("__n")).filter(F.col("__n") > run)
+    placed = numbered(whole, by, order, "__place").withColumn("__g", _group(by)).join(F.broadcast(large), "__g", "left")
+    length = F.greatest(F.lit(run), F.ceil(F.coalesce("__n", F.lit(0)) / RUNS)).cast("long")
+    placed = placed.select(*by, "__v", "fold", "__place", F.coalesce("__n", F.lit(0)).alias("__n"), length.alias("__length")).withColumn("__run", F.expr("cast(__place div __length as int)"))
+    packed = placed.groupBy(*by, "__run").applyInPandas(send, f"{kinds}__length long, __n long, __run int, __from int, __name string, __values binary, __folds binary")
+    parts = packed.groupBy(*by, "__run").applyInPandas(add, f"{kinds}fold int, sums array<double>")
     each = parts.select(*by, "fold", F.posexplode("sums").alias("__i", "__x")).groupBy(*by, "fold", "__i").agg(F.sum("__x").alias("__x"))
     return each.groupBy(*by, "fold").agg(F.transform(F.sort_array(F.collect_list(F.struct("__i", "__x"))), lambda x: x["__x"]).alias("sums"))
 

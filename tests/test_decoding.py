@@ -94,6 +94,39 @@ def test_a_large_group_is_numbered_in_pieces(spark, monkeypatch):
     assert "__piece" in plan.split("row_number")[1].split("\n")[0]
 
 
+@pytest.mark.parametrize("n", [17, 90, 1000])
+def test_places_of_a_group_are_moved_one_to_one(n):
+    every = np.arange(n)
+    source, to = (decoding._moved(every, n, "x", 5, 5, 2, back) for back in (False, True))
+    assert all(sorted(x) == every.tolist() for x in [*source, *to]) and all((t[s] == every).all() for s, t in zip(source, to))
+    assert all((every[s] == np.roll(every, t[0])).all() for s, t in zip(source[5:], to[5:])) and len({tuple(x) for x in source}) > 5
+
+
+def test_permutations_have_no_favourite_places():
+    count = np.zeros((20, 20))
+    for seed in range(2000):
+        count[np.arange(20), decoding._moved(np.arange(20), 20, "x", 1, 0, seed)[0]] += 1
+    # chi square of 19 x 19 degrees of freedom
+    assert 361 - 5 * math.sqrt(2 * 361) < ((count - 100) ** 2 / 100).sum() < 361 + 5 * math.sqrt(2 * 361)
+
+
+def test_nulls_of_a_large_group_are_of_the_whole_group(spark, monkeypatch):
+    n, d, run = 90, 3, 16
+    # within a run targets are equal: mixed or shifted inside runs they would stay as they are
+    rows = [(s, i, a, b, c, float(i // run)) for s, i, a, b, c, _ in data(n)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for runs in (decoding.RUNS, 4):
+        monkeypatch.setattr(decoding, "RUNS", runs)
+        got = {(r.s, r.fold): np.array(r.sums) for r in decoding.fold_sums(df, ["s"], ["i"], ["a", "b", "c"], "y", F.col("i") % 3, 4, 4, seed=1, run=run).collect()}
+        for s in ("a", "b", None):
+            v = np.array([r[2:] for r in rows if r[0] == s])
+            x, y, folds = v[:, :3], v[:, 3], np.arange(n) % 3
+            targets = np.column_stack([y, *[y[m] for m in decoding._moved(np.arange(n), n, str([str(s)]), 4, 4, 1)]])
+            assert all(sorted(t) == sorted(y) and (t != y).any() for t in targets.T[1:]) and all(any((t == np.roll(y, k)).all() for k in range(1, n)) for t in targets.T[5:])
+            for f in range(3):
+                assert np.allclose(got[s, f], decoding._flat(x[folds == f], targets[folds == f]))
+
+
 def test_few_rows_and_constant_targets_give_nulls(spark):
     df = spark.createDataFrame([("few", i, float(i), 1.0, 2.0, float(i)) for i in range(9)] + [("flat", i, float(i), 1.0, 2.0, 5.0) for i in range(40)], SCHEMA)
     got = decoding.decode(df, ["s"], ["i"], ["a", "b"], "y", [1.0], F.col("i") % 3, 3, 3).collect()
